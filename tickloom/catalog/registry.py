@@ -17,7 +17,8 @@ TICKS = """ticks AS (
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume, event_type,
          CASE WHEN event_type IN ('purchase', 'click') THEN 'bid'
               WHEN event_type IN ('view', 'signup') THEN 'ask' END AS side,
-         value - CAST(0.01 AS DOUBLE) AS bid, value + CAST(0.01 AS DOUBLE) AS ask,
+         value - (CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1) / 1000 AS bid,
+         value + (CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1) / 1000 AS ask,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS bid_volume,
          100 - CAST(json_extract_string(props, '$.k') AS DOUBLE) AS ask_volume
   FROM events)"""

@@ -155,7 +155,7 @@ def _(spark, sf_dir):
        format('{:,}', CAST(floor(value * 1000) AS BIGINT)) AS volume,
        CASE WHEN value - 50 >= 0 THEN '+' ELSE '' END || printf('%.2f', value - 50) AS pnl,
        printf('%.2f', value / 500 * 100) || '%' AS pct,
-       CASE WHEN value * 97.3 >= 1000 THEN printf('%.1f', value * 97.3 / 1000) || 'K' ELSE printf('%.1f', value * 97.3) END AS big FROM events
+       CASE WHEN value * 100 + 1.37 >= 1000 THEN printf('%.1f', (value * 100 + 1.37) / 1000) || 'K' ELSE printf('%.1f', value * 100 + 1.37) END AS big FROM events
        WHERE event_id >= 0""",
 )
 def _(spark, sf_dir):
@@ -164,7 +164,7 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
         "event_id", us.alias("us"), F.timestamp_micros(us).alias("back"), S.format_price(v).alias("price"),
         S.format_volume(F.floor(v * 1000)).alias("volume"), S.format_pnl(v - 50).alias("pnl"),
-        S.format_percent(v / 500).alias("pct"), S.format_large(v * 97.3).alias("big"),
+        S.format_percent(v / 500).alias("pct"), S.format_large(v * 100 + 1.37).alias("big"),
     )
 
 

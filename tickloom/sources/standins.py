@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event: price, volume, side by event type and a quote a cent either way."""
+    """One row per event: price, volume, side by event type and a quote around the price."""
     volume = F.get_json_object("props", "$.k").cast("double")
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("symbol"),
@@ -25,8 +25,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type").isin("purchase", "click"), F.lit("bid"))
         .when(F.col("event_type").isin("view", "signup"), F.lit("ask"))
         .alias("side"),
-        (F.col("value") - F.lit(0.01)).alias("bid"),
-        (F.col("value") + F.lit(0.01)).alias("ask"),
+        (F.col("value") - (volume + 1) / 1000).alias("bid"),
+        (F.col("value") + (volume + 1) / 1000).alias("ask"),
         (volume + F.lit(1.0)).alias("bid_volume"),
         (F.lit(100.0) - volume).alias("ask_volume"),
     )
