@@ -100,3 +100,14 @@ def query(name: str, sql: str | None = None, digits: int = 6):
         return fn
 
     return keep
+
+
+BOOK_LEVELS = """lv AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS symbol, date_trunc('month', l_shipdate) AS ts,
+         CASE WHEN l_linestatus = 'F' THEN 'bid' ELSE 'ask' END AS side,
+         floor(l_extendedprice / l_quantity) + CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1000 END AS price,
+         l_quantity AS volume, l_orderkey AS order_id, l_linenumber AS line_no, l_discount AS discount,
+         l_tax AS tax, l_returnflag AS flag, l_partkey AS part
+  FROM lineitem),
+rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END,
+         order_id, line_no, volume, discount, tax, flag, part) AS level FROM lv)"""

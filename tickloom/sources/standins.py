@@ -58,3 +58,25 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.col("o_orderpriority").alias("priority"),
     )
+
+
+BOOK_TIE = ("order_id", "line_no", "volume", "discount", "tax", "flag", "part")
+
+
+def book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines of a supplier and month as the levels of one book: F bids, O asks 1000 higher."""
+    bid = F.col("l_linestatus") == "F"
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("symbol"),
+        F.date_trunc("month", F.col("l_shipdate").cast("timestamp")).alias("ts"),
+        F.when(bid, F.lit("bid")).otherwise(F.lit("ask")).alias("side"),
+        F.when(bid, price).otherwise(price + 1000).alias("price"),
+        F.col("l_quantity").alias("volume"),
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("line_no"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"),
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_partkey").alias("part"),
+    )
