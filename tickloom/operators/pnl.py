@@ -97,12 +97,7 @@ def average_cost(
     a = F.when(opens | flips, F.lit(0.0)).when(adds, F.lit(1.0)).otherwise(F.coalesce(ratio(after, before), F.lit(0.0)))
     b = F.when(opens | adds, q * p).when(flips, after * p).otherwise(F.lit(0.0))
     stepped = pos.withColumns({"_a": a, "_b": b, "_before": before})
-    cost = recurrence(stepped, "_a", "_b", "_cost", **how)
-
-    def prior(d, w):
-        return d.withColumn("_cost_before", F.coalesce(F.lag("_cost").over(w), F.lit(0.0)))
-
-    cost = windowed(cost, prior, back=1, **how)
+    cost = recurrence(stepped, "_a", "_b", "_cost", before="_cost_before", **how)
     avg_before = F.coalesce(ratio("_cost_before", "_before"), F.lit(0.0))
     closing = F.when((F.col("_before") * F.col("_q") < 0), F.least(F.abs("_before"), F.abs("_q"))).otherwise(F.lit(0.0))
     realised = closing * (F.col("price") - avg_before) * F.signum("_before")

@@ -1,28 +1,56 @@
 """The recurrence y[t] = a[t] * y[t-1] + b[t] with coefficients known per row.
 
-Two steps compose into one step of the same form, so a hot key is cut into
-blocks: every block is reduced to one (a, b) pair, the pairs are chained, and
-each block is then filled in from its own starting value.
+Two steps compose into one step of the same form.  A task walks its sorted rows
+in Arrow batches, holding one pair (a, b) per running key, so no key is ever
+collected.  A hot key is cut into blocks: each block is walked from an unknown
+start, the blocks' totals are chained, and the start is put in afterwards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import accumulate
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.plans.series import hot_keys, place
 
+_PARTS = ("_A", "_B", "_Ap", "_Bp")
 
-def _follow(a, b, start: float) -> list[float]:
-    steps = accumulate(zip(a, b), lambda y, s: s[0] * y + s[1], initial=start)
-    next(steps)
-    return list(steps)
+
+def _walk(df: DataFrame, a: str, b: str, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add the composed pair up to each row (_A, _B) and up to the row before (_Ap, _Bp)."""
+    schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in _PARTS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, A, B = None, 1.0, 0.0
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            new = np.zeros(n, dtype=bool)
+            for k in group:
+                col = batch.column(k)
+                if n > 1:
+                    new[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            new[0] = last != tuple(batch.column(k)[0].as_py() for k in group)
+            last = tuple(batch.column(k)[n - 1].as_py() for k in group)
+            rows = zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), new.tolist())
+            out = np.empty((4, n))
+            for i, (x, y, first) in enumerate(rows):
+                if first:
+                    A, B = 1.0, 0.0
+                out[2, i], out[3, i] = A, B
+                A, B = A * x, x * B + y
+                out[0, i], out[1, i] = A, B
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in out]], names=[*batch.schema.names, *_PARTS])
+
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
 
 
 def recurrence(
@@ -31,54 +59,39 @@ def recurrence(
     b: str,
     out: str,
     *,
+    before: str | None = None,
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("ts", "seq"),
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Add ``out`` following the recurrence from y = 0; keys are cut at ``rows_per_task``."""
-    final = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-    sort = list(order)
+    """Add ``out`` following the recurrence from y = 0, and its value one row earlier as ``before``.
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort, kind="stable")
-        return pdf.assign(**{out: _follow(pdf[a].to_numpy(), pdf[b].to_numpy(), 0.0)})
+    Keys must not be null; coefficients are doubles.
+    """
+    names = [F.col(c) for c in df.columns]
+
+    def finish(d: DataFrame, start) -> DataFrame:
+        cols = [(F.col("_B") + F.col("_A") * start).alias(out)]
+        if before:
+            cols.append((F.col("_Bp") + F.col("_Ap") * start).alias(before))
+        return d.select(*names, *cols)
 
     hot = hot_keys(df, keys, rows_per_task)
     if hot is None:
-        return df.groupBy(*keys).applyInPandas(whole, final)
+        return finish(_walk(df, a, b, keys, order), F.lit(0.0))
     cold, heavy = hot.split(df)
-    rows = place(heavy, keys, order, hot.block, hot.rows).withColumn(
-        "_blk", F.floor(F.col("_rn") / hot.block)
-    )
-    group = list(keys) + ["_blk"]
-    kept = T.StructType([rows.schema[k] for k in group])
-    pair = T.StructType(
-        kept.fields + [T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType())]
-    )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        av, bv = pdf[a].to_numpy(), pdf[b].to_numpy()
-        head = pdf.iloc[:1][group].reset_index(drop=True)
-        return head.assign(_a=float(av.prod()), _b=_follow(av, bv, 0.0)[-1])
-
+    rows = place(heavy, keys, order, hot.block, hot.rows).withColumn("_blk", F.floor(F.col("_rn") / hot.block))
+    group = [*keys, "_blk"]
+    walked = _walk(rows, a, b, group, ["_rn"])
+    # One pair per block of rows_per_task rows; the chain over them is short.
+    totals = walked.groupBy(*group).agg(F.max_by(F.struct("_A", "_B"), "_rn").alias("_t"))
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    # One pair per block of rows_per_task rows.
-    starts = rows.select(*group, "_rn", a, b).groupBy(*group).applyInPandas(fold, pair).select(
+    starts = totals.select(
         *[F.col(k).alias(f"_s{k}") for k in group],
         F.aggregate(
-            F.collect_list(F.struct("_blk", "_a", "_b")).over(earlier),
-            F.lit(0.0),
-            lambda y, s: s["_a"] * y + s["_b"],
+            F.collect_list("_t").over(earlier), F.lit(0.0), lambda y, t: t["_A"] * y + t["_B"]
         ).alias("_start"),
     )
-    match = reduce(lambda x, y: x & y, [rows[k].eqNullSafe(starts[f"_s{k}"]) for k in group])
-    seeded = rows.join(F.broadcast(starts), match).select(*[rows[c] for c in df.columns], "_rn", "_blk", "_start")
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        y = _follow(pdf[a].to_numpy(), pdf[b].to_numpy(), float(pdf["_start"].iloc[0]))
-        return pdf.assign(**{out: y})[[f.name for f in final.fields]]
-
-    filled = seeded.groupBy(*group).applyInPandas(part, final)
-    return cold.groupBy(*keys).applyInPandas(whole, final).unionByName(filled)
+    match = reduce(lambda x, y: x & y, [walked[k].eqNullSafe(starts[f"_s{k}"]) for k in group])
+    filled = finish(walked.join(F.broadcast(starts), match), F.col("_start"))
+    return finish(_walk(cold, a, b, keys, order), F.lit(0.0)).unionByName(filled)
