@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 
 from tickloom.plans.series import hot_keys, place
 
-_PARTS = ("_A", "_B", "_Ap", "_Bp")
+_PARTS = ("_ca", "_cb", "_pa", "_pb")
 
 
 def _walk(df: DataFrame, a: str, b: str, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add the composed pair up to each row (_A, _B) and up to the row before (_Ap, _Bp)."""
+    """Add the composed pair up to each row (_ca, _cb) and up to the row before (_pa, _pb)."""
     schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in _PARTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,9 +71,9 @@ def recurrence(
     names = [F.col(c) for c in df.columns]
 
     def finish(d: DataFrame, start) -> DataFrame:
-        cols = [(F.col("_B") + F.col("_A") * start).alias(out)]
+        cols = [(F.col("_cb") + F.col("_ca") * start).alias(out)]
         if before:
-            cols.append((F.col("_Bp") + F.col("_Ap") * start).alias(before))
+            cols.append((F.col("_pb") + F.col("_pa") * start).alias(before))
         return d.select(*names, *cols)
 
     hot = hot_keys(df, keys, rows_per_task)
@@ -84,12 +84,12 @@ def recurrence(
     group = [*keys, "_blk"]
     walked = _walk(rows, a, b, group, ["_rn"])
     # One pair per block of rows_per_task rows; the chain over them is short.
-    totals = walked.groupBy(*group).agg(F.max_by(F.struct("_A", "_B"), "_rn").alias("_t"))
+    totals = walked.groupBy(*group).agg(F.max_by(F.struct("_ca", "_cb"), "_rn").alias("_t"))
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *[F.col(k).alias(f"_s{k}") for k in group],
         F.aggregate(
-            F.collect_list("_t").over(earlier), F.lit(0.0), lambda y, t: t["_A"] * y + t["_B"]
+            F.collect_list("_t").over(earlier), F.lit(0.0), lambda y, t: t["_ca"] * y + t["_cb"]
         ).alias("_start"),
     )
     match = reduce(lambda x, y: x & y, [walked[k].eqNullSafe(starts[f"_s{k}"]) for k in group])
