@@ -144,9 +144,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     def add(df, w):
         prev = F.lag("price").over(w)
-        return df.select("symbol", "seq", (F.col("price") / prev - 1).alias("simple"), F.log(F.col("price") / prev).alias("log_ret"))
+        return df.withColumns({"simple": F.col("price") / prev - 1, "log_ret": F.log(F.col("price") / prev)})
 
-    return cleaning.by_series(ticks(spark, sf_dir), add, back=1)
+    return windowed(ticks(spark, sf_dir), add, back=1).select("symbol", "seq", "simple", "log_ret")
 
 
 @query(

@@ -8,8 +8,8 @@ from tickloom.catalog.registry import TICKS, TRADES, W, query, rounded
 from tickloom.catalog.risk import weights
 from tickloom.operators import joins as J
 from tickloom.operators import options as O
-from tickloom.operators import pnl as P
 from tickloom.operators import signals as G
+from tickloom.plans.series import windowed
 from tickloom.sources.standins import table, ticks, trades
 
 
@@ -127,14 +127,13 @@ def _(spark, sf_dir):
 def _fair(spark, sf_dir):
     """Quotes with the VWAP of the last ten purchases known at their time."""
     t = ticks(spark, sf_dir)
-    bought = P.windowed(
+    bought = windowed(
         t.filter("event_type = 'purchase'"),
-        lambda d, w: d.select(
-            "symbol", "ts", "seq",
-            F.try_divide(F.sum(F.col("price") * F.col("volume")).over(w.rowsBetween(-9, 0)), F.sum("volume").over(w.rowsBetween(-9, 0))).alias("vwap"),
+        lambda d, w: d.withColumn(
+            "vwap", F.try_divide(F.sum(F.col("price") * F.col("volume")).over(w.rowsBetween(-9, 0)), F.sum("volume").over(w.rowsBetween(-9, 0)))
         ),
         back=10,
-    )
+    ).select("symbol", "ts", "seq", "vwap")
     return G.fair_value(J.asof_join(t.filter("event_type <> 'purchase'"), bought))
 
 

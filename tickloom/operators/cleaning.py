@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.series import broadcast_if_small, quantiles, running, windowed
 
-by_series = windowed
-
-
 def keep_last(df: DataFrame, keys: Sequence[str] = ("symbol", "ts"), tie: Sequence[str] = ("seq",)) -> DataFrame:
     """One row per key, the last in ``tie`` order.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.plans.series import numbered, running, windowed
+from tickloom.plans.series import numbered, placed, running, unplaced, windowed
 
 CREATED, FILLED, CANCELLED = "order_created", "order_filled", "order_cancelled"
 
@@ -94,7 +94,7 @@ def illegal_transitions(log: DataFrame, rows_per_task: int | None = None) -> Dat
     how = {"keys": ("order_id",), "order": ("version",), "rows_per_task": rows_per_task}
     kind = F.col("event_type")
     state = running(
-        log,
+        placed(log, **how),
         {
             "_ordered": ("max", F.when(kind == CREATED, F.col("quantity"))),
             "_filled": ("sum", F.when(kind == FILLED, F.col("quantity")).otherwise(F.lit(0.0))),
@@ -111,7 +111,7 @@ def illegal_transitions(log: DataFrame, rows_per_task: int | None = None) -> Dat
     late = F.col("_done") & kind.isin(FILLED, CANCELLED)
     fault = F.when(late, "after_terminal").when(over, "overfill")
     out = windowed(state, before, back=1, **how).withColumn("fault", fault).filter(F.col("fault").isNotNull())
-    return out.drop("_ordered", "_filled", "_cancels", "_done")
+    return unplaced(out).drop("_ordered", "_filled", "_cancels", "_done")
 
 
 def execution_summary(orders: DataFrame, executions: DataFrame) -> DataFrame:

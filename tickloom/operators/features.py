@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import ratio, safe_divide
 from tickloom.plans.decay import Decay, add_decays, by_span
-from tickloom.plans.series import running, windowed
+from tickloom.plans.series import placed, running, windowed
 
 Build = Callable[[WindowSpec], Column]
 
@@ -406,7 +406,7 @@ def sessions(df: DataFrame, gap_seconds: float = 3600.0, keys: Sequence[str] = (
         pause = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)
         return F.coalesce((pause >= gap).cast("int"), F.lit(1))
 
-    marked = compute(df, [Feature("_opens", opens, back=1)], keys=keys, **series)
+    marked = compute(placed(df, keys=keys, **series), [Feature("_opens", opens, back=1)], keys=keys, **series)
     ided = running(marked, {"session": ("sum", c("_opens"))}, keys=keys, **series)
     return ided.groupBy(*keys, "session").agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("rows")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.scalars import ratio
-from tickloom.plans.series import broadcast_if_small, numbered, quantiles, windowed
+from tickloom.plans.series import broadcast_if_small, numbered, placed, quantiles, running, unplaced, windowed
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -235,9 +235,7 @@ def anomaly_distance(df: DataFrame, columns: Sequence[str], contamination: float
 
 def regime_change(df: DataFrame, score: str, n: int = 10, factor: float = 2.0, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), **how) -> DataFrame:
     """Whether the mean of the last ``n`` scores is above ``factor`` times the mean of all before them."""
-    from tickloom.plans.series import running
-
-    totals = running(df, {"_sum": ("sum", F.col(score)), "_count": ("count", F.lit(1))}, keys=keys, order=order, **how)
+    totals = running(placed(df, keys=keys, order=order, **how), {"_sum": ("sum", F.col(score)), "_count": ("count", F.lit(1))}, keys=keys, order=order, **how)
 
     def add(d, w):
         recent = w.rowsBetween(-(n - 1), 0)
@@ -245,7 +243,7 @@ def regime_change(df: DataFrame, score: str, n: int = 10, factor: float = 2.0, k
 
     out = windowed(totals, add, keys=keys, order=order, back=n, **how).withColumn("earlier_mean", F.try_divide("_s", "_c"))
     flag = F.coalesce(F.col("recent_mean") > F.lit(factor) * F.col("earlier_mean"), F.lit(False))
-    return out.withColumn("regime_change", flag).drop("_sum", "_count", "_s", "_c")
+    return unplaced(out).withColumn("regime_change", flag).drop("_sum", "_count", "_s", "_c")
 
 
 def l2_normalise(df: DataFrame, vector: str) -> DataFrame:

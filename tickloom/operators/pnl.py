@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import ratio
-from tickloom.plans.merging import asof_join, overlap_lots
+from tickloom.plans.merging import asof_join, overlap_points
 from tickloom.plans.recurrence import recurrence
-from tickloom.plans.series import running, windowed
+from tickloom.plans.series import placed, running, unplaced, windowed
 
 
 def is_buy(side: str = "side") -> Column:
@@ -21,10 +21,8 @@ def signed_volume() -> Column:
     return F.when(is_buy(), F.col("volume")).otherwise(-F.col("volume"))
 
 
-def fifo_lots(
-    df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), rows_per_task: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Buys and matched sells as consecutive lots (column ``hi``) on the axis of bought volume.
+def _fifo_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int | None) -> DataFrame:
+    """Buys and matched sells with the end ``hi`` of their lot on the axis of bought volume.
 
     With S the running signed volume, sells matched so far are
     (all sells so far) + min(0, lowest S so far): whatever drove S below zero
@@ -32,7 +30,7 @@ def fifo_lots(
     """
     how = {"keys": keys, "order": order, "rows_per_task": rows_per_task}
     sums = running(
-        df,
+        placed(df, **how),
         {
             "_bought": ("sum", F.when(is_buy(), F.col("volume")).otherwise(F.lit(0.0))),
             "_sold": ("sum", F.when(is_buy(), F.lit(0.0)).otherwise(F.col("volume"))),
@@ -44,18 +42,29 @@ def fifo_lots(
         "_matched", F.col("_sold") + F.least(F.lit(0.0), F.col("_low"))
     )
     steps = windowed(low, lambda d, w: d.withColumn("_before", F.coalesce(F.lag("_matched").over(w), F.lit(0.0))), back=1, **how)
-    buys = steps.filter(is_buy()).withColumn("hi", F.col("_bought"))
-    sells = steps.filter(~is_buy() & (F.col("_matched") > F.col("_before"))).withColumn("hi", F.col("_matched"))
-    own = [*df.columns, "hi"]
-    return buys.select(*own), sells.select(*own)
+    lots = steps.filter(is_buy() | (F.col("_matched") > F.col("_before")))
+    return unplaced(lots).select(*df.columns, F.when(is_buy(), F.col("_bought")).otherwise(F.col("_matched")).alias("hi"))
+
+
+def fifo_lots(
+    df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), rows_per_task: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Buys and matched sells as two sets of consecutive lots (column ``hi``)."""
+    lots = _fifo_steps(df, keys, order, rows_per_task)
+    return lots.filter(is_buy()), lots.filter(~is_buy())
 
 
 def fifo_pnl(
     df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), rows_per_task: int | None = None
 ) -> DataFrame:
     """Realised profit per sell: every piece of it against the buy it meets first-in first-out."""
-    buys, sells = fifo_lots(df, keys, order, rows_per_task)
-    met = overlap_lots(sells, buys, keys=keys, rows_per_task=rows_per_task)
+    lots = _fifo_steps(df, keys, order, rows_per_task)
+    lot = F.struct(*[c for c in lots.columns if c not in keys])
+    points = lots.select(
+        *keys, (-F.col("hi")).alias("_neg"), is_buy().cast("int").alias("_side"),
+        F.when(~is_buy(), lot).alias("_l"), F.when(is_buy(), lot).alias("_r"),
+    )
+    met = overlap_points(points, keys=keys, rows_per_task=rows_per_task)
     gain = (F.col("left.price") - F.col("right.price")) * F.col("overlap")
     return met.groupBy(*keys, *[F.col(f"left.{c}").alias(c) for c in df.columns if c not in keys], F.col("left.hi").alias("hi")).agg(
         F.sum(gain).alias("pnl"), F.sum("overlap").alias("matched"), F.count("*").alias("lots")
@@ -88,7 +97,7 @@ def average_cost(
     which are a running sum, each case is a step cost = a * cost + b.
     """
     how = {"keys": keys, "order": order, "rows_per_task": rows_per_task}
-    pos = running(df.withColumn("_q", signed_volume()), {"position": ("sum", F.col("_q"))}, **how)
+    pos = running(placed(df, **how).withColumn("_q", signed_volume()), {"position": ("sum", F.col("_q"))}, **how)
     before, after, q, p = F.col("position") - F.col("_q"), F.col("position"), F.col("_q"), F.col("price")
     tiny = 1e-9
     opens = F.abs(before) < tiny
@@ -104,7 +113,7 @@ def average_cost(
     avg = F.when(F.abs("position") < tiny, F.lit(0.0)).otherwise(ratio("_cost", "position"))
     out = cost.withColumns({"realized": realised, "average_price": avg})
     total = running(out, {"realized_pnl": ("sum", F.col("realized"))}, **how)
-    return total.drop("_q", "_a", "_b", "_before", "_cost", "_cost_before")
+    return unplaced(total).drop("_q", "_a", "_b", "_before", "_cost", "_cost_before")
 
 
 def last_state(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), columns: Sequence[str] = ()) -> DataFrame:

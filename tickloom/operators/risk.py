@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import ratio
 from tickloom.plans.pairs import pair_moments, pair_stats
-from tickloom.plans.series import broadcast_if_small, quantiles, running, windowed
+from tickloom.plans.series import broadcast_if_small, placed, quantiles, running, unplaced, windowed
 
 TRADING_DAYS = 252
 # Normal quantiles for the usual confidence levels, and those of the simple position figure.
@@ -32,7 +32,7 @@ def drawdown(
 ) -> DataFrame:
     """Deepest fall per key in money and as a fraction of the peak (null for a peak <= 0), with peak and trough time."""
     v = F.col(value)
-    top = running(df, {"_peak": ("max", v)}, keys=keys, order=order, **how)
+    top = running(placed(df, keys=keys, order=order, **how), {"_peak": ("max", v)}, keys=keys, order=order, **how)
     fall = F.col("_peak") - v
     share = F.when(F.col("_peak") > 0, fall / F.col("_peak"))
     marked = top.withColumns({"_fall": fall, "_share": share, "_us": F.unix_micros(ts)})
@@ -47,7 +47,8 @@ def drawdown(
 
 def pnl_drawdown(df: DataFrame, pnl: str = "ret", keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), **how) -> DataFrame:
     """Lowest value of the running sum minus its running maximum (zero or negative)."""
-    x = running(df.filter(F.col(pnl).isNotNull()), {"_sum": ("sum", F.col(pnl))}, keys=keys, order=order, **how)
+    known = placed(df.filter(F.col(pnl).isNotNull()), keys=keys, order=order, **how)
+    x = running(known, {"_sum": ("sum", F.col(pnl))}, keys=keys, order=order, **how)
     x = running(x, {"_max": ("max", F.col("_sum"))}, keys=keys, order=order, **how)
     return x.groupBy(*keys).agg(F.min(F.col("_sum") - F.col("_max")).alias("pnl_drawdown"))
 
@@ -111,9 +112,9 @@ def rolling_sharpe(returns: DataFrame, ret: str = "ret", n: int = TRADING_DAYS,
         value = F.when(mean.isNotNull(), _zero_if_flat(F.try_divide(mean, sd) * F.lit(math.sqrt(TRADING_DAYS)), sd))
         return d.withColumn("rolling_sharpe", value)
 
-    out = windowed(returns, add, keys=keys, order=order, back=n, **how)
+    out = windowed(placed(returns, keys=keys, order=order, **how), add, keys=keys, order=order, back=n, **how)
     grown = running(out, {"_log": ("sum", F.log1p(F.col(ret)))}, keys=keys, order=order, **how)
-    return grown.withColumn("cumulative_return_pct", (F.exp(F.coalesce("_log", F.lit(0.0))) - 1) * 100).drop("_log")
+    return unplaced(grown).withColumn("cumulative_return_pct", (F.exp(F.coalesce("_log", F.lit(0.0))) - 1) * 100).drop("_log")
 
 
 def portfolio_variance(returns: DataFrame, weights: DataFrame, at: str = "bar", ret: str = "ret", **shape) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.plans.series import running, windowed
+from tickloom.plans.series import placed, running, unplaced, windowed
 
 
 def asof_join(
@@ -72,20 +72,30 @@ def overlap_lots(
             lot.alias(mine), F.lit(None).cast(other_type).alias(other),
         )
 
-    # Walking down the axis, the lot covering a stretch is the last end seen.
     both = points(left, "_l", "_r", rt, 0).unionByName(points(right, "_r", "_l", lt, 1))
+    return overlap_points(both, keys=keys, rows_per_task=rows_per_task)
+
+
+def overlap_points(points: DataFrame, *, keys: Sequence[str] = ("symbol",), rows_per_task: int | None = None) -> DataFrame:
+    """``overlap_lots`` for lot ends already in one frame.
+
+    Columns: keys, ``_neg`` (minus the end), ``_side`` (0 left, 1 right) and the
+    structs ``_l``, ``_r``, of which one is set.
+    """
+    # Walking down the axis, the lot covering a stretch is the last end seen.
     order = ("_neg", "_side")
+    how = {"keys": keys, "order": order, "rows_per_task": rows_per_task}
     covered = running(
-        both, {"left": ("last", F.col("_l")), "right": ("last", F.col("_r"))},
-        keys=keys, order=order, rows_per_task=rows_per_task,
+        placed(points, **how), {"left": ("last", F.col("_l")), "right": ("last", F.col("_r"))},
+        **how,
     ).drop("_l", "_r")
     cut = windowed(
         covered,
         lambda df, w: df.withColumn(
             "overlap", -F.col("_neg") + F.coalesce(F.lead("_neg", 1).over(w), F.lit(0.0))
         ),
-        keys=keys, order=order, ahead=1, rows_per_task=rows_per_task,
+        ahead=1, **how,
     )
-    return cut.filter(
+    return unplaced(cut).filter(
         F.col("left").isNotNull() & F.col("right").isNotNull() & (F.col("overlap") > 0)
     ).select(*keys, "left", "right", "overlap")

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.plans.series import hot_keys, place
+from tickloom.plans.series import RANK, split_hot
 
-_PARTS = ("_ca", "_cb", "_pa", "_pb")
+_PARTS = ("__ca", "__cb", "__pa", "__pb")
 
 
 def _walk(df: DataFrame, a: str, b: str, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add the composed pair up to each row (_ca, _cb) and up to the row before (_pa, _pb)."""
+    """Add the composed pair up to each row (__ca, __cb) and up to the row before (__pa, __pb)."""
     schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in _PARTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,27 +71,27 @@ def recurrence(
     names = [F.col(c) for c in df.columns]
 
     def finish(d: DataFrame, start) -> DataFrame:
-        cols = [(F.col("_cb") + F.col("_ca") * start).alias(out)]
+        cols = [(F.col("__cb") + F.col("__ca") * start).alias(out)]
         if before:
-            cols.append((F.col("_pb") + F.col("_pa") * start).alias(before))
+            cols.append((F.col("__pb") + F.col("__pa") * start).alias(before))
         return d.select(*names, *cols)
 
-    hot = hot_keys(df, keys, rows_per_task)
-    if hot is None:
-        return finish(_walk(df, a, b, keys, order), F.lit(0.0))
-    cold, heavy = hot.split(df)
-    rows = place(heavy, keys, order, hot.block, hot.rows).withColumn("_blk", F.floor(F.col("_rn") / hot.block))
-    group = [*keys, "_blk"]
-    walked = _walk(rows, a, b, group, ["_rn"])
+    cold, rows, block, _ = split_hot(df, keys, order, rows_per_task)
+    plain = None if cold is None else finish(_walk(cold, a, b, keys, order), F.lit(0.0))
+    if rows is None:
+        return plain
+    rows = rows.withColumn("__blk", F.floor(F.col(RANK) / block))
+    group = [*keys, "__blk"]
+    walked = _walk(rows, a, b, group, [RANK])
     # One pair per block of rows_per_task rows; the chain over them is short.
-    totals = walked.groupBy(*group).agg(F.max_by(F.struct("_ca", "_cb"), "_rn").alias("_t"))
-    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = walked.groupBy(*group).agg(F.max_by(F.struct("__ca", "__cb"), RANK).alias("__t"))
+    earlier = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *[F.col(k).alias(f"_s{k}") for k in group],
+        *[F.col(k).alias(f"__s{k}") for k in group],
         F.aggregate(
-            F.collect_list("_t").over(earlier), F.lit(0.0), lambda y, t: t["_ca"] * y + t["_cb"]
-        ).alias("_start"),
+            F.collect_list("__t").over(earlier), F.lit(0.0), lambda y, t: t["__ca"] * y + t["__cb"]
+        ).alias("__start"),
     )
-    match = reduce(lambda x, y: x & y, [walked[k].eqNullSafe(starts[f"_s{k}"]) for k in group])
-    filled = finish(walked.join(F.broadcast(starts), match), F.col("_start"))
-    return finish(_walk(cold, a, b, keys, order), F.lit(0.0)).unionByName(filled)
+    match = reduce(lambda x, y: x & y, [walked[k].eqNullSafe(starts[f"__s{k}"]) for k in group])
+    filled = finish(walked.join(F.broadcast(starts), match), F.col("__start"))
+    return filled if plain is None else plain.unionByName(filled)

@@ -11,6 +11,7 @@ only the hot ones into blocks of consecutive rows:
   on its own and the totals of the earlier blocks are added.
 * ``quantiles`` - exact interpolated quantiles, read off at their rank.
 
+``placed`` finds and numbers the rows of hot keys once for several such steps.
 A table too small to hold a hot key is recognised from the optimizer's size
 estimate, without running a job.
 """
@@ -31,6 +32,7 @@ ROWS_PER_TASK = 4_000_000
 # estimated size is below rows_per_task * this value cannot hold a hot key.
 MIN_ROW_BYTES = 4
 BROADCAST_BYTES = 64 * 1024 * 1024
+RANK = "__rn"
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -61,7 +63,7 @@ class HotKeys:
         if not self.keys:
             return df.limit(0), df
         listed = F.broadcast(self.table)
-        same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(listed[f"_{k}"]) for k in self.keys))
+        same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(listed[f"__k_{k}"]) for k in self.keys))
         return df.join(listed, same, "left_anti"), df.join(listed, same, "left_semi")
 
 
@@ -70,20 +72,20 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = Non
     block = rows_per_task or ROWS_PER_TASK
     if estimated_bytes(df) < block * MIN_ROW_BYTES:
         return None
-    heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+    heavy = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > block)
     # The list is bounded: every entry stands for more than `block` rows.
     found = heavy.collect()
     if not found:
         return None
-    renamed = heavy.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    renamed = heavy.select(*[F.col(k).alias(f"__k_{k}") for k in keys])
     listed = df.sparkSession.createDataFrame(
         [tuple(r[k] for k in keys) for r in found], renamed.schema
     ) if keys else df.sparkSession.range(1)
-    return HotKeys(tuple(keys), listed, sum(r["_n"] for r in found), block)
+    return HotKeys(tuple(keys), listed, sum(r["__n"] for r in found), block)
 
 
 def place(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: int, rows: int) -> DataFrame:
-    """Add ``_rn``, the 0-based position of a row inside its key, without one task per key.
+    """Add ``__rn``, the 0-based position of a row inside its key, without one task per key.
 
     Rows are range-partitioned and sorted on (key, order), so a large key spans
     many partitions.  The position is the offset inside the partition plus the
@@ -96,37 +98,72 @@ def place(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: int,
     sorted_rows = (
         df.repartitionByRange(parts, *keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_pid", F.shiftright("_mid", 33))
+        .withColumn("__mid", F.monotonically_increasing_id())
+        .withColumn("__pid", F.shiftright("__mid", 33))
     )
     # The range bounds come from a sample: fix the placement before reading it twice.
     stored = durable(sorted_rows)
     starts = (
-        stored.groupBy(*keys, "_pid")
-        .agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
+        stored.groupBy(*keys, "__pid")
+        .agg(F.min("__mid").alias("__first"), F.count("*").alias("__n"))
         .withColumn(
-            "_before",
+            "__before",
             F.coalesce(
-                F.sum("_n").over(
-                    Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+                F.sum("__n").over(
+                    Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
                 ),
                 F.lit(0),
             ),
         )
-        .select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_pid").alias("_s_pid"), "_first", "_before")
+        .select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col("__pid").alias("__s_pid"), "__first", "__before")
     )
     match = reduce(
         lambda a, b: a & b,
-        [stored[k].eqNullSafe(starts[f"_s_{k}"]) for k in keys],
-        stored["_pid"] == starts["_s_pid"],
+        [stored[k].eqNullSafe(starts[f"__s_{k}"]) for k in keys],
+        stored["__pid"] == starts["__s_pid"],
     )
     return (
         stored.join(F.broadcast(starts), match)
-        .withColumn("_rn", F.col("_mid") - F.col("_first") + F.col("_before"))
-        .drop("_mid", "_pid", "_s_pid", "_first", "_before", *[f"_s_{k}" for k in keys])
+        .withColumn("__rn", F.col("__mid") - F.col("__first") + F.col("__before"))
+        .drop("__mid", "__pid", "__s_pid", "__first", "__before", *[f"__s_{k}" for k in keys])
     )
 
 
+def placed(
+    df: DataFrame, *, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), rows_per_task: int | None = None
+) -> DataFrame:
+    """Settle once, for a chain of ``windowed`` and ``running`` steps on one key and order,
+    which rows belong to hot keys and where they stand.
+
+    The steps recognise the column this adds; end the chain with ``unplaced``.
+    """
+    if RANK in df.columns or estimated_bytes(df) < (rows_per_task or ROWS_PER_TASK) * MIN_ROW_BYTES:
+        return df
+    cold, rows, _, _ = split_hot(df, keys, order, rows_per_task)
+    parts = [] if cold is None else [cold.withColumn(RANK, F.lit(None).cast("long"))]
+    if rows is not None:
+        parts.append(rows)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def unplaced(df: DataFrame) -> DataFrame:
+    return df.drop(RANK)
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int | None
+) -> tuple[DataFrame | None, DataFrame | None, int, bool]:
+    """Rows of ordinary keys, numbered rows of hot keys, block length, and whether to keep the numbers."""
+    block = rows_per_task or ROWS_PER_TASK
+    if RANK in df.columns:
+        return df.filter(F.col(RANK).isNull()), df.filter(F.col(RANK).isNotNull()), block, True
+    hot = hot_keys(df, keys, rows_per_task)
+    if hot is None:
+        return df, None, block, False
+    cold, heavy = hot.split(df)
+    return (cold if hot.keys else None), place(heavy, keys, order, block, hot.rows), block, False
+
+
 def windowed(
     df: DataFrame,
     add: Callable[[DataFrame, WindowSpec], DataFrame],
@@ -137,15 +174,17 @@ def windowed(
     ahead: int = 0,
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Apply ``add(df, window)``; its frames may reach ``back`` rows behind and ``ahead`` rows on."""
-    hot = hot_keys(df, keys, rows_per_task)
-    if hot is None:
-        return add(df, spec(keys, order))
-    cold, heavy = hot.split(df)
-    block = max(hot.block, back, ahead, 1)
-    rows = place(heavy, keys, order, block, hot.rows)
-    offset = F.col("_rn") % block
-    home = F.floor(F.col("_rn") / block)
+    """Apply ``add(df, window)``; its frames may reach ``back`` rows behind and ``ahead`` rows on.
+
+    ``add`` adds columns and keeps all it is given.
+    """
+    cold, rows, block, keep = split_hot(df, keys, order, rows_per_task)
+    plain = None if cold is None else add(cold, spec(keys, order))
+    if rows is None:
+        return plain
+    block = max(block, back, ahead, 1)
+    offset = F.col(RANK) % block
+    home = F.floor(F.col(RANK) / block)
     targets = F.array_compact(
         F.array(
             home,
@@ -153,10 +192,10 @@ def windowed(
             F.when((offset < ahead) & (home > 0), home - 1),
         )
     )
-    spread = rows.withColumn("_home", home).withColumn("_at", F.explode(targets))
-    done = add(spread, Window.partitionBy(*keys, "_at").orderBy("_rn"))
-    kept = done.filter(F.col("_at") == F.col("_home")).drop("_home", "_at", "_rn")
-    plain = add(cold, spec(keys, order)) if hot.keys else None
+    spread = rows.withColumn("__home", home).withColumn("__at", F.explode(targets))
+    done = add(spread, Window.partitionBy(*keys, "__at").orderBy(RANK))
+    kept = done.filter(F.col("__at") == F.col("__home")).drop("__home", "__at")
+    kept = kept if keep else kept.drop(RANK)
     return kept if plain is None else plain.unionByName(kept)
 
 
@@ -199,51 +238,49 @@ def running(
     ``values`` maps an output name to ``(kind, expression)``; the kind is one of
     sum, count, max, min, last (last non-null).
     """
-    hot = hot_keys(df, keys, rows_per_task)
-    if hot is None:
+    cold, rows, block, keep = split_hot(df, keys, order, rows_per_task)
+    plain = None
+    if cold is not None:
         frame = spec(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[_over(k, v, frame).alias(n) for n, (k, v) in values.items()])
-    cold, heavy = hot.split(df)
-    rows = place(heavy, keys, order, hot.block, hot.rows).withColumn(
-        "_blk", F.floor(F.col("_rn") / hot.block)
-    )
-    totals = rows.groupBy(*keys, "_blk").agg(
+        plain = cold.select("*", *[_over(k, v, frame).alias(n) for n, (k, v) in values.items()])
+    if rows is None:
+        return plain
+    rows = rows.withColumn("__blk", F.floor(F.col(RANK) / block))
+    totals = rows.groupBy(*keys, "__blk").agg(
         *[
             (
-                F.max_by(v, F.when(v.isNotNull(), F.col("_rn"))) if k == "last" else _FOLD[k](v)
-            ).alias(f"_t_{n}")
+                F.max_by(v, F.when(v.isNotNull(), F.col("__rn"))) if k == "last" else _FOLD[k](v)
+            ).alias(f"__t_{n}")
             for n, (k, v) in values.items()
         ]
     )
     # One row per block, so this window is over (rows / block) rows.
-    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.col("_blk").alias("_c_blk"),
+        *[F.col(k).alias(f"__c_{k}") for k in keys],
+        F.col("__blk").alias("__c_blk"),
         *[
-            _over("sum" if k == "count" else k, F.col(f"_t_{n}"), earlier).alias(f"_c_{n}")
+            _over("sum" if k == "count" else k, F.col(f"__t_{n}"), earlier).alias(f"__c_{n}")
             for n, (k, v) in values.items()
         ],
     )
     match = reduce(
         lambda a, b: a & b,
-        [rows[k].eqNullSafe(carry[f"_c_{k}"]) for k in keys],
-        rows["_blk"] == carry["_c_blk"],
+        [rows[k].eqNullSafe(carry[f"__c_{k}"]) for k in keys],
+        rows["__blk"] == carry["__c_blk"],
     )
-    frame = Window.partitionBy(*keys, "_blk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    frame = Window.partitionBy(*keys, "__blk").orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)
     merged = (
         rows.join(F.broadcast(carry), match, "left")
         .select(
             *[rows[c] for c in df.columns],
             *[
-                _joined(k, _over(k, v, frame), F.col(f"_c_{n}")).alias(n)
+                _joined(k, _over(k, v, frame), F.col(f"__c_{n}")).alias(n)
                 for n, (k, v) in values.items()
             ],
         )
     )
-    if not hot.keys:
-        return merged
-    return running(cold, values, keys=keys, order=order, rows_per_task=2**62).unionByName(merged)
+    return merged if plain is None else plain.unionByName(merged)
 
 
 def numbered(
@@ -280,13 +317,13 @@ def quantiles(
         return present.groupBy(*keys).agg(*direct)
     cold, heavy = hot.split(present)
     ranked = place(heavy, keys, ["_v"], hot.block, hot.rows)
-    sizes = heavy.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = heavy.groupBy(*keys).agg(F.count("*").alias("__n"))
     match = [ranked[k].eqNullSafe(sizes[k]) for k in keys]
     near = ranked.join(F.broadcast(sizes), reduce(lambda a, b: a & b, match, F.lit(True)))
     picks = []
     for n, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(p)
-        weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("_rn") - at))
+        at = (F.col("__n") - 1) * F.lit(p)
+        weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("__rn") - at))
         # Only the ranks around `at` have a weight, and their weights add up to one.
         picks.append(F.sum(F.when(weight > 0, weight * F.col("_v"))).alias(n))
     result = near.groupBy(*[ranked[k] for k in keys]).agg(*picks)
@@ -316,11 +353,11 @@ def time_windowed(
     home = F.floor(us / cell)
     spread = (
         df.withColumn("_us", us)
-        .withColumn("_home", home)
+        .withColumn("__home", home)
         .withColumn(
-            "_at",
+            "__at",
             F.explode(F.array_compact(F.array(home, F.when(us - home * cell >= cell - span, home + 1)))),
         )
     )
-    done = add(spread, Window.partitionBy(*keys, "_at").orderBy("_us"))
-    return done.filter(F.col("_at") == F.col("_home")).drop("_home", "_at", "_us")
+    done = add(spread, Window.partitionBy(*keys, "__at").orderBy("_us"))
+    return done.filter(F.col("__at") == F.col("__home")).drop("__home", "__at", "_us")

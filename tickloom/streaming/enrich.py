@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import ratio
-from tickloom.plans.series import running, windowed
+from tickloom.plans.series import placed, running, windowed
 
 Transform = Callable[[DataFrame], DataFrame]
 _ORDER = ("_new", "ts", "seq")
@@ -27,7 +27,7 @@ def enrich_batch(batch: DataFrame, carried: DataFrame | None, rows_per_task: int
         rows = rows.unionByName(carried.select("symbol", "ts", "seq", F.lit("tick").alias("kind"), "price", F.lit(0).alias("_new")))
     how = {"order": _ORDER, "rows_per_task": rows_per_task}
     tick = F.col("kind") == "tick"
-    seen = running(rows, {"_last": ("last", F.when(tick, F.col("price")))}, **how)
+    seen = running(placed(rows, **how), {"_last": ("last", F.when(tick, F.col("price")))}, **how)
     seen = windowed(seen, lambda d, w: d.withColumn("_before", F.lag("_last").over(w)), back=1, **how)
     change = F.when(tick, F.col("price") - F.col("_before"))
     side = F.when(~tick & F.col("_last").isNotNull(), F.when(F.col("price") >= F.col("_last"), "buy").otherwise("sell"))
