@@ -47,7 +47,8 @@ def test_missing_time_needs_an_index(spark):
 
 
 def test_parquet_layout_prunes_dates(spark, tmp_path):
-    df = files.generate_ticks(spark, 200).select(F.col("ts").alias("timestamp"), "price", "volume", "symbol")
+    plan = spark.createDataFrame([("A", 200, 100.0)], "symbol string, rows long, start_price double")
+    df = files.generate_ticks(plan).select(F.col("ts").alias("timestamp"), "price", "volume", "symbol")
     files.write_tick_parquet(df, str(tmp_path / "t"), "gzip")
     back = files.date_range(files.read_tick_parquet(spark, str(tmp_path / "t")), "2024-01-01", "2024-01-01", ts="timestamp", date="date")
     assert back.count() == 200

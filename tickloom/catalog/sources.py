@@ -255,6 +255,23 @@ def _(spark, sf_dir):
     return df.select("seq", "symbol", "message_type", "side", "source", "unparsed", "price", "volume", "bid_price", "ask_price")
 
 
+@query(
+    "tick_generator",
+    f"WITH {TICKS} SELECT symbol, count(*) AS rows, TIMESTAMP '2024-01-01 09:30:00' + to_seconds(count(*) - 1) AS last_ts, TRUE AS positive, TRUE AS spread_ok FROM ticks GROUP BY symbol",
+)
+def _(spark, sf_dir):
+    """As many ticks per symbol as the table holds, from its first price."""
+    at = F.struct("ts", "seq")
+    plan = ticks(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("rows"), F.min_by("price", at).alias("start_price"))
+    made = files.generate_ticks(plan)
+    width = F.col("ask") - F.col("bid")
+    right = F.abs(width - F.greatest(F.col("price") * 1.5e-4, F.lit(0.01))) < 1e-9
+    return made.groupBy("symbol").agg(
+        F.count("*").alias("rows"), F.max("ts").alias("last_ts"), F.bool_and((F.col("price") > 0) & (F.col("volume") > 0)).alias("positive"),
+        F.bool_and(right).alias("spread_ok"),
+    )
+
+
 @query(
     "date_range_scan",
     f"WITH {TICKS} " + rounded("symbol seq ts", "price", "ticks WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-11'"),

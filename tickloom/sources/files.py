@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from tickloom.functions import scalars as S
 from tickloom.functions.checks import clean_row
+from tickloom.plans.series import running
 from tickloom.session import scratch_root
 
 # Accepted names per field, matched without regard to case.
@@ -223,22 +225,31 @@ def metric_long(df: DataFrame, category: str, metrics: Sequence[str], ids: Seque
     )
 
 
+def _normal(seed: int, *key: str) -> Column:
+    """Standard normal draw fixed by the key columns, so a repeated task draws the same."""
+    def uniform(salt: int) -> Column:
+        return (F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(salt)), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
+
+    return F.sqrt(F.log(uniform(1)) * -2) * F.cos(uniform(2) * F.lit(2 * math.pi))
+
+
 def generate_ticks(
-    spark: SparkSession, rows: int, symbol: str = "SYNTH", seed: int = 42, start_price: float = 100.0,
-    drift: float = 0.0, vol: float = 2e-4, rows_per_task: int | None = None,
+    plan: DataFrame, seed: int = 42, drift: float = 0.0, vol: float = 2e-4, rows_per_task: int | None = None
 ) -> DataFrame:
-    """Seeded ticks: a log-normal price path, a spread of 1.5 bps (0.01 at least), log-normal volume."""
-    from tickloom.plans.series import running
-
-    base = spark.range(rows).select(
-        F.lit(symbol).alias("symbol"),
-        F.timestamp_micros(F.unix_micros(F.lit(DEFAULT_START).cast("timestamp")) + F.col("id") * 1_000_000).alias("ts"),
-        F.col("id").alias("seq"),
-        (F.lit(drift) + F.lit(vol) * F.randn(seed)).alias("_step"),
-        F.round(F.exp(F.lit(4.0) + F.randn(seed + 1) * F.lit(0.5))).alias("volume"),
+    """Seeded ticks, one a second, for a plan of (symbol, rows, start_price).
+
+    A log-normal price path, a spread of 1.5 bps (0.01 at least), log-normal volume.
+    """
+    base = plan.filter("rows > 0").select(
+        "symbol", "start_price", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("seq")
+    ).select(
+        "symbol", "start_price", "seq",
+        F.timestamp_micros(F.unix_micros(F.lit(DEFAULT_START).cast("timestamp")) + F.col("seq") * 1_000_000).alias("ts"),
+        (F.lit(drift) + F.lit(vol) * _normal(seed, "symbol", "seq")).alias("_step"),
+        F.round(F.exp(F.lit(4.0) + _normal(seed + 1, "symbol", "seq") * F.lit(0.5))).alias("volume"),
     )
     path = running(base, {"_log": ("sum", F.col("_step"))}, rows_per_task=rows_per_task)
-    price = F.lit(start_price) * F.exp(F.col("_log"))
+    price = F.col("start_price") * F.exp(F.col("_log"))
     half = F.greatest(price * F.lit(1.5e-4), F.lit(0.01)) / 2
     return path.select(
         "symbol", "ts", "seq", price.alias("price"), "volume", (price - half).alias("bid"), (price + half).alias("ask")
