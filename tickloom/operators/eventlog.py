@@ -41,9 +41,9 @@ def versioned(events: DataFrame, order: Sequence[str] = ("ts", "seq"), after: Da
 
 
 def append(events: DataFrame, path: str) -> None:
-    """Append to a Parquet log laid out by type and date."""
+    """Append to a Parquet log laid out by type and date; a busy type and day is split over tasks."""
     dated = events.withColumn("date", F.to_date("ts"))
-    dated.repartition("event_type", "date").write.mode("append").partitionBy("event_type", "date").parquet(path)
+    dated.repartitionByRange("event_type", "date", "ts").write.mode("append").partitionBy("event_type", "date").parquet(path)
 
 
 def order_state(log: DataFrame) -> DataFrame:

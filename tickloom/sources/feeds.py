@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 _LEVELS = "array<array<string>>"
 # Message type codes.
+# Field letters of the messages.
+_LETTERS = ("e", "E", "T", "s", "c", "v", "b", "a", "B", "A", "p", "P", "q", "t", "m")
 _KINDS = {"24hrTicker": "ticker", "depthUpdate": "depth", "trade": "trade", "bookTicker": "book_ticker"}
 
 
@@ -27,57 +29,59 @@ def feed_normalise(df: DataFrame, raw: str = "value", received: str | None = Non
     base = df.withColumn("_doc", F.try_parse_json(text)).withColumn(
         "_stream", F.try_variant_get("_doc", "$.stream", "string")
     )
-    valid = F.col("_doc").isNotNull()
+    wrapped = F.col("_stream").isNotNull()
+    inner = F.try_variant_get("_doc", "$.data", "variant")
+    base = base.withColumn("_body", F.when(wrapped, inner).otherwise(F.col("_doc")))
+    # Each letter is looked up once, into a column of its own.
+    base = base.withColumns({f"_f{i}": F.try_variant_get("_body", f"$.{n}", "string") for i, n in enumerate(_LETTERS)})
 
-    def field(name: str, kind: str = "string") -> Column:
-        inner = F.try_variant_get("_doc", f"$.data.{name}", kind)
-        return F.when(F.col("_stream").isNotNull(), inner).otherwise(F.try_variant_get("_doc", f"$.{name}", kind))
+    def field(name: str) -> Column:
+        return F.col(f"_f{_LETTERS.index(name)}")
 
-    kind = (
+    of_stream = (
         F.when(F.contains("_stream", F.lit("@ticker")), "ticker")
         .when(F.contains("_stream", F.lit("@depth")), "depth")
         .when(F.contains("_stream", F.lit("@trade")), "trade")
         .when(F.contains("_stream", F.lit("@bookTicker")), "book_ticker")
     )
-    bare = F.when(F.lit(False), "")
+    of_code = F.when(F.lit(False), "")
     for code, name in _KINDS.items():
-        bare = bare.when(field("e") == code, name)
-    kind = F.when(F.col("_stream").isNotNull(), kind).otherwise(bare)
-    millis = F.when(kind == "trade", field("T")).otherwise(field("E")).try_cast("long")
+        of_code = of_code.when(field("e") == code, name)
+    base = base.withColumn("_kind", F.when(wrapped, of_stream).otherwise(of_code))
+    kind = F.col("_kind")
     is_quote = kind.isin("ticker", "book_ticker")
-    levels = {n: field(n, _LEVELS) for n in ("b", "a")}
-
-    def best(name: str, size: str, pick) -> tuple[Column, Column]:
-        side = F.transform(
-            levels[name], lambda x: F.struct(x[0].try_cast("double").alias("p"), x[1].try_cast("double").alias("q"))
-        )
-        top = pick(F.filter(side, lambda x: x["q"] > 0))
-        return (
-            F.when(is_quote, _number(field(name))).when(kind == "depth", top["p"]),
-            F.when(is_quote, _number(field(size))).when(kind == "depth", top["q"]),
-        )
-
-    bid, bid_qty = best("b", "B", F.array_max)
-    ask, ask_qty = best("a", "A", F.array_min)
+
+    def levels(name: str, pick) -> Column:
+        got = F.when(kind == "depth", F.try_variant_get("_body", f"$.{name}", _LEVELS))
+        side = F.transform(got, lambda x: F.struct(x[0].try_cast("double").alias("p"), x[1].try_cast("double").alias("q")))
+        return pick(F.filter(side, lambda x: x["q"] > 0))
+
+    base = base.withColumns({"_bid": levels("b", F.array_max), "_ask": levels("a", F.array_min)})
+    millis = F.when(kind == "trade", field("T")).otherwise(field("E")).try_cast("long")
+
+    def quoted(letter: str, level: str) -> Column:
+        return F.when(is_quote, _number(field(letter))).when(kind == "depth", F.col(level))
+
     out = {
         "symbol": F.upper(field("s")),
         "event_type": kind,
         "price": F.when(kind == "ticker", _number(field("c"))).when(kind == "trade", _number(field("p"))),
         "quantity": F.when(kind == "ticker", _number(field("v"))).when(kind == "trade", _number(field("q"))),
-        "best_bid": bid,
-        "best_ask": ask,
-        "best_bid_qty": bid_qty,
-        "best_ask_qty": ask_qty,
+        "best_bid": quoted("b", "_bid.p"),
+        "best_ask": quoted("a", "_ask.p"),
+        "best_bid_qty": quoted("B", "_bid.q"),
+        "best_ask_qty": quoted("A", "_ask.q"),
         "price_change_24h": F.when(kind == "ticker", _number(field("p"))),
         "price_change_percent_24h": F.when(kind == "ticker", _number(field("P"))),
         "trade_id": F.when(kind == "trade", field("t").try_cast("long")),
         "is_buyer_maker": F.when(kind == "trade", F.coalesce(field("m").try_cast("boolean"), F.lit(False))),
         "source_ts": F.timestamp_millis(millis),
-        "fault": F.when(~valid | text.isNull(), "not json").when(kind.isNull(), "unknown type"),
+        "fault": F.when(F.col("_doc").isNull(), "not json").when(kind.isNull(), "unknown type"),
     }
     if received:
         out["latency_ms"] = (F.unix_micros(F.col(received)) - millis * 1000) / F.lit(1000.0)
-    return base.withColumns(out).drop("_doc", "_stream")
+    made = base.withColumns(out)
+    return made.select(*df.columns, *[c for c in out if c not in df.columns])
 
 
 _COMMON = ("symbol", "message_type", "price", "volume", "bid_price", "ask_price", "trade_id", "side", "source")

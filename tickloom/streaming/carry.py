@@ -17,25 +17,31 @@ from pyspark.sql.streaming import StreamingQuery
 Step = Callable[[DataFrame, "DataFrame | None"], tuple[DataFrame, DataFrame]]
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).exists(p)
+KEEP_STATES = 10
+
+
+def _forget(df: DataFrame, path: str) -> None:
+    """Remove a state folder no restart can ask for any more."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def run_with_carry(stream: DataFrame, step: Step, out: str, state: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Start ``step(batch, carried) -> (rows, carried)`` on every micro-batch.
 
     Rows go to ``out/batch=<id>``.  Bound a batch at the source
-    (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    (maxFilesPerTrigger, maxOffsetsPerTrigger).  A batch always needs the state
+    of the one before it; the last ``KEEP_STATES`` are kept.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = f"{state}/{batch_id - 1}"
-        carried = batch.sparkSession.read.parquet(before) if batch_id > 0 and _exists(batch, before) else None
+        carried = batch.sparkSession.read.parquet(f"{state}/{batch_id - 1}") if batch_id > 0 else None
         rows, after = step(batch, carried)
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         after.write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        if batch_id >= KEEP_STATES:
+            _forget(batch, f"{state}/{batch_id - KEEP_STATES}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
