@@ -26,6 +26,13 @@ HEADLINE = (
 )
 
 
+# Queries over the order lines; the others read the events.
+ON_LINES = {
+    "dedup_keep_last", "book_snapshot", "quote_metrics", "market_impact", "fifo_pnl", "avg_cost_position", "limit_checks",
+    "best_route", "option_chain_greeks", "ev_order_state",
+}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -47,6 +54,7 @@ def main() -> None:
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": Path(sf_dir).name.removeprefix("sf"), "rows": rows, "cpus": int(cpus),
+        "rows_per_sec": {n: round(rows["lineitem" if n in ON_LINES else "events"] / s) for n, s in seconds.items()},
     }))
 
 

@@ -161,3 +161,17 @@ def test_scan_reads_only_needed_columns(spark, sf):
 def test_no_global_window(hot_ticks):
     plan = features.compute(hot_ticks, ["sma_20"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_time_cells_shrink_to_fit(hot_ticks):
+    def add(d, w):
+        return d.withColumn("n", F.count("*").over(w.rangeBetween(-3_600_000_000, 0)))
+
+    from tickloom.plans.series import time_windowed
+
+    wide = time_windowed(hot_ticks, add, seconds_back=3600, cell_seconds=86_400)
+    same(wide, time_windowed(hot_ticks, add, seconds_back=3600, cell_seconds=86_400, rows_per_task=5))
+    by_symbol = {r.seq: r.n for r in wide.collect()}
+    rows = hot_ticks.select("symbol", F.unix_micros("ts").alias("us"), "seq").collect()
+    for r in rows[:50]:
+        assert by_symbol[r.seq] == sum(1 for x in rows if x.symbol == r.symbol and 0 <= r.us - x.us <= 3_600_000_000)

@@ -147,11 +147,9 @@ def test_random_tapes_equal_loops(spark):
     tapes = {
         f"t{k}": [(rng.choice(["buy", "sell"]), rng.randint(1, 9), rng.randint(90, 110)) for _ in range(rng.randint(1, 60))] for k in range(40)
     }
-    df = None
-    for name, rows in tapes.items():
-        t = tape(spark, rows, name)
-        df = t if df is None else df.unionByName(t)
-    df = df.coalesce(4)
+    df = spark.createDataFrame(
+        [Row(symbol=n, ts=i, seq=i, side=s, volume=float(v), price=float(p)) for n, rows in tapes.items() for i, (s, v, p) in enumerate(rows)]
+    )
     for rows_per_task in (None, 25):
         fifo = {}
         for r in pnl.fifo_pnl(df, rows_per_task=rows_per_task).collect():

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.catalog.registry import BOOK_LEVELS, TICKS, TRADES, W, query, rounded
+from tickloom.catalog.registry import BOOK_LEVELS, TICKS, TRADES, query, rounded
 from tickloom.operators import bars as B
 from tickloom.operators import books as K
 from tickloom.operators import joins as J

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.catalog.registry import BOOK_LEVELS, TICKS, W, query, rounded
+from tickloom.catalog.registry import BOOK_LEVELS, TICKS, W, query
 from tickloom.functions.checks import SIDES, order_faults
 from tickloom.operators import quality as Q
 from tickloom.sources.standins import book_levels, table, ticks

@@ -12,6 +12,15 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# Whole-number columns that SQL would give as INTEGER or DOUBLE; Spark gives bigint.
+WHOLE = {
+    "best_quote_ffill": ("line_no",), "routing_join": ("l_linenumber",), "fifo_pnl": ("line_no",), "cash_and_position": ("line_no",),
+    "avg_cost_position": ("line_no",), "limit_checks": ("line_no", "violations"), "trade_direction": ("trade_direction",),
+    "order_flow": ("direction_sum_10",), "jump": ("jump_indicator",), "forward_label": ("direction",), "time_series_split": ("fold",),
+    "dq_book_structure": ("has_bids", "has_asks"), "time_parts": ("is_market_open", "is_market_close", "is_lunch_time"),
+    "session_flags": ("is_open", "is_lunch"),
+}
+
 TICKS = """ticks AS (
   SELECT CAST(user_id AS VARCHAR) AS symbol, ts, event_id AS seq, value AS price,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume, event_type,
@@ -96,7 +105,8 @@ def query(name: str, sql: str | None = None, digits: int = 6):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if sql:
-            SQL[name] = nudged(sql)
+            whole = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in WHOLE.get(name, ()))
+            SQL[name] = f"SELECT * REPLACE ({whole}) FROM ({nudged(sql)})" if whole else nudged(sql)
         return fn
 
     return keep

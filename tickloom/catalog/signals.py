@@ -259,7 +259,8 @@ def _(spark, sf_dir):
 @query(
     "venue_fair_value",
     f"""WITH {_POOLS}, v AS (SELECT symbol, sum(venue_price * liquidity) / nullif(sum(liquidity), 0) AS vv, sum(liquidity) AS l FROM pl GROUP BY symbol)
-    SELECT CAST(p_partkey AS VARCHAR) AS symbol, round(p_retailprice * 0.7 + vv * 0.3, 5) AS fair_value, round(least(1, 1 / (1 + log10(l))), 5) AS liquidity_risk FROM part JOIN v ON symbol = CAST(p_partkey AS VARCHAR)""",
+    SELECT CAST(p_partkey AS VARCHAR) AS symbol, round(coalesce(p_retailprice * 0.7 + vv * 0.3, p_retailprice), 5) AS fair_value,
+    round(CASE WHEN l > 0 THEN least(1, 1 / (1 + log10(l))) ELSE 1 END, 5) AS liquidity_risk FROM part LEFT JOIN v ON symbol = CAST(p_partkey AS VARCHAR)""",
     digits=5,
 )
 def _(spark, sf_dir):

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from tickloom.catalog.registry import TICKS, query, rounded
-from tickloom.functions import scalars as S
 from tickloom.functions.checks import clean_row_fast
 from tickloom.sources import feeds, files, topics
 from tickloom.sources.standins import table, ticks

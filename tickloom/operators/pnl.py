@@ -62,7 +62,7 @@ def fifo_pnl(
     lot = F.struct(*[c for c in lots.columns if c not in keys])
     points = lots.select(
         *keys, (-F.col("hi")).alias("_neg"), is_buy().cast("int").alias("_side"),
-        F.when(~is_buy(), lot).alias("_l"), F.when(is_buy(), lot).alias("_r"),
+        F.when(~is_buy(), lot).alias("_l"), F.when(is_buy(), F.struct("price")).alias("_r"),
     )
     met = overlap_points(points, keys=keys, rows_per_task=rows_per_task)
     gain = (F.col("left.price") - F.col("right.price")) * F.col("overlap")

@@ -6,10 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickloom.functions.checks import ORDER_TYPES, PRICE_BOUNDS, SIDES, VOLUME_BOUNDS
-from tickloom.functions.scalars import as_col
 from tickloom.plans.series import broadcast_if_small, quantiles, windowed
 
 # Columns a tick table must or may have, and rule thresholds.

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tickloom.session import durable
 
 ROWS_PER_TASK = 4_000_000
-# A compressed row of a few columns is never smaller than this, so a table whose
-# estimated size is below rows_per_task * this value cannot hold a hot key.
+# A table estimated below rows_per_task * this value fits one task even if all of
+# it is one key, so it is not searched for hot keys.
 MIN_ROW_BYTES = 4
 BROADCAST_BYTES = 64 * 1024 * 1024
 RANK = "__rn"
@@ -341,15 +341,22 @@ def time_windowed(
     ts: str = "ts",
     tie: Sequence[str] = ("seq",),
     cell_seconds: float = 3600.0,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Frames over a span of time, one task per (key, time cell) in place of one per key.
 
     The window handed to ``add`` is ordered by epoch microseconds (``_us``), so
     ``rangeBetween`` takes microseconds.  Rows in the last ``seconds_back`` of a
-    cell are also seen, not kept, by the next cell.
+    cell are also seen, not kept, by the next cell.  Where the table is large
+    the fullest cell is measured and cells shrink to fit, down to the span.
     """
     span, cell = int(seconds_back * 1e6), int(max(cell_seconds, seconds_back) * 1e6)
     us = F.unix_micros(F.col(ts))
+    most = rows_per_task or ROWS_PER_TASK
+    if estimated_bytes(df) >= most * MIN_ROW_BYTES:
+        fullest = df.groupBy(*keys, F.floor(us / cell)).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+        if fullest > most:
+            cell = max(span, cell * most // fullest)
     home = F.floor(us / cell)
     spread = (
         df.withColumn("_us", us)
