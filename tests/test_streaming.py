@@ -113,3 +113,16 @@ def test_checkpoint_can_be_inspected(spark, sf, tmp_path):
     carry.run_updates(stream, out, cp).awaitTermination()
     state = spark.read.format("statestore").load(cp)
     assert state.count() == df.select("symbol").distinct().count()
+
+
+def test_old_states_are_removed(spark, tmp_path):
+    src, out, state, cp = (str(tmp_path / x) for x in ("src", "out", "state", "cp"))
+    batches = carry.KEEP_STATES + 2
+    df = spark.range(batches).select(
+        F.lit("A").alias("symbol"), "id", F.col("id").alias("ts"), F.col("id").alias("seq"), F.lit("tick").alias("kind"), F.col("id").cast("double").alias("price")
+    ).drop("id")
+    df.repartition(batches, "seq").write.option("maxRecordsPerFile", 1).parquet(src)
+    carry.run_with_carry(source(spark, df, src), enrich.enrich_batch, out, state, cp).awaitTermination()
+    kept = sorted(int(p.name) for p in (tmp_path / "state").iterdir())
+    assert kept[-1] >= batches - 1 and kept == list(range(kept[-1] - carry.KEEP_STATES + 1, kept[-1] + 1))
+    assert spark.read.parquet(out).count() == batches
