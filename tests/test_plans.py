@@ -129,6 +129,7 @@ HOT_OPERATORS = {
     "regime": lambda d, n: models.regime_change(d, "price", rows_per_task=n),
     "scaled": lambda d, n: models.normalise_features(d.select("seq", "price", "volume"), "mad", ["seq"], rows_per_task=n),
     "versions": lambda d, n: eventlog.versioned(d.withColumn("aggregate_id", F.col("symbol")), rows_per_task=n),
+    "filled_bars": lambda d, n: bars.ohlc(d, 60, rows_per_task=n),
     "indicators": lambda d, n: bars.classic_indicators(bars.ohlc(d, 3600, fill_empty=False), rows_per_task=n),
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalars import ratio
 from tickloom.operators.features import full
 from tickloom.plans.decay import Decay, add_decays
-from tickloom.plans.series import windowed
+from tickloom.plans.series import MIN_ROW_BYTES, ROWS_PER_TASK, UNLIMITED, estimated_bytes, windowed
 
 
 def bin_start(ts: str | Column, seconds: int) -> Column:
@@ -21,13 +21,14 @@ def bin_start(ts: str | Column, seconds: int) -> Column:
 
 def ohlc(
     df: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",), price: str = "price", volume: str = "volume",
-    ts: str = "ts", tie: Sequence[str] = ("seq",), fill_empty: bool = True,
+    ts: str = "ts", tie: Sequence[str] = ("seq",), fill_empty: bool = True, rows_per_task: int | None = None,
 ) -> DataFrame:
     """Open, high, low, close, volume, count and VWAP per bin.
 
     One grouped aggregate with map-side combining.  Empty bins between a key's
     first and last bar are filled from the gap to the next bar, so no calendar
-    is joined: null prices, volume 0.
+    is joined: null prices, volume 0.  A key has at most (time span / bin) bars;
+    if that fits a task, no search for hot keys is made.
     """
     at = F.struct(ts, *tie)
     bars = df.groupBy(*keys, bin_start(ts, seconds).alias("bar")).agg(
@@ -48,7 +49,13 @@ def ohlc(
 
     here = F.unix_micros("bar")
     until = F.coalesce(F.col("_next"), here + step)
-    spread = windowed(bars, add, keys=keys, order=("bar",), ahead=1).withColumn(
+    most = rows_per_task or ROWS_PER_TASK
+    if estimated_bytes(df) >= most * MIN_ROW_BYTES:
+        us = F.unix_micros(ts)
+        low, high = df.agg(F.min(us), F.max(us)).first()
+        if low is None or (high - low) // step + 1 <= most:
+            most = UNLIMITED
+    spread = windowed(bars, add, keys=keys, order=("bar",), ahead=1, rows_per_task=most).withColumn(
         "_bin", F.explode(F.sequence(here, until - step, F.lit(step)))
     )
     real = F.col("_bin") == F.unix_micros("bar")

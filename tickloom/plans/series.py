@@ -33,6 +33,8 @@ ROWS_PER_TASK = 4_000_000
 MIN_ROW_BYTES = 4
 BROADCAST_BYTES = 64 * 1024 * 1024
 RANK = "__rn"
+# As rows_per_task: the caller knows that no key is hot.
+UNLIMITED = 2**60
 
 
 def estimated_bytes(df: DataFrame) -> int:
