@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, merkle
+from tickloom.llm import exact_dedup, merkle, partenum
 from tickloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,10 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(documents(spark, sf_dir))
 
 
+def op3_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(documents(spark, sf_dir)).drop("n_chars")
 
@@ -31,5 +35,5 @@ g AS (
   FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g"""
 
-for _fn in (op2_merkle_fingerprints, op8_exact_dedup):
+for _fn in (op2_merkle_fingerprints, op3_partenum_jaccard, op8_exact_dedup):
     QUERIES[_fn.__name__] = _fn
