@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, merkle, partenum
+from tickloom.llm import byte_bpe, exact_dedup, merkle, partenum, wavelet
 from tickloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def op1_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(documents(spark, sf_dir))
 
@@ -25,6 +30,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(documents(spark, sf_dir)).drop("n_chars")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encoded(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
 SQL["op8_exact_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -35,5 +45,5 @@ g AS (
   FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g"""
 
-for _fn in (op2_merkle_fingerprints, op3_partenum_jaccard, op8_exact_dedup):
+for _fn in (op1_wavelet_token_ids, op2_merkle_fingerprints, op3_partenum_jaccard, op8_exact_dedup, op9_byte_bpe):
     QUERIES[_fn.__name__] = _fn

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
+SLICE_BYTES = 4 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _SEPARATORS = (9, 10, 11, 12, 13, 32)
 
@@ -91,3 +95,15 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
         here = length > i
         out[here] = mix(out[here] * np.uint64(0x2545F4914F6CDD1D) + hashes[first[here] + i] + np.uint64(i + 1))
     return out, owner
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``SLICE_BYTES`` of text (one text at least)."""
+    for batch in batches:
+        lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            before = lengths[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(lengths, before + SLICE_BYTES)))
+            yield batch.slice(a, b - a)
+            a = b
