@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, merkle, mixing, partenum, wavelet
+from tickloom.llm import byte_bpe, exact_dedup, licenses, merkle, mixing, partenum, wavelet
 from tickloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,13 @@ def op3_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+SQL["op4_license_scan"] = licenses.scan_sql()
+
+
 def op5_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -49,5 +56,5 @@ g AS (
   FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g"""
 
-for _fn in (op1_wavelet_token_ids, op2_merkle_fingerprints, op3_partenum_jaccard, op5_sainte_lague_mix, op8_exact_dedup, op9_byte_bpe):
+for _fn in (op1_wavelet_token_ids, op2_merkle_fingerprints, op3_partenum_jaccard, op4_license_scan, op5_sainte_lague_mix, op8_exact_dedup, op9_byte_bpe):
     QUERIES[_fn.__name__] = _fn
