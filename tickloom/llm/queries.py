@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import backoff, byte_bpe, exact_dedup, licenses, merkle, mixing, partenum, toxicity, wavelet
+from tickloom.llm import backoff, byte_bpe, exact_dedup, kneser_ney, licenses, merkle, mixing, partenum, toxicity, wavelet
 from tickloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,10 @@ def op5_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -65,5 +69,5 @@ g AS (
   FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g"""
 
-for _fn in (op1_wavelet_token_ids, op2_merkle_fingerprints, op3_partenum_jaccard, op4_license_scan, op5_sainte_lague_mix, op7_toxicity_chain, op8_exact_dedup, op9_byte_bpe, op10_stupid_backoff):
+for _fn in (op1_wavelet_token_ids, op2_merkle_fingerprints, op3_partenum_jaccard, op4_license_scan, op5_sainte_lague_mix, op6_kneser_ney_quality, op7_toxicity_chain, op8_exact_dedup, op9_byte_bpe, op10_stupid_backoff):
     QUERIES[_fn.__name__] = _fn
