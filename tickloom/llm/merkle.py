@@ -23,19 +23,16 @@ SHORT_LEAF, SHORT_NODE = 8, 12
 
 
 def tree(text: Column, leaf: int = LEAF, section: int = SECTION) -> Column:
-    """Sections of paragraphs of leaf hashes: array<array<array<string>>>; empty for an empty text."""
-    lines = F.filter(F.split(text, "(?<=\n)"), lambda p: p != "")
-    paragraphs = F.transform(
-        lines, lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{leaf}}}"), F.lit(0)), lambda x: F.sha2(x, 256))
-    )
-    return _sections(paragraphs, section)
+    """Sections of paragraphs of leaf hashes: array<array<array<string>>>; empty for an empty text.
 
+    A lambda below uses its own argument only: an outer column would be computed anew for every element.
+    """
+    sections = F.regexp_extract_all(text, F.lit(f"(?:[^\n]*\n){{{section}}}|(?s:.+)"), F.lit(0))
 
-def _sections(paragraphs: Column, section: int) -> Column:
-    starts = F.when(F.size(paragraphs) > 0, F.sequence(F.lit(0), F.floor((F.size(paragraphs) - 1) / section).cast("int"))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.slice(paragraphs, i * section + 1, section))
+    def leaves(paragraph: Column) -> Column:
+        return F.transform(F.regexp_extract_all(paragraph, F.lit(f"(?s).{{1,{leaf}}}"), F.lit(0)), lambda x: F.sha2(x, 256))
+
+    return F.transform(sections, lambda s: F.transform(F.regexp_extract_all(s, F.lit("[^\n]*\n|[^\n]+"), F.lit(0)), leaves))
 
 
 def _hashes(nodes: Column) -> Column:
@@ -78,14 +75,15 @@ def likeness(a: Column, b: Column, a_leaves: Column, b_leaves: Column) -> Column
     return F.when(root_of(a) == root_of(b), F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2.0 * common / both)
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of ``a`` whose branch is not in ``b``: where ``a`` was edited."""
-    names_a = F.regexp_extract_all(a, F.lit("([0-9a-f]+)\\."), F.lit(1))
-    names_b = F.regexp_extract_all(b, F.lit("([0-9a-f]+)\\."), F.lit(1))
-    at = F.sequence(F.lit(0), F.size(names_a) - 1)
-    changed = F.filter(at, lambda i: ~F.array_contains(names_b, F.get(names_a, i)))
-    same = (root_of(a) == root_of(b)) | (F.size(names_a) == 0)
-    return F.when(same, F.array().cast("array<int>")).otherwise(changed)
+def paragraphs_of(fingerprint: Column) -> Column:
+    """Shortened paragraph hashes, in order."""
+    return F.regexp_extract_all(fingerprint, F.lit("([0-9a-f]+)\\."), F.lit(1))
+
+
+def first_change(a: Column, b: Column) -> Column:
+    """Number (from 0) of the first paragraph in which ``a`` and ``b`` differ; null if the roots agree."""
+    same = F.zip_with(paragraphs_of(a), paragraphs_of(b), lambda x, y: x.eqNullSafe(y))
+    return F.when(root_of(a) != root_of(b), F.array_position(same, F.lit(False)) - 1)
 
 
 def neighbours(docs: DataFrame, slices: int | None = None) -> tuple[DataFrame, bool]:
@@ -162,7 +160,8 @@ def edit_report(docs: DataFrame, slices: int | None = None) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("__"), F.col("__edited_")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), F.col("__"), F.col("__next_")).alias("near_next"),
-        differing(F.col("edited_fingerprint"), F.col("fingerprint")).alias("edited_paragraphs"),
+        first_change(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_change"),
+        F.size(F.array_except(paragraphs_of(F.col("edited_fingerprint")), paragraphs_of(F.col("fingerprint")))).alias("new_paragraphs"),
     )
 
 
