@@ -138,10 +138,12 @@ def _(spark, sf_dir):
     return A.run_summary(runs(spark, sf_dir))
 
 
-_STAT = """CASE WHEN n > 1 AND sxx - sx * sx / n > 1e-9 * sxx AND syy - sy * sy / n > 1e-9 * syy THEN (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) END"""
-
-
-@query("correlation_matrix", f"WITH {DAY_BARS}, {PAIRS.format(t='db', op='<')} SELECT a, b, n, round({_STAT}, 5) AS corr FROM pm", digits=5)
+@query(
+    "correlation_matrix",
+    f"""WITH {DAY_BARS}, pm AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, corr(x.price, y.price) AS r FROM db x JOIN db y ON x.bar = y.bar AND x.symbol < y.symbol GROUP BY ALL)
+    SELECT a, b, n, round(CASE WHEN NOT isnan(r) THEN r END, 5) AS corr FROM pm""",
+    digits=5,
+)
 def _(spark, sf_dir):
     return A.correlation_matrix(day_bars(spark, sf_dir))
 
@@ -153,8 +155,8 @@ def day_returns(spark, sf_dir):
     return R.with_returns(day_bars(spark, sf_dir), "price", order=("bar",)).select("symbol", "bar", "ret")
 
 
-_RPAIRS = PAIRS.format(t="(SELECT symbol, bar, ret AS price FROM rt WHERE ret IS NOT NULL)", op="<=")
-COV = f"{RETURNS}, {_RPAIRS}, cv AS (SELECT a, b, n, CASE WHEN n > 1 THEN (sxy - sx * sy / n) / (n - 1) END AS covar, sx / n AS mean_a, sy / n AS mean_b FROM pm)"
+COV = f"""{RETURNS}, cv AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, covar_samp(x.ret, y.ret) AS covar, avg(x.ret) AS mean_a, avg(y.ret) AS mean_b
+  FROM rt x JOIN rt y ON x.bar = y.bar AND x.symbol <= y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY ALL)"""
 
 
 @query("covariance_matrix", f"WITH {COV} " + rounded("a b n", "covar mean_a mean_b", "cv", 5), digits=5)

@@ -28,9 +28,12 @@ _ROWS = f"""{TICKS}, r AS (SELECT * REPLACE (CASE WHEN event_type = 'error' THEN
 
 @query(
     "dq_schema",
-    """SELECT * FROM (VALUES ('timestamp', 'required', TRUE), ('price', 'required', TRUE), ('volume', 'required', TRUE), ('side', 'optional', TRUE),
-    ('order_type', 'optional', FALSE), ('order_id', 'optional', TRUE), ('symbol', 'optional', TRUE), ('event_type', 'unexpected', TRUE)) t("column", kind, present)
-    WHERE (SELECT count(*) FROM events) > 0""",
+    f"""WITH {TICKS}, n AS (SELECT count(*) AS n, count(ts) AS timestamp, count(price) AS price, count(volume) AS volume, count(side) AS side,
+      count(seq) AS order_id, count(symbol) AS symbol, count(event_type) AS event_type FROM ticks)
+    SELECT t.*, CAST(coalesce(v, 0) AS BIGINT) AS n_values, CAST((SELECT n FROM n) - coalesce(v, 0) AS BIGINT) AS n_nulls
+    FROM (VALUES ('timestamp', 'required', TRUE, 'timestamp'), ('price', 'required', TRUE, 'double'), ('volume', 'required', TRUE, 'double'), ('side', 'optional', TRUE, 'string'),
+    ('order_type', 'optional', FALSE, NULL), ('order_id', 'optional', TRUE, 'bigint'), ('symbol', 'optional', TRUE, 'string'), ('event_type', 'unexpected', TRUE, 'string')) t("column", kind, present, type)
+    LEFT JOIN (UNPIVOT (SELECT * EXCLUDE n FROM n) ON COLUMNS(*) INTO NAME c VALUE v) u ON u.c = t."column" """,
 )
 def _(spark, sf_dir):
     df = ticks(spark, sf_dir).select(

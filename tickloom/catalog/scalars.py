@@ -350,7 +350,8 @@ def _(spark, sf_dir):
 
 @query(
     "signature_dedup",
-    """SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, round(value, 0), date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""",
+    """SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type, round(value, 0) ORDER BY ts, event_id) AS since FROM events)
+    WHERE since IS NULL OR since > INTERVAL 1 HOUR""",
 )
 def _(spark, sf_dir):
     src = table(spark, sf_dir, "events").withColumn("whole", F.round("value"))

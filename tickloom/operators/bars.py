@@ -13,6 +13,10 @@ from tickloom.plans.decay import Decay, add_decays
 from tickloom.plans.series import MIN_ROW_BYTES, ROWS_PER_TASK, UNLIMITED, estimated_bytes, windowed
 
 
+# Bins that one row may expand to.
+BINS_PER_ROW = 1_440
+
+
 def bin_start(ts: str | Column, seconds: int) -> Column:
     """Start of the bin of ``seconds`` length, counted from the epoch (midnight for divisors of a day)."""
     us = F.unix_micros(ts)
@@ -55,8 +59,13 @@ def ohlc(
         low, high = df.agg(F.min(us), F.max(us)).first()
         if low is None or (high - low) // step + 1 <= most:
             most = UNLIMITED
-    spread = windowed(bars, add, keys=keys, order=("bar",), ahead=1, rows_per_task=most).withColumn(
-        "_bin", F.explode(F.sequence(here, until - step, F.lit(step)))
+    # A gap is cut into stretches first, so that no row holds more than one stretch of bins and a long gap is shared by tasks.
+    spread = windowed(bars, add, keys=keys, order=("bar",), ahead=1, rows_per_task=most).withColumn("_until", until)
+    long_gap = F.col("_until") - here > step * BINS_PER_ROW
+    whole = F.lit(step * BINS_PER_ROW)
+    cut = spread.filter(long_gap).withColumn("_from", F.explode(F.sequence(here, F.col("_until") - step, whole))).repartition(*keys, "_from")
+    spread = spread.filter(~long_gap).withColumn("_from", here).unionByName(cut).withColumn(
+        "_bin", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + whole, F.col("_until")) - step, F.lit(step)))
     )
     real = F.col("_bin") == F.unix_micros("bar")
     return spread.select(

@@ -22,11 +22,13 @@ def keep_last(df: DataFrame, keys: Sequence[str] = ("symbol", "ts"), tie: Sequen
 def signature_dedup(
     df: DataFrame, signature: Sequence[str], horizon_seconds: int, order: Sequence[str] = ("ts", "seq"), ts: str = "ts"
 ) -> DataFrame:
-    """First row of each signature inside each time bucket of the horizon's length."""
-    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (horizon_seconds * 1_000_000))
-    w = Window.partitionBy(*signature, "_bucket").orderBy(*order)
-    out = df.withColumn("_bucket", bucket).withColumn("_rank", F.row_number().over(w))
-    return out.filter("_rank = 1").drop("_rank", "_bucket")
+    """Drop a row if the same signature was seen at most ``horizon_seconds`` earlier."""
+    def add(d: DataFrame, w) -> DataFrame:
+        now = F.unix_micros(F.col(ts).cast("timestamp"))
+        return d.withColumn("_since", now - F.lag(now).over(w))
+
+    seen = windowed(df, add, keys=list(signature), order=list(order), back=1)
+    return seen.filter(F.col("_since").isNull() | (F.col("_since") > horizon_seconds * 1_000_000)).drop("_since")
 
 
 def price_level(df: DataFrame, tick: float, price: str = "price", keys: Sequence[str] = ("symbol",)) -> DataFrame:

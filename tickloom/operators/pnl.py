@@ -17,8 +17,19 @@ def is_buy(side: str = "side") -> Column:
     return F.col(side).isin("bid", "buy")
 
 
+def is_sell(side: str = "side") -> Column:
+    return F.col(side).isin("ask", "sell")
+
+
 def signed_volume() -> Column:
-    return F.when(is_buy(), F.col("volume")).otherwise(-F.col("volume"))
+    """Bought volume positive, sold negative; an unknown side or volume moves nothing."""
+    moved = F.when(is_buy(), F.col("volume")).when(is_sell(), -F.col("volume"))
+    return F.coalesce(moved, F.lit(0.0))
+
+
+def unplaced_fills(df: DataFrame) -> DataFrame:
+    """Executions that no position can take: side neither bought nor sold, or no volume or price."""
+    return df.filter(~F.coalesce(is_buy() | is_sell(), F.lit(False)) | F.col("volume").isNull() | F.col("price").isNull())
 
 
 def _fifo_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int | None) -> DataFrame:
@@ -29,6 +40,7 @@ def _fifo_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_p
     found no inventory and opens nothing.
     """
     how = {"keys": keys, "order": order, "rows_per_task": rows_per_task}
+    df = df.filter((is_buy() | is_sell()) & F.col("volume").isNotNull())
     sums = running(
         placed(df, **how),
         {
@@ -72,8 +84,9 @@ def fifo_pnl(
 
 
 def cash_and_position(df: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), **how) -> DataFrame:
-    flow = signed_volume()
-    return running(df, {"position": ("sum", flow), "cash": ("sum", -flow * F.col("price"))}, keys=keys, order=order, **how)
+    # A fill without a price moves neither, so that position and cash stay in step.
+    flow = F.when(F.col("price").isNotNull(), signed_volume()).otherwise(F.lit(0.0))
+    return running(df, {"position": ("sum", flow), "cash": ("sum", F.coalesce(-flow * F.col("price"), F.lit(0.0)))}, keys=keys, order=order, **how)
 
 
 def equity_curve(quotes: DataFrame, fills: DataFrame, start_cash: float = 0.0, **how) -> DataFrame:
@@ -94,17 +107,19 @@ def average_cost(
 
     Adding to a position averages the price in, reducing keeps it, crossing
     zero restarts at the trade price.  Given the positions before and after,
-    which are a running sum, each case is a step cost = a * cost + b.
+    which are a running sum, each case is a step cost = a * cost + b.  A row without
+    price or volume, or of unknown side, leaves the book as it is.
     """
     how = {"keys": keys, "order": order, "rows_per_task": rows_per_task}
-    pos = running(placed(df, **how).withColumn("_q", signed_volume()), {"position": ("sum", F.col("_q"))}, **how)
-    before, after, q, p = F.col("position") - F.col("_q"), F.col("position"), F.col("_q"), F.col("price")
+    pos = running(placed(df, **how).withColumn("_q", F.when(F.col("price").isNotNull(), signed_volume()).otherwise(F.lit(0.0))), {"position": ("sum", F.col("_q"))}, **how)
+    before, after, q, p = F.col("position") - F.col("_q"), F.col("position"), F.col("_q"), F.coalesce("price", F.lit(0.0))
     tiny = 1e-9
     opens = F.abs(before) < tiny
     adds = before * q > 0
     flips = ~opens & ~adds & (F.abs(q) > F.abs(before) + tiny)
-    a = F.when(opens | flips, F.lit(0.0)).when(adds, F.lit(1.0)).otherwise(F.coalesce(ratio(after, before), F.lit(0.0)))
-    b = F.when(opens | adds, q * p).when(flips, after * p).otherwise(F.lit(0.0))
+    still = q == 0
+    a = F.when(still, F.lit(1.0)).when(opens | flips, F.lit(0.0)).when(adds, F.lit(1.0)).otherwise(F.coalesce(ratio(after, before), F.lit(0.0)))
+    b = F.when(still, F.lit(0.0)).when(opens | adds, q * p).when(flips, after * p).otherwise(F.lit(0.0))
     stepped = pos.withColumns({"_a": a, "_b": b, "_before": before})
     cost = recurrence(stepped, "_a", "_b", "_cost", before="_cost_before", **how)
     avg_before = F.coalesce(ratio("_cost_before", "_before"), F.lit(0.0))

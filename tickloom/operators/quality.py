@@ -22,11 +22,20 @@ MAX_LEVELS = 1000
 
 
 def schema_report(df: DataFrame) -> DataFrame:
-    """Required, optional and unexpected columns with their presence; reads no data."""
-    have = set(df.columns)
-    rows = [(c, "required", c in have) for c in REQUIRED] + [(c, "optional", c in have) for c in OPTIONAL]
-    rows += [(c, "unexpected", True) for c in df.columns if c not in REQUIRED + OPTIONAL]
-    return df.sparkSession.createDataFrame(rows, "column string, kind string, present boolean")
+    """Required, optional and unexpected columns: presence, type, values and nulls of each."""
+    types = dict(df.dtypes)
+    names = [(c, "required") for c in REQUIRED] + [(c, "optional") for c in OPTIONAL]
+    names += [(c, "unexpected") for c in df.columns if c not in REQUIRED + OPTIONAL]
+    counts = df.agg(F.count("*").alias("rows"), *[F.count(f"`{c}`").alias(f"v_{i}") for i, (c, _) in enumerate(names) if c in types])
+    each = [
+        F.struct(
+            F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.lit(c in types).alias("present"),
+            F.lit(types.get(c)).cast("string").alias("type"), (F.col(f"v_{i}") if c in types else F.lit(0)).cast("long").alias("n_values"),
+            (F.col("rows") - F.col(f"v_{i}") if c in types else F.col("rows")).cast("long").alias("n_nulls"),
+        )
+        for i, (c, kind) in enumerate(names)
+    ]
+    return counts.select(F.explode(F.array(*each)).alias("r")).select("r.*")
 
 
 def _bad(test: Column) -> Column:

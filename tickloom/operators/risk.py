@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import ratio
-from tickloom.plans.pairs import pair_moments, pair_stats
+from tickloom.plans.pairs import centred_moments, pair_stats
 from tickloom.plans.series import broadcast_if_small, placed, quantiles, running, unplaced, windowed
 
 TRADING_DAYS = 252
@@ -119,7 +119,7 @@ def rolling_sharpe(returns: DataFrame, ret: str = "ret", n: int = TRADING_DAYS,
 
 def portfolio_variance(returns: DataFrame, weights: DataFrame, at: str = "bar", ret: str = "ret", **shape) -> DataFrame:
     """w' C w from the long covariance table: one row."""
-    cov = pair_stats(pair_moments(returns, at=at, value=ret, diagonal=True, **shape)).select("a", "b", "covar")
+    cov = pair_stats(centred_moments(returns, at=at, value=ret, diagonal=True, **shape)).select("a", "b", "covar")
     w = weights.select(F.col("symbol").alias("_s"), "weight")
     wa = broadcast_if_small(w.withColumnsRenamed({"_s": "a", "weight": "wa"}))
     wb = broadcast_if_small(w.withColumnsRenamed({"_s": "b", "weight": "wb"}))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import clip, ratio, round_to_tick
 from tickloom.operators.features import Feature, compute, full, trailing
-from tickloom.plans.pairs import pair_moments, pair_stats
+from tickloom.plans.pairs import centred_moments, deviations, pair_stats
 from tickloom.plans.series import broadcast_if_small, time_windowed, windowed
 
 # Weights of the signal kinds in the combined signal.
@@ -267,27 +267,20 @@ def pair_spread_z(pair: DataFrame, n: int = 100, entry: float = 2.0, leave: floa
 def pair_discovery(bars: DataFrame, min_corr: float = 0.8, min_z: float = 2.0, least: int = 50, at: str = "bar", value: str = "price", **shape) -> DataFrame:
     """Correlated pairs whose current spread is far from its mean.
 
-    The moments of all pairs come from ``pair_moments``; only pairs above the
-    correlation threshold are then matched row by row for their last common bar.
+    Correlation, mean spread and the spread at the last common time all come from
+    one pass of ``centred_moments``; no pair is matched row by row.
     """
-    stats = pair_moments(bars, at=at, value=value, **shape)
     n = c("n")
-    vx, vy, cxy = c("sxx") - c("sx") * c("sx") / n, c("syy") - c("sy") * c("sy") / n, c("sxy") - c("sx") * c("sy") / n
-    strong = (
-        pair_stats(stats).filter((n >= least) & (F.abs("corr") > min_corr)).select("a", "b", "corr")
-        .join(stats, ["a", "b"])
-        .withColumns({"spread_mean": (c("sx") - c("sy")) / n, "spread_std": F.sqrt((vx + vy - 2 * cxy) / (n - 1))})
-        .select("a", "b", "n", "corr", "spread_mean", "spread_std")
-    )
-    left = bars.select(c("symbol").alias("a"), c(at).alias("_at"), c(value).alias("_pa"))
-    right = bars.select(c("symbol").alias("b"), c(at).alias("_at"), c(value).alias("_pb"))
-    last = (
-        strong.join(left, "a").join(right, ["b", "_at"]).groupBy("a", "b")
-        .agg(F.max("_at").alias("last_at"), F.max_by(c("_pa") - c("_pb"), "_at").alias("spread"))
-    )
+    vx, vy, cxy = deviations()
+    stats = centred_moments(bars, at=at, value=value, **shape)
+    rows = stats.withColumns({
+        "corr": F.when((n > 1) & (vx > 0) & (vy > 0), cxy / F.sqrt(vx * vy)), "spread": c("last_gap") + c("ca") - c("cb"),
+        "spread_mean": (c("sx") - c("sy")) / n + c("ca") - c("cb"), "spread_std": F.sqrt(F.greatest(vx + vy - 2 * cxy, F.lit(0.0)) / F.when(n > 1, n - 1)),
+    })
+    strong = rows.filter((n >= least) & (F.abs("corr") > min_corr)).select("a", "b", "n", "corr", "spread_mean", "spread_std", "last_at", "spread")
     z = ratio(c("spread") - c("spread_mean"), "spread_std")
     return (
-        strong.join(last, ["a", "b"]).withColumn("z", z).filter(F.abs("z") > min_z)
+        strong.withColumn("last_at", F.timestamp_micros("last_at")).withColumn("z", z).filter(F.abs("z") > min_z)
         .withColumns({"expected_profit": F.abs("z") * c("spread_std"), "confidence": F.least(F.abs("z") / min_z, F.lit(1.0))})
     )
 

@@ -16,12 +16,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.plans.series import windowed
 
 NEGLIGIBLE = 1e-17
+_WEIGHT = "__weight"
 
 
 @dataclass(frozen=True)
@@ -51,33 +52,36 @@ def by_span(out: str, value: str, span: int) -> Decay:
 
 
 def add_decays(df: DataFrame, w: WindowSpec, decays: Sequence[Decay]) -> DataFrame:
-    """Add the averages over ``w``; all of them share the passes of equal length."""
-    seeds: dict[str, Column] = {}
+    """Add the averages over ``w``; all of them share the passes of equal length.
+
+    Each is a weighted sum over a sum of weights.  A null has weight 0, but the
+    weights of older rows still age with it, and its own row shows the average so
+    far: null before the first value.  The recursive form gives its first value
+    the whole weight.
+    """
+    sums: dict[str, Column] = {}
     for d in decays:
         x = F.col(d.value)
-        if d.adjusted:
-            seeds[d.out] = x
-        else:
-            seeds[d.out] = F.when(F.row_number().over(w) == 1, x).otherwise(x * F.lit(d.alpha))
-    out = df.withColumns(seeds)
+        weight = F.lit(1.0)
+        if not d.adjusted:
+            nth = F.count(d.value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+            weight = F.when(nth == 1, F.lit(1.0)).otherwise(F.lit(d.alpha))
+        weight = F.when(x.isNull(), F.lit(0.0)).otherwise(weight)
+        sums[d.out] = F.coalesce(x * weight, F.lit(0.0))
+        sums[d.out + _WEIGHT] = weight
+    out = df.withColumns(sums)
     for step in range(max(d.doublings for d in decays)):
         reach = 2**step
         out = out.withColumns(
             {
-                d.out: F.col(d.out)
-                + F.lit((1.0 - d.alpha) ** reach) * F.coalesce(F.lag(d.out, reach).over(w), F.lit(0.0))
+                c: F.col(c) + F.lit((1.0 - d.alpha) ** reach) * F.coalesce(F.lag(c, reach).over(w), F.lit(0.0))
                 for d in decays
                 if step < d.doublings
+                for c in (d.out, d.out + _WEIGHT)
             }
         )
-    weights = {
-        d.out: F.col(d.out)
-        * F.lit(d.alpha)
-        / (F.lit(1.0) - F.pow(F.lit(1.0 - d.alpha), F.row_number().over(w)))
-        for d in decays
-        if d.adjusted
-    }
-    return out.withColumns(weights) if weights else out
+    average = {d.out: F.when(F.col(d.out + _WEIGHT) > 0, F.col(d.out) / F.col(d.out + _WEIGHT)) for d in decays}
+    return out.withColumns(average).drop(*[d.out + _WEIGHT for d in decays])
 
 
 def decayed(df: DataFrame, decays: Sequence[Decay], **series) -> DataFrame:

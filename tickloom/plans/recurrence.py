@@ -1,7 +1,7 @@
 """The recurrence y[t] = a[t] * y[t-1] + b[t] with coefficients known per row.
 
-Two steps compose into one step of the same form.  A task walks its sorted rows
-in Arrow batches, holding one pair (a, b) per running key, so no key is ever
+Two steps compose into one step of the same form.  A task takes its sorted rows
+in Arrow batches, composes each batch by doubling, holding one pair (a, b) per running key, so no key is ever
 collected.  A hot key is cut into blocks: each block is walked from an unknown
 start, the blocks' totals are chained, and the start is put in afterwards.
 """
@@ -23,6 +23,25 @@ from tickloom.plans.series import RANK, split_hot
 _PARTS = ("__ca", "__cb", "__pa", "__pb")
 
 
+def _composed(a: np.ndarray, b: np.ndarray, new: np.ndarray, start: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs composed up to each row by doubling the reach; ``new`` rows start afresh, the others from ``start``."""
+    A, B, closed = a.astype(float).copy(), b.astype(float).copy(), new.copy()
+    reach = 1
+    while reach < len(A):
+        open_ = np.flatnonzero(~closed[reach:]) + reach
+        if not len(open_):
+            break
+        x, y, done = A[open_ - reach], B[open_ - reach], closed[open_ - reach]
+        B[open_] += A[open_] * y
+        A[open_] *= x
+        closed[open_] = done
+        reach *= 2
+    first = ~np.maximum.accumulate(new)
+    B[first] += A[first] * start[1]
+    A[first] *= start[0]
+    return A, B
+
+
 def _walk(df: DataFrame, a: str, b: str, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add the composed pair up to each row (__ca, __cb) and up to the row before (__pa, __pb)."""
     schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in _PARTS])
@@ -40,14 +59,13 @@ def _walk(df: DataFrame, a: str, b: str, group: Sequence[str], order: Sequence[s
                     new[1:] |= pc.not_equal(col.slice(1), col.slice(0, n - 1)).to_numpy(zero_copy_only=False)
             new[0] = last != tuple(batch.column(k)[0].as_py() for k in group)
             last = tuple(batch.column(k)[n - 1].as_py() for k in group)
-            rows = zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), new.tolist())
             out = np.empty((4, n))
-            for i, (x, y, first) in enumerate(rows):
-                if first:
-                    A, B = 1.0, 0.0
-                out[2, i], out[3, i] = A, B
-                A, B = A * x, x * B + y
-                out[0, i], out[1, i] = A, B
+            out[0], out[1] = _composed(
+                batch.column(a).to_numpy(zero_copy_only=False), batch.column(b).to_numpy(zero_copy_only=False), new, (A, B)
+            )
+            out[2], out[3] = np.concatenate([[A], out[0, :-1]]), np.concatenate([[B], out[1, :-1]])
+            out[2, new], out[3, new] = 1.0, 0.0
+            A, B = out[0, -1], out[1, -1]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in out]], names=[*batch.schema.names, *_PARTS])
 
     return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)

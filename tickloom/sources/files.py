@@ -52,7 +52,7 @@ TICK_SCHEMA = T.StructType(
         T.StructField("volume", T.DoubleType()),
         T.StructField("side", T.StringType()),
         T.StructField("order_type", T.StringType()),
-        T.StructField("order_id", T.IntegerType()),
+        T.StructField("order_id", T.LongType()),
         T.StructField("symbol", T.StringType()),
     ]
 )
@@ -98,10 +98,12 @@ def resolve_names(df: DataFrame, mapping: Mapping[str, str] | None = None) -> di
         if named:
             found["price"] = named[0]
         elif free:
-            row = df.agg(*[F.first(c, ignorenulls=True).cast("double").alias(c) for c in free]).first()
-            fits = [c for c in free if row[c] is not None and PLAUSIBLE_PRICE[0] <= row[c] <= PLAUSIBLE_PRICE[1]]
-            if fits:
-                found["price"] = fits[0]
+            # One pass over the data: the column with the most plausible values, the first of equals.
+            plausible = [F.count_if(F.col(c).between(*PLAUSIBLE_PRICE)).alias(c) for c in free]
+            row = df.agg(*plausible).first()
+            best = max(free, key=lambda c: row[c])
+            if row[best]:
+                found["price"] = best
     free = [c for c in free if c not in found.values()]
     if "volume" not in found:
         named = [c for c in free if any(w in c.lower() for w in VOLUME_WORDS)]
@@ -156,6 +158,12 @@ def dir_scan(spark: SparkSession, path: str, columns: Sequence[str], glob: str =
     return raw.select(name.alias("symbol"), *[S.null_tokens(c).alias(c) for c in columns])
 
 
+def _fitted(field: T.StructField):
+    """Text that is no number becomes null; a whole number too large for its column is an error, not a null."""
+    column = F.col(field.name)
+    return column.cast(field.dataType) if isinstance(field.dataType, T.LongType) else column.try_cast(field.dataType)
+
+
 def write_tick_parquet(df: DataFrame, path: str, compression: str = "snappy") -> None:
     """Ticks with one stable schema, partitioned by date and sorted by symbol and time.
 
@@ -165,7 +173,7 @@ def write_tick_parquet(df: DataFrame, path: str, compression: str = "snappy") ->
     """
     have = set(df.columns)
     cols = [
-        (F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+        (_fitted(f) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in TICK_SCHEMA.fields
     ]
     shaped = df.select(*cols).withColumn("date", F.to_date("timestamp"))
@@ -225,6 +233,9 @@ def metric_long(df: DataFrame, category: str, metrics: Sequence[str], ids: Seque
     )
 
 
+GENERATED_RUN = 86_400
+
+
 def _normal(seed: int, *key: str) -> Column:
     """Standard normal draw fixed by the key columns, so a repeated task draws the same."""
     def uniform(salt: int) -> Column:
@@ -241,7 +252,12 @@ def generate_ticks(
     A log-normal price path, a spread of 1.5 bps (0.01 at least), log-normal volume.
     """
     base = plan.filter("rows > 0").select(
-        "symbol", "start_price", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("seq")
+        "symbol", "start_price", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / GENERATED_RUN))).alias("_run")
+    ).repartition("symbol", "_run").select(
+        # A row stands for a short run of ticks, so one symbol's ticks start in many tasks.
+        "symbol", "start_price", F.explode(F.sequence(
+            F.col("_run") * GENERATED_RUN, F.least((F.col("_run") + 1) * GENERATED_RUN, F.col("rows")) - 1
+        )).alias("seq")
     ).select(
         "symbol", "start_price", "seq",
         F.timestamp_micros(F.unix_micros(F.lit(DEFAULT_START).cast("timestamp")) + F.col("seq") * 1_000_000).alias("ts"),

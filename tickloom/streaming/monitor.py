@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.checks import all_of
 from tickloom.functions.scalars import symbol_code
+from tickloom.operators.cleaning import signature_dedup
 
 LATENESS = "10 minutes"
 # Weights of the quality score, its grades, and the advice thresholds.
@@ -23,9 +24,13 @@ MUTE = "5 minutes"
 
 
 def dedup(events: DataFrame, signature: Sequence[str], ts: str = "ts", horizon: str = LATENESS) -> DataFrame:
-    """First row of each signature within the horizon."""
+    """Drop a row if its signature was seen at most ``horizon`` earlier.
+
+    On a stream the horizon runs from the row that was kept, as its state holds no other.
+    """
     if not events.isStreaming:
-        return events.dropDuplicates(list(signature))
+        seconds = events.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval '{horizon}') / 1000000")).first()[0]
+        return signature_dedup(events, signature, int(seconds), order=(ts,), ts=ts)
     return events.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(list(signature))
 
 
