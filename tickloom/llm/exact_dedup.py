@@ -76,7 +76,8 @@ def kept_documents(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         F.max("kept").alias("__kept"), F.count("*").alias("__rows")
     )
     gone = keys.where(~F.col("__kept"))
-    same = docs["doc_id"].eqNullSafe(F.col("__d")) & (F.length(F.coalesce(docs["text"], F.lit(""))) == F.col("__n")) & (F.sha2(plain, 256) == F.col("__t"))
+    length = F.length(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(gone["__d"]) & (length == gone["__n"]) & (F.sha2(plain, 256) == gone["__t"])
     stay = docs.join(gone, same, "left_anti")
     # Rows that agree in doc_id, length and text: only where there are any.
     repeated = keys.where(F.col("__kept") & (F.col("__rows") > 1)).drop("__kept", "__rows")

@@ -175,6 +175,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     took = mix(docs, seed=seed, **options).groupBy(F.col("doc_id").alias("__doc"), F.col("size").alias("__size")).agg(
         F.max(times).cast("int").alias("__times")
     )
+    took = took.select("__doc", "__size", F.explode(F.when(F.col("__times") > 0, F.sequence(F.lit(1), F.col("__times")))))
     size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD))
-    met = docs.join(took, docs["doc_id"].eqNullSafe(F.col("__doc")) & (size == F.col("__size"))).where("__times > 0")
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    met = docs.join(took, docs["doc_id"].eqNullSafe(took["__doc"]) & (size == took["__size"]))
+    return met.select(*[docs[c] for c in docs.columns])
