@@ -27,7 +27,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
 FEATURES = 4_000
 LEAST_DOCUMENTS = 4
 FOLDS = 3
-PENALTY = 2.0
+LEAST_STRENGTH = 4.0
+PENALTY = 0.2
 THRESHOLD = 0.5
 # Category: distinct marker words a toxic document has at least. The last is the label itself.
 CATEGORIES = (("heavy", 6), ("repeated", 3), ("toxic", 0))
@@ -162,7 +163,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_features(mine: DataFrame, n: int = FEATURES, least: int = LEAST_DOCUMENTS) -> tuple[dict[str, int], list[str]]:
-    """Features by strength of association, and those that mark toxic documents: words at least 20 times as frequent there."""
+    """Features by strength of association (deviations from chance), and those that mark toxic documents: 20 times as frequent there."""
     totals = {r["toxic"]: r["count"] for r in mine.groupBy("toxic").count().collect()}
     t, c = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
     found = mine.select("text", "toxic").mapInArrow(_counts, "feature string, toxic long, clean long")
@@ -170,8 +171,8 @@ def choose_features(mine: DataFrame, n: int = FEATURES, least: int = LEAST_DOCUM
     p, q = (F.col("toxic") + 0.5) / (t + 1), (F.col("clean") + 0.5) / (c + 1)
     both = (F.col("toxic") + F.col("clean") + 0.5) / (t + c + 1)
     strength = F.abs(p - q) / F.sqrt(both * (1 - both) * (1 / t + 1 / c))
-    top = found.withColumns({"strength": strength, "ratio": p / q}).orderBy(F.col("strength").desc(), "feature").limit(n).collect()
-    return {r["feature"]: i for i, r in enumerate(top)}, [r["feature"] for r in top if r["ratio"] >= 20 and r["strength"] >= 4]
+    top = found.withColumns({"strength": strength, "ratio": p / q}).where(F.col("strength") >= LEAST_STRENGTH).orderBy(F.col("strength").desc(), "feature").limit(n).collect()
+    return {r["feature"]: i for i, r in enumerate(top)}, [r["feature"] for r in top if r["ratio"] >= 20]
 
 
 def train(docs: DataFrame, labels: DataFrame, threshold_sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN), folds: int = FOLDS, seed: int = SEED) -> Chain:
