@@ -176,3 +176,74 @@ def test_time_cells_shrink_to_fit(hot_ticks):
     rows = hot_ticks.select("symbol", F.unix_micros("ts").alias("us"), "seq").collect()
     for r in rows[:50]:
         assert by_symbol[r.seq] == sum(1 for x in rows if x.symbol == r.symbol and 0 <= r.us - x.us <= 3_600_000_000)
+
+
+def test_quantiles_of_many_ties(spark):
+    """Nine tenths one value: a hot key's ties are one counted row."""
+
+
+    df = spark.range(2_000).select(
+        F.when(F.col("id") % 4 == 0, "cold").otherwise("hot").alias("symbol"), F.when(F.col("id") % 10 < 9, 5.0).otherwise(F.col("id") * 1.0).alias("v")
+    )
+    probs = {"low": 0.01, "mid": 0.5, "high": 0.957, "top": 1.0}
+    same(quantiles(df, "v", probs, rows_per_task=50), quantiles(df, "v", probs))
+
+
+def test_decays_over_nulls(spark):
+    # constant but for nulls, and a gappy series
+
+    rows = [("a", i, v) for i, v in enumerate([None, 10.0, 10.0, None, 10.0, 10.0, 10.0])] + [("b", i, None if i % 3 == 0 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, price double")
+    how = {"order": ("seq",)}
+    out = decayed(df, [by_span("span", "price", 5), Decay("alpha", "price", 0.3)], **how)
+    for r in out.where("symbol = 'a'").collect():
+        assert (r["span"] is None) == (r["seq"] == 0) and (r["seq"] == 0 or abs(r["span"] - 10) < 1e-12 and abs(r["alpha"] - 10) < 1e-12)
+    same(out, decayed(df, [by_span("span", "price", 5), Decay("alpha", "price", 0.3)], rows_per_task=7, **how))
+
+
+def test_tight_pairs_keep_their_correlation(spark):
+    import numpy as np
+
+    from tickloom.plans.pairs import centred_moments, pair_stats
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=400)
+    y = x + 0.1 * rng.normal(size=400)
+    rows = [("x", i, 1e5 + float(v)) for i, v in enumerate(x)] + [("y", i, 1e5 + float(v)) for i, v in enumerate(y)] + [("z", i, 7.1) for i in range(400)]
+    out = {(r["a"], r["b"]): r for r in pair_stats(centred_moments(spark.createDataFrame(rows, "symbol string, bar long, price double"))).collect()}
+    assert abs(out["x", "y"]["corr"] - np.corrcoef(x, y)[0, 1]) < 1e-8 and out["x", "z"]["corr"] is None
+
+
+def test_unknown_sides_and_missing_prices(spark):
+
+
+    rows = [(1, "bid", 10.0, 5.0), (2, None, 4.0, 5.0), (3, "bid", 10.0, None), (4, "hold", 1.0, 9.0), (5, "ask", 5.0, 7.0), (6, "ask", None, 7.0)]
+    df = spark.createDataFrame([("s", i, i, side, v, p) for i, side, v, p in rows], "symbol string, ts long, seq long, side string, volume double, price double")
+    last = pnl.cash_and_position(df).where("seq = 6").first()
+    assert (last["position"], last["cash"]) == (5.0, -15.0) and pnl.unplaced_fills(df).count() == 4
+    book = {r["seq"]: r["position"] for r in pnl.average_cost(df).collect()}
+    assert book == {1: 10.0, 2: 10.0, 3: 10.0, 4: 10.0, 5: 5.0, 6: 5.0}
+    assert [r["pnl"] for r in pnl.fifo_pnl(df.where("price IS NOT NULL")).collect()] == [10.0]
+
+
+def test_normal_distribution(spark):
+    import math
+
+
+
+    from tickloom.operators.options import normal_cdf
+
+    for r in spark.range(-160, 161).select((F.col("id") / 20).alias("x")).select("x", normal_cdf(F.col("x")).alias("p")).collect():
+        assert abs(r["p"] - 0.5 * math.erfc(-r["x"] / math.sqrt(2))) < 2e-15
+
+
+def test_long_gap_in_bars(spark):
+
+
+
+
+    df = spark.createDataFrame([("s", 0, 1.0), ("s", 86_400 * 30, 2.0)], "symbol string, seq long, price double").withColumns(
+        {"ts": F.timestamp_seconds("seq"), "volume": F.lit(1.0)}
+    )
+    out = bars.ohlc(df, 60)
+    assert out.count() == 1_440 * 30 + 1 and out.select("bar").distinct().count() == 1_440 * 30 + 1

@@ -309,8 +309,10 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key: one output column per entry of ``probs``.
 
-    ``percentile`` holds a value map per group in one task.  Hot keys are ranked
-    by ``place`` instead and the two neighbouring ranks are picked.
+    ``percentile`` holds a value map per group in one task.  Of a hot key equal
+    values are counted first, each task's own before the shuffle, and the distinct
+    ones are accumulated in order; the two neighbouring ranks are picked, so many
+    ties are one row.
     """
     present = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     direct = [F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()]
@@ -318,17 +320,21 @@ def quantiles(
     if hot is None:
         return present.groupBy(*keys).agg(*direct)
     cold, heavy = hot.split(present)
-    ranked = place(heavy, keys, ["_v"], hot.block, hot.rows)
-    sizes = heavy.groupBy(*keys).agg(F.count("*").alias("__n"))
-    match = [ranked[k].eqNullSafe(sizes[k]) for k in keys]
-    near = ranked.join(F.broadcast(sizes), reduce(lambda a, b: a & b, match, F.lit(True)))
+    counted = heavy.groupBy(*keys, "_v").agg(F.count("*").alias("__c"))
+    upto = running(counted, {"__upto": ("sum", F.col("__c"))}, keys=keys, order=["_v"], rows_per_task=rows_per_task)
+    sizes = counted.groupBy(*[F.col(k).alias(f"__s{k}") for k in keys]).agg(F.sum("__c").alias("__n"))
+    match = [upto[k].eqNullSafe(sizes[f"__s{k}"]) for k in keys]
+    near = upto.join(broadcast_if_small(sizes), reduce(lambda a, b: a & b, match, F.lit(True)))
     picks = []
     for n, p in probs.items():
         at = (F.col("__n") - 1) * F.lit(p)
-        weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("__rn") - at))
-        # Only the ranks around `at` have a weight, and their weights add up to one.
-        picks.append(F.sum(F.when(weight > 0, weight * F.col("_v"))).alias(n))
-    result = near.groupBy(*[ranked[k] for k in keys]).agg(*picks)
+        low = F.floor(at)
+        first, last = F.col("__upto") - F.col("__c"), F.col("__upto") - 1  # ranks from 0 that the value has
+        share = F.when(low.between(first, last), 1.0 - (at - low)).otherwise(F.lit(0.0)) + F.when(
+            (low + 1).between(first, last), at - low
+        ).otherwise(F.lit(0.0))
+        picks.append(F.sum(F.when(share > 0, share * F.col("_v"))).alias(n))
+    result = near.groupBy(*keys).agg(*picks)
     if not hot.keys:
         return result
     return cold.groupBy(*keys).agg(*direct).unionByName(result)
