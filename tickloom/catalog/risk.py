@@ -312,13 +312,21 @@ def _checked(spark, sf_dir):
 
 @query(
     "limit_violations",
-    f"""WITH {TRADES}, {_MARKET_FACTS} SELECT 'order_size_limit' AS kind, 'high' AS level, 'Order blocked' AS action, count(*) AS n, round(sum(price * volume - 60000), 1) AS excess FROM trades WHERE price * volume > 60000
-    UNION ALL SELECT 'volatility_limit', 'medium', 'Order flagged', count(*), round(sum(volatility - 0.5), 1) FROM trades JOIN mf USING (symbol) WHERE volatility > 0.5
-    UNION ALL SELECT 'liquidity_limit', 'medium', 'Order flagged', count(*), round(sum(spread_share - 0.01), 1) FROM trades JOIN mf USING (symbol) WHERE spread_share > 0.01""",
+    f"""WITH {TRADES}, ps AS (SELECT symbol, sum(CASE WHEN side = 'bid' THEN volume ELSE -volume END) AS qty, max(price) AS top FROM trades GROUP BY symbol), {LIMITS}, {_MARKET_FACTS},
+    t AS (SELECT sum(abs(qty * top)) AS exposure, sum(-10) AS pnl FROM ps),
+    f AS (SELECT r.price * r.volume AS val, abs(coalesce(qty, 0) + CASE WHEN side = 'bid' THEN r.volume ELSE -r.volume END) AS size, r.price, own, volatility, spread_share, exposure, pnl
+      FROM trades r LEFT JOIN ps ON ps.symbol = r.symbol LEFT JOIN lm ON lm.symbol = r.symbol LEFT JOIN mf ON mf.symbol = r.symbol, t),
+    x AS (SELECT 'order_size_limit' AS kind, 'high' AS level, 'Order blocked' AS action, val - 60000 AS over FROM f
+      UNION ALL SELECT 'position_limit', 'high', 'Order blocked', CASE WHEN size > own THEN size - own ELSE size * price - 300000 END FROM f
+      UNION ALL SELECT 'exposure_limit', 'high', 'Order blocked', exposure + val - 1e12 FROM f
+      UNION ALL SELECT 'loss_limit', 'critical', 'Trading halted', -pnl - 1000 FROM f
+      UNION ALL SELECT 'volatility_limit', 'medium', 'Order flagged', volatility - 0.5 FROM f
+      UNION ALL SELECT 'liquidity_limit', 'medium', 'Order flagged', spread_share - 0.01 FROM f)
+    SELECT kind, level, action, count(*) AS n, round(sum(over), 1) AS excess FROM x WHERE over > 0 GROUP BY ALL""",
     digits=1,
 )
 def _(spark, sf_dir):
-    rows = R.violation_rows(_checked(spark, sf_dir), ["order_id"]).filter(F.col("kind").isin("order_size_limit", "volatility_limit", "liquidity_limit"))
+    rows = R.violation_rows(_checked(spark, sf_dir), ["order_id"])
     return rows.groupBy("kind", "level", "action").agg(F.count("*").alias("n"), F.sum("excess").alias("excess"))
 
 

@@ -40,9 +40,9 @@ def versioned(events: DataFrame, order: Sequence[str] = ("ts", "seq"), after: Da
     return out.join(top, "aggregate_id", "left").withColumn("version", F.col("version") + F.coalesce("_top", F.lit(0))).drop("_top")
 
 
-def append(events: DataFrame, path: str) -> None:
-    """Append to a Parquet log laid out by type and date; a busy type and day is split over tasks."""
-    dated = events.withColumn("date", F.to_date("ts"))
+def append(events: DataFrame, path: str, span: str = "day") -> None:
+    """Append to a Parquet log laid out by type and first date of the ``span``; a busy type and span is split over tasks."""
+    dated = events.withColumn("date", F.to_date(F.date_trunc(span, "ts")))
     dated.repartitionByRange("event_type", "date", "ts").write.mode("append").partitionBy("event_type", "date").parquet(path)
 
 

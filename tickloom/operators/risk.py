@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import ratio
+from tickloom.operators.pnl import signed_volume
 from tickloom.plans.pairs import centred_moments, pair_stats
 from tickloom.plans.series import broadcast_if_small, placed, quantiles, running, unplaced, windowed
 
@@ -248,7 +249,7 @@ def check_orders(
         .crossJoin(F.broadcast(totals))
     )
     value = F.coalesce(F.col("price"), F.lit(0.0)) * F.col("volume")
-    signed = F.when(F.col("side").isin("bid", "buy"), F.col("volume")).otherwise(-F.col("volume"))
+    signed = signed_volume()
     size = F.abs(F.coalesce("qty", F.lit(0.0)) + signed)
     own = _violation("position_limit", "high", size, F.col("own_limit"), "Order blocked")
     everyone = _violation("position_limit", "high", size * F.coalesce("price", F.lit(0.0)), F.lit(max_position_value), "Order blocked")
