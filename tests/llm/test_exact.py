@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from odd_inputs import empty, odd  # noqa: F401
 from tickloom.llm import backoff, byte_bpe, exact_dedup, licenses, merkle, mixing, partenum, wavelet
 from tickloom.llm.components import components
 

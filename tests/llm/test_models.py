@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from odd_inputs import empty, labels, odd  # noqa: F401
 from tickloom.llm import kneser_ney, toxicity
 from tickloom.llm.common import documents
 
