@@ -25,21 +25,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import table, texts
 from tickloom.llm.components import components
-from tickloom.llm.words import mix, windows, word_hashes
+from tickloom.llm.words import mix, slices, windows, word_hashes
 
 WORDS = 5
 PERCENT = 80
 PIECES = 8
 TOLERATED = 3
 RECORDS_PER_BUCKET = 400_000
-FLUSH_RECORDS = 1_500_000
-SLICE_BYTES = 4 << 20
+FLUSH_RECORDS = 600_000
+BROADCAST_ROWS = 2_000_000
+PROBE = 64
+PART_ROWS = 100_000
+HOT_GROUP = 20_000
+# The lowest bits of a signature hold the number of its grid value.
+LEVEL_BITS = np.uint64(63)
+# Of each pair of pieces, the pieces beside it; the pair's own need no byte, as the signature holds them.
+_OTHERS = np.array([[p for p in range(PIECES) if p // 2 != pair] for pair in range(PIECES // 2)])
 RECORD = np.dtype([("sig", "<u8"), ("node", "<i8"), ("marks", "<u8")])
 
 
@@ -65,18 +71,6 @@ def levels(size: int, percent: int = PERCENT) -> list[int]:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``SLICE_BYTES`` of text (one text at least)."""
-    for batch in batches:
-        lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-        a = 0
-        while a < batch.num_rows:
-            before = lengths[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(lengths, before + SLICE_BYTES)))
-            yield batch.slice(a, b - a)
-            a = b
-
-
 def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     hashes, owner = windows(*word_hashes(column), words)
@@ -91,46 +85,65 @@ def node_of(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.array(one, dtype=np.uint64).view(np.int64)), int(np.array(two, dtype=np.uint64).view(np.int64))
 
 
+def level_index(parts: int) -> int:
+    i, g = 0, 1
+    while g < parts:
+        g, i = grid(g + 1), i + 1
+    return i
+
+
+def piece_marks(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each piece, its byte; parts x PIECES) of a set."""
+    place = mix(shingles + np.uint64(parts))
+    piece = ((place >> np.uint64(32)) * np.uint64(parts * PIECES) >> np.uint64(32)).astype(np.int64)
+    sums = np.zeros(parts * PIECES, dtype=np.uint64)
+    np.add.at(sums, piece, mix(place))
+    sums = mix(sums + np.uint64(1))
+    return sums, (sums >> np.uint64(56)).astype(np.uint8).reshape(parts, PIECES)
+
+
 def records(shingles: np.ndarray, node: int, percent: int = PERCENT) -> list[np.ndarray]:
     """Signature records of one set, an array for each of its levels."""
     out = []
     for parts in levels(len(shingles), percent):
-        place = mix(shingles + np.uint64(parts))
-        piece = ((place >> np.uint64(32)) * np.uint64(parts * PIECES) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(parts * PIECES, dtype=np.uint64)
-        np.add.at(sums, piece, mix(place))
-        sums = mix(sums + np.uint64(1))
-        marks = (sums >> np.uint64(56)).astype(np.uint8).reshape(parts, PIECES).copy().view("<u8").ravel()
+        sums, marks = piece_marks(shingles, parts)
+        others = np.zeros((parts, PIECES // 2, PIECES), dtype=np.uint8)
+        others[:, :, : PIECES - 2] = marks[:, _OTHERS]
         pairs = sums.reshape(-1, 2)
         at = np.arange(len(pairs), dtype=np.uint64) + np.uint64(parts << 32)
         rec = np.empty(len(pairs), dtype=RECORD)
-        rec["sig"] = mix(mix(pairs[:, 0]) * np.uint64(3) + pairs[:, 1] + mix(at))
+        sig = mix(mix(pairs[:, 0]) * np.uint64(3) + pairs[:, 1] + mix(at))
+        rec["sig"] = (sig & ~LEVEL_BITS) | np.uint64(level_index(parts))
         rec["node"] = node
-        rec["marks"] = np.repeat(marks, PIECES // 2)
+        rec["marks"] = others.view("<u8").ravel()
         out.append(rec)
     return out
 
 
 def _pack(rec: np.ndarray) -> bytes:
+    """12 to 14 bytes a record: low half of the signature, other pieces' bytes, place of the node."""
     nodes, at = np.unique(rec["node"], return_inverse=True)
-    head = np.array([len(rec), len(nodes)], dtype="<i8").tobytes()
+    marks = np.ascontiguousarray(rec["marks"]).view(np.uint8).reshape(-1, PIECES)[:, : PIECES - 2]
     low = (rec["sig"] & np.uint64(0xFFFFFFFF)).astype("<u4")
-    return head + nodes.astype("<i8").tobytes() + rec["marks"].astype("<u8").tobytes() + low.tobytes() + at.astype("<u4").tobytes()
+    at = at.astype("<u2" if len(nodes) <= 1 << 16 else "<u4")
+    head = np.array([len(rec), len(nodes)], dtype="<i8").tobytes()
+    return head + nodes.astype("<i8").tobytes() + low.tobytes() + marks.tobytes() + at.tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    n, m = np.frombuffer(blob, dtype="<i8", count=2)
-    rec = np.empty(n, dtype=RECORD)
+    n, m = (int(x) for x in np.frombuffer(blob, dtype="<i8", count=2))
+    rec, at = np.empty(n, dtype=RECORD), 16 + 8 * m
     nodes = np.frombuffer(blob, dtype="<i8", count=m, offset=16)
-    at = 16 + 8 * int(m)
-    rec["marks"] = np.frombuffer(blob, dtype="<u8", count=n, offset=at)
-    rec["sig"] = np.frombuffer(blob, dtype="<u4", count=n, offset=at + 8 * int(n))
-    rec["node"] = nodes[np.frombuffer(blob, dtype="<u4", count=n, offset=at + 12 * int(n))]
+    rec["sig"] = np.frombuffer(blob, dtype="<u4", count=n, offset=at)
+    marks = np.zeros((n, PIECES), dtype=np.uint8)
+    marks[:, : PIECES - 2] = np.frombuffer(blob, dtype=np.uint8, count=n * (PIECES - 2), offset=at + 4 * n).reshape(n, -1)
+    rec["marks"] = marks.view("<u8").ravel()
+    rec["node"] = nodes[np.frombuffer(blob, dtype="<u2" if m <= 1 << 16 else "<u4", count=n, offset=at + (4 + PIECES - 2) * n)]
     return rec
 
 
 def _signer(buckets: int, words: int, percent: int):
-    """Per document (kind 0): node, witness, size; per bucket and flush (kind 1): packed records."""
+    """Packed records per bucket and flush."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -144,14 +157,12 @@ def _signer(buckets: int, words: int, percent: int):
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
             for some in np.array_split(full, max(1, len(full) // 16)):
-                counts = [int(cuts[i + 1] - cuts[i]) for i in some]
-                yield _rows(1, some, counts, packed=[_pack(rec[cuts[i] : cuts[i + 1]]) for i in some])
+                packed = [_pack(rec[cuts[i] : cuts[i + 1]]) for i in some]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
         for batch in slices(batches):
-            sets = shingle_sets(batch.column("text"), words)
-            named = [node_of(s) for s in sets]
-            yield _rows(0, batch.column("doc_id"), [x[0] for x in named], [x[1] for x in named], [len(s) for s in sets])
-            for s, (node, _) in zip(sets, named):
+            for s in shingle_sets(batch.column("text"), words):
+                node = node_of(s)[0]
                 if len(s) and node not in seen:
                     seen.add(node)
                     own = records(s, node, percent)
@@ -167,26 +178,35 @@ def _signer(buckets: int, words: int, percent: int):
     return run
 
 
-_SIGNED = "kind int, a long, b long, c long, d long, packed binary"
-
+def _namer(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column("text"), words)
+            named = [node_of(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([n for n, _ in named], [w for _, w in named], [len(s) for s in sets]))],
+                names=["doc_id", "node", "witness", "n_shingles"],
+            )
 
-def _rows(kind: int, *longs, packed=None) -> pa.RecordBatch:
-    n = len(longs[0])
-    columns = [pa.array(x, pa.int64()) for x in longs] + [pa.nulls(n, pa.int64())] * (4 - len(longs))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n, pa.int32()), *columns, pa.nulls(n, pa.binary()) if packed is None else pa.array(packed, pa.binary())],
-        names=["kind", "a", "b", "c", "d", "packed"],
-    )
+    return run
 
 
 def alike(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
-    """Whether at least PIECES - TOLERATED bytes agree."""
+    """Whether at least PIECES - TOLERATED pieces can agree, the two of the signature (zero bytes here) among them."""
     same = (np.ascontiguousarray(x ^ y).view(np.uint8).reshape(-1, PIECES) == 0).sum(axis=1)
     return same >= PIECES - TOLERATED
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a value starts a run, starts of runs, their lengths) of sorted values."""
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = values[1:] != values[:-1]
+    start = np.flatnonzero(first)
+    return first, start, np.diff(np.append(start, len(values)))
+
+
 def _group(key, pdf):
-    """Tries of one bucket (kind 0: low node, other node) and its groups of three and more (kind 1: signature, node, marks)."""
+    """Tries of one bucket (kind 0: two nodes) and its groups of three and more (kind 1: signature, node, marks)."""
     import pandas as pd
 
     bucket, _, split = (int(x) for x in key)
@@ -195,15 +215,19 @@ def _group(key, pdf):
     new = np.ones(len(rec), dtype=bool)
     new[1:] = (rec["sig"][1:] != rec["sig"][:-1]) | (rec["node"][1:] != rec["node"][:-1])
     rec = rec[new]  # one record for each signature and node
-    first = np.ones(len(rec), dtype=bool)
-    first[1:] = rec["sig"][1:] != rec["sig"][:-1]
-    start = np.flatnonzero(first)
-    size = np.diff(np.append(start, len(rec)))
+    first, start, size = _runs(rec["sig"])
+    # The node that meets others most often leads its groups: an original among its copies.
+    shared = np.repeat(size > 1, size)
+    known, times = np.unique(rec["node"][shared], return_counts=True)
+    met = np.zeros(len(rec), dtype=np.int64)
+    met[shared] = times[np.searchsorted(known, rec["node"][shared])]
+    rec = rec[np.lexsort((rec["node"], -met, rec["sig"]))]
     lead = np.repeat(start, size)
     tried = ~first & alike(rec["marks"], rec["marks"][lead])
-    pairs = np.unique(np.stack([rec["node"][lead][tried], rec["node"][tried]], axis=1), axis=0)
-    more = np.repeat(size >= (1 if split else 3), size)
-    rest = rec[more]
+    ends = np.stack([rec["node"][lead][tried], rec["node"][tried]], axis=1)
+    pairs = np.unique(np.sort(ends, axis=1), axis=0)
+    # Of a bucket in several blocks every group goes on: its members elsewhere are not known here.
+    rest = rec[np.repeat(size >= (1 if split > 1 else 3), size)]
     sig = (rest["sig"] + (np.uint64(bucket) << np.uint64(32))).view(np.int64)
     return pd.DataFrame({
         "kind": np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(rest), np.int32)]),
@@ -212,11 +236,16 @@ def _group(key, pdf):
     })
 
 
-def _linked(spark, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _of_nodes(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first document of each wanted node (column ``node``): text and doc_id. Few are sent to all tasks, many are joined by shuffle."""
+    named = table(nodes.groupBy("node").agg(F.min("doc_id").alias("rep")).join(wanted, "node").select("rep").distinct(), "named")
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    return docs.join(named, docs["doc_id"].eqNullSafe(named["rep"]), "left_semi").select("doc_id", "text")
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) of nodes whose sets reach the threshold."""
     pairs = table(pairs, "tries")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    named = nodes.groupBy("node").agg(F.min("doc_id").alias("rep")).join(wanted, "node").select("rep").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -226,8 +255,8 @@ def _linked(spark, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: i
                 names=["node", "shingles"],
             )
 
-    mine = docs.join(named, docs["doc_id"].eqNullSafe(named["rep"]), "left_semi").select("doc_id", "text")
-    known = mine.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"])
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    known = _of_nodes(docs, nodes, wanted).mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"])
     second = known.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
     first = known.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
     both = F.size(F.array_intersect("one", "two"))
@@ -247,49 +276,115 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     ``n_links``: different sets known to reach the threshold with this one; the
     tries stop where a component is certain, so it can be fewer than all.
     """
-    spark = docs.sparkSession
     docs = texts(docs)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-int(size * 0.08) // records_per_bucket))
-    signed = table(docs.select("doc_id", "text").mapInArrow(_signer(buckets, words, percent), _SIGNED), "signed")
-    nodes = signed.where("kind = 0").select(
-        F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("witness"), F.col("d").alias("n_shingles")
-    )
+    nodes = table(docs.mapInArrow(_namer(words), "doc_id long, node long, witness long, n_shingles long"), "nodes")
     clash = nodes.groupBy("node").agg(F.min("witness").alias("l"), F.max("witness").alias("h")).where("l <> h")
     if not clash.isEmpty():
         raise ValueError("two different shingle sets share a 64-bit node hash")
-    packed = signed.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("n"), "packed")
-    weight = packed.groupBy("bucket").agg(F.sum("n").alias("w"))
-    ways = weight.select("bucket", F.ceil(F.col("w") / (8 * records_per_bucket)).cast("int").alias("ways"))
-    dealt = packed.join(F.broadcast(ways), "bucket").withColumn("block", F.pmod(F.xxhash64("packed"), F.col("ways")).cast("int"))
-    dealt = dealt.withColumn("split", (F.col("ways") > 1).cast("int"))
+    packed = docs.mapInArrow(_signer(buckets, words, percent), "bucket long, packed binary")
+    ways = _ways(docs, buckets, words, percent, records_per_bucket)
+    dealt = packed.join(ways, packed["bucket"] == ways["hot"], "left").withColumn("split", F.coalesce("ways", F.lit(1)))
+    dealt = dealt.select("bucket", F.pmod(F.xxhash64("packed"), F.col("split")).cast("int").alias("block"), "split", "packed")
     met = table(dealt.groupBy("bucket", "block", "split").applyInPandas(_group, "kind int, x long, y long, z long"), "met")
     tries = met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    links = _linked(spark, docs, nodes, tries, words, percent)
+    links = _linked(docs, nodes, tries, words, percent)
     found = table(components(links), "components")
-    more = _across(met.where("kind = 1"), found).join(tries, ["a", "b"], "left_anti")
-    again = _linked(spark, docs, nodes, more, words, percent)
+    more = _across(docs, nodes, met.where("kind = 1"), found, words, percent).join(tries, ["a", "b"], "left_anti")
+    again = _linked(docs, nodes, more, words, percent)
     if not again.isEmpty():
         links = links.union(again)
         found = table(components(links), "components")
     return _report(nodes, links, found)
 
 
-def _across(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct pairs of a signature group in different components whose bytes allow a link."""
+def _ways(docs: DataFrame, buckets: int, words: int, percent: int, records_per_bucket: int) -> DataFrame:
+    """(hot, ways): buckets with a signature that very many sets share, and into how many blocks to deal them.
+
+    Read off one document in ``PROBE``; a wrong guess costs time or memory, no link.
+    """
+    probe = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PROBE)) == 0).mapInArrow(_signer(buckets, words, percent), "bucket long, packed binary")
+    weight = probe.groupBy("bucket").agg(F.sum(F.length("packed")).alias("bytes"))
+    ways = F.ceil(F.col("bytes") * PROBE / 20 / (8 * records_per_bucket)).cast("int")
+    hot = table(weight.select(F.col("bucket").alias("hot"), ways.alias("ways")).where("ways > 1"), "hot")
+    return F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+
+
+def _across(docs: DataFrame, nodes: DataFrame, groups: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Distinct pairs of a signature group in different components that can reach the threshold.
+
+    Beyond the bytes of their group, the bytes of all pieces are compared: of 8 G
+    pieces at most k may differ.  Groups are dealt to parts, and the bytes of a set go
+    once to each part that has it.  A group above ``HOT_GROUP`` is cut into blocks,
+    and each two blocks meet in a part of their own.
+    """
     member = groups.select(F.col("x").alias("sig"), F.col("y").alias("node"), F.col("z").alias("marks"))
     member = member.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = member.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-    member = table(member.join(mixed, "sig"), "mixed")
-    per = member.groupBy("sig", "label").agg(F.count("*").alias("n"))
-    top = per.groupBy("sig").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-    member = member.join(top, "sig")
-    few = member.where("label <> top").select("sig", F.col("node").alias("p"), F.col("label").alias("pl"), F.col("marks").alias("pm"))
-    byte = [F.shiftrightunsigned(F.col("pm").bitwiseXOR(F.col("marks")), 8 * i).bitwiseAND(F.lit(255)) == 0 for i in range(PIECES)]
-    enough = sum(b.cast("int") for b in byte) >= PIECES - TOLERATED
-    once = (F.col("label") == F.col("top")) | (F.col("pl") < F.col("label"))
-    pairs = few.join(member, "sig").where((F.col("pl") != F.col("label")) & once & enough)
-    return pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+    mixed = member.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low <> high")
+    member = table(member.join(mixed.select("sig", "members"), "sig"), "mixed")
+    level = F.col("sig").bitwiseAND(F.lit(int(LEVEL_BITS)))
+    # A set has one or two grid values: parts of one grid value each, so its bytes go to few of them. At most 64 rows here.
+    sizes = {r["level"]: r["count"] for r in member.groupBy(level.alias("level")).count().collect()}
+    parts = F.element_at(F.create_map(*[F.lit(x) for k, n in (sizes or {0: 1}).items() for x in (k, -(-n // PART_ROWS))]), level)
+    part = level * 1_000_000 + F.pmod(F.xxhash64("sig"), parts)
+    blocks = F.ceil(F.col("members") / HOT_GROUP).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    dealt = member.withColumn("own", own).select(
+        "sig", "node", "label", "marks", "own", level.alias("level"), part.alias("part"), F.explode(meets).alias("m")
+    ).select("sig", "node", "label", "marks", "own", "level", "part", "m.i", "m.j")
+
+    def all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for s in shingle_sets(batch.column("text"), words):
+                node = node_of(s)[0]
+                rows += [(node, level_index(g), len(s), piece_marks(s, g)[1].tobytes()) for g in levels(len(s), percent)]
+            columns = list(zip(*rows)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["node", "level", "n", "all_marks"]
+            )
+
+    vectors = _of_nodes(docs, nodes, member.select("node").distinct()).mapInArrow(all_marks, "node long, level long, n long, all_marks binary")
+    vectors = vectors.dropDuplicates(["node", "level"])
+    sent = dealt.select("part", "i", "j", "node", "level").distinct().join(vectors, ["node", "level"])
+    sent = sent.select(*[F.col(c).alias(c) for c in sent.columns])  # columns of its own, for the cogroup
+    keys = ["part", "i", "j"]
+    pairs = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_possible(percent), "a long, b long")
+    return pairs.distinct()
+
+
+def _possible(percent: int):
+    def run(key, members, sent):
+        import pandas as pd
+
+        i, j = int(key[1]), int(key[2])
+        at = {k: r for r, k in enumerate(zip(sent["node"], sent["level"]))}
+        size, marks = sent["n"].to_numpy(dtype=np.int64), sent["all_marks"].tolist()
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        for _, group in members.groupby("sig", sort=False):
+            node, label, own = (group[c].to_numpy() for c in ("node", "label", "own"))
+            where = np.array([at[k] for k in zip(node, group["level"])])
+            near = group["marks"].to_numpy(dtype=np.int64)
+            whole = np.frombuffer(b"".join(marks[r] for r in where), dtype=np.uint8).reshape(len(group), -1)
+            n = size[where]
+            for x in range(len(group) - 1):
+                rest = np.arange(x + 1, len(group))
+                ok = label[rest] != label[x]
+                if i != j:
+                    ok &= own[rest] != own[x]
+                rest = rest[ok]
+                rest = rest[alike((near[rest] ^ near[x]).view(np.uint64), np.uint64(0))] if len(rest) else rest
+                if len(rest):
+                    most = (100 - percent) * (n[rest] + n[x]) // (100 + percent)
+                    rest = rest[(whole[rest] != whole[x]).sum(axis=1) <= most]
+                if len(rest):
+                    out.append(np.stack([np.minimum(node[rest], node[x]), np.maximum(node[rest], node[x])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
 
 
 def _report(nodes: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
@@ -313,5 +408,5 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Rows without a doc_id stay if their whole component has none.
     """
     fate = jaccard_components(docs, words, percent)
-    gone = fate.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = fate.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")

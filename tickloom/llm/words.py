@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _SEPARATORS = (9, 10, 11, 12, 13, 32)
 
@@ -55,22 +55,22 @@ def split_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each text and the end) for words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased.
-
-    Bytes are handled in segments that end before a word, so memory beyond the
-    result is bounded by the longest word.
-    """
-    raw, offsets = split_buffers(column)
-    if not len(raw):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+def word_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First byte of each word of the texts that ``offsets`` bound."""
     word = _IS_WORD[raw]
     starts = word.copy()
     starts[1:] &= ~word[:-1]
     at_text = offsets[:-1][offsets[:-1] < offsets[1:]]
     starts[at_text] |= word[at_text]
-    starts = np.flatnonzero(starts)
-    bounds = np.searchsorted(starts, offsets)
+    return np.flatnonzero(starts)
+
+
+def run_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from each start to the next one, separators left out, A-Z as a-z.
+
+    Bytes are handled in segments that end before a start, so memory beyond the
+    result is bounded by the longest run.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     a = 0
     while a < len(starts):
@@ -80,7 +80,14 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rel = starts[a:b] - lo
         out[a:b] = np.add.reduceat(_VALUES[raw[lo:hi]] * up[: hi - lo], rel) * down[rel]
         a = b
-    return mix(out), bounds
+    return mix(out)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text and the end) for words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased."""
+    raw, offsets = split_buffers(column)
+    starts = word_starts(raw, offsets)
+    return run_hashes(raw, starts), np.searchsorted(starts, offsets)
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
