@@ -24,7 +24,7 @@ from tickloom.llm.words import mix, word_hashes
 ORDER = 3
 BACKOFF = 0.4
 CUTOFF = 2
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 12_000_000
 BUCKET_ENTRIES = 2_500_000
 HASH_BITS = 56
 _REQUEST = "batch long, n int, bucket long, packed binary"
@@ -50,22 +50,32 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack(values: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct hashes as 5-byte steps (8 bytes if a step is larger), and their counts."""
+    """Sorted distinct hashes as 5-byte steps (8 bytes if a step is larger), and their counts; high bytes and counts squeezed."""
     steps = np.diff(values, prepend=np.uint64(0))
     width = 5 if len(steps) < 2 or int(steps[1:].max()) < 1 << 40 else 8
-    raw = np.ascontiguousarray(steps[1:]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    squeezed = zstandard.ZstdCompressor(level=1).compress(counts.astype("<u4").tobytes())
-    return np.array([len(values), width, int(values[0])], dtype="<u8").tobytes() + raw + squeezed
+    raw = np.ascontiguousarray(steps[1:]).astype("<u8").view(np.uint8).reshape(-1, 8)
+    high = _squeeze(np.ascontiguousarray(raw[:, 4:width]).tobytes())
+    head = np.array([len(values), width, int(values[0]), len(high)], dtype="<u8").tobytes()
+    return head + raw[:, :4].tobytes() + high + _squeeze(counts.astype("<u4").tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, width, first = (int(x) for x in np.frombuffer(blob, dtype="<u8", count=3))
-    end = 24 + (n - 1) * width
+    n, width, first, high = (int(x) for x in np.frombuffer(blob, dtype="<u8", count=4))
+    end = 32 + (n - 1) * 4
     steps = np.zeros((n, 8), dtype=np.uint8)
-    steps[1:, :width] = np.frombuffer(blob, dtype=np.uint8, count=end - 24, offset=24).reshape(n - 1, width)
+    steps[1:, :4] = np.frombuffer(blob, dtype=np.uint8, count=(n - 1) * 4, offset=32).reshape(n - 1, 4)
+    steps[1:, 4:width] = np.frombuffer(_spread(blob[end : end + high]), dtype=np.uint8).reshape(n - 1, width - 4)
     values = steps.view("<u8").ravel().astype(np.uint64)
     values[0] = first
-    return np.cumsum(values, dtype=np.uint64), np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[end:]), dtype="<u4")
+    return np.cumsum(values, dtype=np.uint64), np.frombuffer(_spread(blob[end + high :]), dtype="<u4")
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=5).compress(raw)
+
+
+def _spread(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 class _Batch:
@@ -89,7 +99,7 @@ class _Batch:
         """Counts of each word's n-gram from the answers; 0 where it was not asked for."""
         for n in orders:
             own = answers.filter(pc.equal(answers.column("n"), n)).sort_by("bucket").column("packed").to_pylist()
-            total = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype="<u4") for x in own]
+            total = [np.frombuffer(_spread(x), dtype="<u4") for x in own]
             asked = self.asked(n, cutoff)
             _, at = np.unique(self.grams[n - 1][asked], return_inverse=True)
             self.counts[n] = np.zeros(len(asked), dtype=np.int64)
@@ -115,8 +125,7 @@ def _answer(rows: pa.Table) -> pa.Table:
     _, at = np.unique(np.concatenate([v for v, _ in read]), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([c for _, c in read]))[at].astype("<u4")
     ends = np.cumsum([len(v) for v, _ in read])
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    answers = [squeeze(total[e - len(v) : e].tobytes()) for e, (v, _) in zip(ends, read)]
+    answers = [_squeeze(total[e - len(v) : e].tobytes()) for e, (v, _) in zip(ends, read)]
     return pa.table({"batch": rows.column("batch"), "n": rows.column("n"), "bucket": rows.column("bucket"), "packed": pa.array(answers, pa.binary())})
 
 
