@@ -77,7 +77,7 @@ def likeness(a: Column, b: Column, a_leaves: Column, b_leaves: Column) -> Column
 
 def paragraphs_of(fingerprint: Column) -> Column:
     """Shortened paragraph hashes, in order."""
-    return F.regexp_extract_all(fingerprint, F.lit("([0-9a-f]+)\\."), F.lit(1))
+    return F.regexp_extract_all(fingerprint, F.lit(f"[:,]([0-9a-f]{{{SHORT_NODE}}})\\."), F.lit(1))
 
 
 def first_change(a: Column, b: Column) -> Column:
