@@ -10,7 +10,8 @@ the order the higher bits have left them, zeros before ones.
 
 from __future__ import annotations
 
-import re
+import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,15 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WORD, scratch, table, texts
-from tickloom.llm.words import slices
+from tickloom.llm.common import scratch, table, texts
+from tickloom.llm.words import run_hashes, slices, split_buffers, word_starts
 
 SHARD_TOKENS = 4_000_000
 END_ID = 1
 BLOCK = 512
-CACHE_WORDS = 800_000
-_WORDS = re.compile(WORD)
-_MARKS = frozenset(".,;:!?")
+CACHE_WORDS = 2_000_000
+ENCODE_WORDS = 2_000
+_IS_MARK, _IS_PLAIN, _IN_WORD = (np.zeros(256, dtype=bool) for _ in range(3))
+_IS_MARK[list(b".,;:!?")] = True
+_IS_PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_IN_WORD[[i for i in range(256) if i not in b" \t\n\x0b\x0c\r"]] = True
 _LOADED: dict[str, WordTokenizer] = {}
 
 
@@ -170,13 +174,24 @@ def load(content: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 
 
 class WordTokenizer:
-    """A tokenizer file of the tokenizers library whose pieces never cross white space; words seen before are looked up."""
+    """A tokenizer file of the tokenizers library whose pieces never cross white space; words seen before are looked up.
+
+    Lower case is the tokenizer's own first step, so words are looked up by a hash
+    without case of A-Z, but for words that may be a special token.  A mark after
+    an ASCII letter or digit is a piece of its own and looked up by itself.
+    """
 
     def __init__(self, path: str):
+        # One task has one core: threads of the library would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slots = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.flat, self.ends = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -185,33 +200,54 @@ class WordTokenizer:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [_WORDS.findall(text) for text in batch]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        new = list(set().union(*cut) - known.keys()) if cut else []
-        # A word and a mark after it are separate pieces; lower case is the tokenizer's own first step.
-        parts = [self._parts(w) for w in new]
-        unseen = list(set().union(*parts) - known.keys()) if parts else []
-        for a in range(0, len(unseen), 20_000):
-            some = unseen[a : a + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, found))
-        known.update([(w, b"".join([known[p] for p in own])) for w, own in zip(new, parts)])
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids: list[list[int]] = []
+        for a in range(0, len(words), ENCODE_WORDS):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + ENCODE_WORDS], add_special_tokens=False)]
+        slots = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(words))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], dtype=np.uint32)])
+        keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slots = keys[order], slots[order]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, first id of each text and the end)."""
+        raw, offsets = split_buffers(column)
+        starts = word_starts(raw, offsets)
+        if not len(starts):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
+        last = np.ones(len(raw), dtype=bool)
+        last[:-1] = ~_IN_WORD[raw[1:]]
+        last[offsets[1:][offsets[1:] > 0] - 1] = True
+        marks = np.flatnonzero(last[1:] & _IS_MARK[raw[1:]] & _IS_PLAIN[raw[:-1]]) + 1
+        marks = marks[~np.isin(marks, offsets[:-1])]
+        starts = np.sort(np.concatenate([starts, marks]))
+        keys = run_hashes(raw, starts)
+        # Words with "<" keep their case.
+        angled = np.unique(np.searchsorted(starts, np.flatnonzero(raw == ord("<")), side="right") - 1)
+        for i in angled:
+            keys[i] = np.uint64(hash_bytes(self._bytes(raw, starts, i)))
+        distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_WORDS:
+            self.clear()
+        place = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+        new = self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), dtype=bool)
+        if new.any():
+            self._learn(distinct[new], [self._bytes(raw, starts, i).decode() for i in first[new]])
+        slot = self.slots[np.searchsorted(self.keys, distinct)][at]
+        begin, sizes = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
+        before = np.cumsum(sizes) - sizes
+        ids = self.flat[np.repeat(begin - before, sizes) + np.arange(int(sizes.sum()))]
+        return ids, np.append(before, len(ids))[np.searchsorted(starts, offsets)]
 
     @staticmethod
-    def _parts(word: str) -> list[str]:
-        if word.isascii():
-            if word.isalpha():
-                return [word.lower()]
-            if word[-1:] in _MARKS and word[:-1].isalpha():
-                return [word[:-1].lower(), word[-1]]
-        elif word[-1:] in _MARKS and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return [word]
+    def _bytes(raw: np.ndarray, starts: np.ndarray, i: int) -> bytes:
+        return raw[starts[i] : starts[i + 1] if i + 1 < len(starts) else len(raw)].tobytes().rstrip(b" \t\n\x0b\x0c\r")
+
+
+def hash_bytes(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -229,16 +265,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(place)
         words, part = WordTokenizer.load(tokenizer_path), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         names: list[int | None] = []
         n, seq = 0, 0
-
         for batch in slices(batches):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
-                held.append(ids + end)
+            ids, bounds = words.encode(batch.column("text"))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:]):
+                held.append(np.append(ids[a:b], np.uint32(end_id)))
                 names.append(doc_id)
-                n += len(ids) // 4 + 1
+                n += int(b - a) + 1
                 if n >= shard_tokens:
                     yield _close(fs, base, part, seq, held, names)
                     held, names, n, seq = [], [], 0, seq + 1
@@ -249,11 +284,11 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_tokens
     return table(ranged.mapInArrow(run, "file string, part long, seq long, documents long, tokens long"), "shards")
 
 
-def _close(fs, base: str, part: int, seq: int, held: list[bytes], names: list[int | None]) -> pa.RecordBatch:
-    name, counts = f"shard-{part:08d}-{seq:06d}.wm", np.array([len(x) // 4 for x in held], dtype=np.int64)
+def _close(fs, base: str, part: int, seq: int, held: list[np.ndarray], names: list[int | None]) -> pa.RecordBatch:
+    name, counts = f"shard-{part:08d}-{seq:06d}.wm", np.array([len(x) for x in held], dtype=np.int64)
     hidden = f"{base}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(hidden) as out:
-        out.write(dump(np.frombuffer(b"".join(held), dtype="<u4"), names, counts))
+        out.write(dump(np.concatenate(held), names, counts))
     fs.move(hidden, f"{base}/{name}")
     return pa.RecordBatch.from_pydict({
         "file": [name], "part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()),
