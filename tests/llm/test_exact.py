@@ -82,6 +82,33 @@ def test_jaccard_components(odd, empty, records, monkeypatch):
         assert kept.columns == odd.columns and kept.where("doc_id IN (0, 5, 6, 8)").count() == 4 and kept.where("doc_id IN (1, 3, 4)").count() == 0
 
 
+@pytest.mark.parametrize("sets_a_block", [partenum.BLOCK_SETS, 7])
+def test_jaccard_counts_every_link(spark, odd, sets_a_block, monkeypatch):
+    """n_links: all other sets that reach the threshold, also those that the components do not need."""
+    monkeypatch.setattr(partenum, "BLOCK_SETS", sets_a_block)
+    rng = np.random.default_rng(11)
+    base = [f"v{i}" for i in range(90)]
+    rows = [(1000 + k, " ".join([*base[: 70 + k % 13], *(f"r{int(x)}" for x in rng.integers(0, 9, k % 7))])) for k in range(60)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    from pyspark.sql import functions as F
+
+    sets = [(d, frozenset(s)) for d, s in sets_of(docs.withColumn("source", F.lit(None)))]
+    different = {s for _, s in sets if s}
+    degree = {s: sum(1 for t in different if t != s and 100 * len(s & t) >= 80 * len(s | t)) for s in different}
+    got = [(r["doc_id"], r["n_shingles"], r["n_links"]) for r in partenum.jaccard_components(docs).collect()]
+    assert sorted(got, key=key) == sorted(((d, len(s), degree.get(s, 0)) for d, s in sets), key=key)
+    assert max(degree.values()) > 20
+
+
+def test_shared_sizes(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, n, n // 2 + 1)).astype(np.uint64) for n in rng.integers(1, 9_000, 40)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]]
+    for dense in (0, 3, 100, 10**9):
+        monkeypatch.setattr(partenum, "DENSE", dense)
+        assert partenum.shared_sizes(sets[:25], sets[25:]).tolist() == want
+
+
 def test_grid_covers_every_pair():
     for a in range(1, 400):
         for b in range(a, a * 100 // 80 + 1):

@@ -16,7 +16,9 @@ Records are packed per bucket of signatures.  Equal sets are one node.  In each
 signature group all members are tried against the lowest one (no pairs within a
 group), exact set intersections decide, and components are formed.  Groups whose
 members then lie in different components are taken again: there every pair across
-components that can still reach the threshold is tried, so no link is lost.
+components that can still reach the threshold is tried, so no component is cut.
+Links are counted last: sets that reach the threshold lie in one component, so where
+the known links of a component are not all its pairs, every pair in it is checked.
 """
 
 from __future__ import annotations
@@ -42,6 +44,11 @@ BROADCAST_ROWS = 2_000_000
 PROBE = 64
 PART_ROWS = 100_000
 HOT_GROUP = 20_000
+# A component is cut into blocks of at most so many sets and shingles (about) to count its links; small ones share parts.
+BLOCK_SETS = 1_000
+BLOCK_SHINGLES = 500_000
+# Shingles of at least one in so many pairs of sets are counted by matrix products, rarer ones pair by pair.
+DENSE = 100
 # The lowest bits of a signature hold the number of its grid value.
 LEVEL_BITS = np.uint64(63)
 # Of each pair of pieces, the pieces beside it; the pair's own need no byte, as the signature holds them.
@@ -273,10 +280,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     ``words`` words make one shingle of all of them.  A null doc_id is passed
     over by the minimum unless all are null.  Rows that repeat each get their
     row; an empty table gives an empty result; other columns are not read.
-    ``n_links``: different sets known to reach the threshold with this one; the
-    tries stop where a component is certain, so it can be fewer than all.
+    ``n_links``: all different sets that reach the threshold with this one.
     """
     docs = texts(docs)
+    nodes, links, found = _joined(docs, words, percent, records_per_bucket)
+    return _report(nodes, _degrees(docs, nodes, links, found, words, percent), found)
+
+
+def _joined(docs: DataFrame, words: int, percent: int, records_per_bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes: the set of each row; links: enough pairs of nodes for the components; found: the component of each linked node)."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, -(-int(size * 0.08) // records_per_bucket))
     nodes = table(docs.mapInArrow(_namer(words), "doc_id long, node long, witness long, n_shingles long"), "nodes")
@@ -296,7 +308,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     if not again.isEmpty():
         links = links.union(again)
         found = table(components(links), "components")
-    return _report(nodes, links, found)
+    return nodes, links, found
 
 
 def _ways(docs: DataFrame, buckets: int, words: int, percent: int, records_per_bucket: int) -> DataFrame:
@@ -387,8 +399,106 @@ def _possible(percent: int):
     return run
 
 
-def _report(nodes: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each set on the left with each on the right."""
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    known, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    at = [at[: len(rows[0])], at[len(rows[0]) :]]
+    n = [np.bincount(x, minlength=len(known)) for x in at]
+    meets = n[0] * n[1]
+    dense = np.flatnonzero(meets * DENSE >= len(left) * len(right))
+    out = np.zeros(len(left) * len(right), dtype=np.int64)
+    column = np.full(len(known), -1)
+    column[dense] = np.arange(len(dense))
+    own = [column[x] for x in at]
+    for first in range(0, len(dense), 2048):
+        cells = []
+        for side, r, c in zip((left, right), rows, own):
+            here = (c >= first) & (c < first + 2048)
+            m = np.zeros((len(side), min(2048, len(dense) - first)), dtype=np.float32)
+            m[r[here], c[here] - first] = 1
+            cells.append(m)
+        out += np.rint(cells[0] @ cells[1].T).astype(np.int64).ravel()
+    order = np.argsort(at[1], kind="stable")
+    begin = np.cumsum(n[1]) - n[1]
+    rare = np.flatnonzero((own[0] < 0) & (meets[at[0]] > 0))
+    times = n[1][at[0][rare]]
+    ends = np.cumsum(times)
+    a = 0
+    while a < len(rare):
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + 4_000_000)))
+        t = times[a:b]
+        beside = np.repeat(begin[at[0][rare[a:b]]] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+        out += np.bincount(np.repeat(rows[0][rare[a:b]], t) * len(right) + rows[1][order[beside]], minlength=len(out))
+        a = b
+    return out.reshape(len(left), len(right))
+
+
+def _degrees(docs: DataFrame, nodes: DataFrame, links: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, n_links) of every linked node, counted over all pairs of sets that reach the threshold.
+
+    A component whose known links are all its pairs is done.  The others are cut
+    into blocks, each two blocks meet in one task, and a task gives a count for
+    each of its nodes: no pair is a row, and each pair is in one task only.
+    """
+    sized = found.join(nodes.select("node", "n_shingles").distinct(), "node")
+    held = links.join(found, links["a"] == found["node"]).groupBy("label").agg(F.count("*").alias("held"))
+    per = sized.groupBy("label").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).join(held, "label")
+    per = table(per.withColumn("whole", 2 * F.col("held") == F.col("members") * (F.col("members") - 1)), "sizes")
+    done = found.join(per.where("whole"), "label").select("node", (F.col("members") - 1).alias("n_links"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    per = per.where("NOT whole").withColumn("blocks", blocks)
+    small = per.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0
+    part = F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(-(-small // BLOCK_SHINGLES) or 1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    member = found.join(per.select("label", "blocks"), "label").withColumns({"own": own, "part": part, "large": F.col("blocks") > 1})
+    member = table(member, "members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            all_sets = shingle_sets(batch.column("text"), words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([node_of(s)[0] for s in all_sets], pa.int64()), pa.array([s.tobytes() for s in all_sets], pa.binary())], names=["node", "shingles"],
+            )
+
+    known = _of_nodes(docs, nodes, member.select("node")).mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    dealt = member.join(known, "node").select("node", "label", "shingles", "own", "large", "part", F.explode(meets).alias("m"))
+    dealt = dealt.select("node", "label", "shingles", "own", "large", "part", "m.i", "m.j")
+    counted = dealt.groupBy("large", "part", "i", "j").applyInPandas(_counter(percent), "node long, n_links long")
+    return done.union(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
+def _counter(percent: int):
+    def run(key, pdf):
+        import pandas as pd
+
+        i, j = int(key[2]), int(key[3])
+        out = []
+        for _, group in pdf.groupby("label", sort=False):
+            node, own = group["node"].to_numpy(), group["own"].to_numpy()
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
+            sides = [np.flatnonzero(own == k) for k in ((i,) if i == j else (i, j))]
+            if not all(len(x) for x in sides):
+                continue
+            one, two = sides[0], sides[-1]
+            left, right = [sets[x] for x in one], [sets[x] for x in two]
+            both = shared_sizes(left, right)
+            all_of = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right]) - both
+            hit = 100 * both >= percent * all_of
+            if i == j:
+                np.fill_diagonal(hit, False)
+                out.append((node[one], hit.sum(axis=1)))
+            else:
+                out += [(node[one], hit.sum(axis=1)), (node[two], hit.sum(axis=0))]
+        columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1)]
+        return pd.DataFrame({"node": columns[0], "n_links": columns[1]})
+
+    return run
+
+
+def _report(nodes: DataFrame, degree: DataFrame, found: DataFrame) -> DataFrame:
     classes = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(found, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
