@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 
 from odd_inputs import empty, odd  # noqa: F401
-from tickloom.llm import backoff, byte_bpe, exact_dedup, licenses, merkle, mixing, partenum, wavelet
+from tickloom.llm import backoff, byte_bpe, exact_dedup, licenses, merkle, mixing, partenum, queries, wavelet
 from tickloom.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -304,3 +304,19 @@ def test_backoff(odd, empty):
     for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3)
     assert backoff.scores(empty).count() == 0
+
+
+def test_backoff_query_counts_single_occurrences(spark, tmp_path):
+    """The registered query: an n-gram that occurs once has its own score."""
+    texts = ["a b c d", "a b x y z", "only once here", "b c", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [(t or "").split() for t in texts]
+    counts = [Counter(tuple(w[k : k + n]) for w in words for k in range(len(w) - n + 1)) for n in range(4)]
+    total = sum(map(len, words))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_stupid_backoff"](spark, str(tmp_path)).collect()}
+    for d, w in enumerate(words):
+        score = sum(
+            math.log(counts[n][tuple(w[i - n + 1 : i + 1])] / (counts[n - 1][tuple(w[i - n + 1 : i])] if n > 1 else total))
+            for i, n in ((i, min(3, i + 1)) for i in range(len(w)))
+        )
+        assert got[d]["log_score"] == pytest.approx(score, abs=1e-9) and got[d]["from_3"] == max(0, len(w) - 2)

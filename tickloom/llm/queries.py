@@ -56,7 +56,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.scores(documents(spark, sf_dir))
+    return backoff.scores(documents(spark, sf_dir), cutoff=1)
 
 
 SQL["op8_exact_dedup"] = r"""
