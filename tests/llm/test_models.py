@@ -113,6 +113,21 @@ def test_quality_odd(odd, empty, labels):
     assert kneser_ney.classify(odd, labels.where("quality = 9")).where("NOT keep AND n_words > 0").count() == 0
 
 
+def test_quality_rare_languages(spark):
+    """Each language with trusted text has a model and a threshold, however small its share; the sample is bounded in each."""
+    rng = np.random.default_rng(8)
+    langs = ["en"] * 150 + ["fi"] * 3 + ["xx"] + [None] * 2
+    rows = [(i, " ".join(f"{x}{int(k)}" for k in rng.geometric(0.2, 30)), x) for i, x in enumerate(langs)] + [(900, "some words", "none"), (901, "", "void")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(len(langs)), 901]], "doc_id long, quality int")
+    taken = Counter(r["lang"] for r in kneser_ney.sample(docs, labels, 4).collect())
+    assert taken["en"] == 4 and set(taken) == {"en", "fi", "xx", None}
+    found = kneser_ney.classify(docs, labels, n=4).collect()
+    for r in found:
+        known = r["lang"] in ("en", "fi", "xx", None)
+        assert (r["threshold"] is not None) == known and (r["perplexity"] is not None) == known
+
+
 def test_pipeline_stages(spark):
     docs = documents(spark, "/root/testdata/sf0.001")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "mix_sources", "byte_bpe"]
