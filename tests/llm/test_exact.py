@@ -238,6 +238,21 @@ def test_mix(odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mix_small_sources(spark):
+    """Sources of less than a block, beside large ones, with the default block."""
+    rows = [(i, f"w{i} " * (3 + i % 60), f"tail{i // 2:03}") for i in range(160)] + [(1000 + i, "x " * 900, "big" if i % 2 else "other") for i in range(30)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    source_of = {d: s for d, _, s in rows}
+    taken, goal = Counter(), {}
+    for r in got.collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[source_of[r["doc_id"]]] += r["taken"]
+        goal[source_of[r["doc_id"]]] = r["target"]
+    assert len(goal) == 82
+    for s, t in goal.items():
+        assert abs(taken[s] - t) <= max(1, t / mixing.FEW + 1), (s, taken[s], t)
+
+
 def test_wavelet_sequence():
     rng = np.random.default_rng(3)
     for ids in (np.zeros(0, int), np.array([5]), rng.integers(0, 50, 5000), rng.integers(0, 70_000, 3000)):

@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 PERCENT = 150
 LIMIT = 2
 BLOCK = 128
+# A source's quota is at least so many blocks; below BLOCK times as many words its blocks are shorter.
+FEW = 64
 SHARD_TOKENS = 2_000_000
 SEED = 17
 
@@ -58,8 +60,9 @@ def apportion(claims: DataFrame, group: Sequence[str], claim: str, seats: Column
     """Add ``quota``: in each group ``seats`` seats go one by one to the highest claim / (2 * held + 1).
 
     Quotas lie between those of two divisors, one certainly too large and one
-    certainly too small; only the quotients between them are written out and
-    ranked, about two per claim.  ``most`` bounds a quota; seats that no row may
+    certainly too small, and no further from those of the even divisor than all
+    of these together miss ``seats`` (one more for rounding); only the quotients
+    between them are written out and ranked, about two per claim.  ``most`` bounds a quota; seats that no row may
     take stay empty.  Ties go to the first row in ``order``.
     """
     whole = Window.partitionBy(*group)
@@ -75,7 +78,12 @@ def apportion(claims: DataFrame, group: Sequence[str], claim: str, seats: Column
     high = F.least(quota(F.col("__seats") + F.col("__rows")) + F.col("__spare"), F.col(most))
     spare = F.sum(F.greatest(quota(F.col("__seats") + F.col("__rows")) - F.col(most), F.lit(0))).over(whole)
     with_bounds = with_bounds.withColumn("__spare", spare)
-    with_bounds = with_bounds.withColumns({"__low": low, "__high": high})
+    with_bounds = with_bounds.withColumns({"__low": low, "__high": high, "__even": F.least(quota(F.col("__seats")), F.col(most))})
+    over = F.sum("__even").over(whole) - F.col("__seats")
+    with_bounds = with_bounds.withColumn("__over", over).withColumns({
+        "__low": F.greatest(F.col("__low"), F.col("__even") - F.greatest(F.col("__over"), F.lit(0)) - 1),
+        "__high": F.least(F.col("__high"), F.col("__even") + F.greatest(-F.col("__over"), F.lit(0)) + 1),
+    })
     with_bounds = with_bounds.withColumn("__open", F.col("__seats") - F.sum("__low").over(whole))
     steps = F.when(F.col("__high") > F.col("__low"), F.sequence(F.col("__low"), F.col("__high") - 1)).otherwise(F.array().cast("array<bigint>"))
     ranked = with_bounds.withColumn("__step", F.explode_outer(steps)).withColumn("__quotient", F.col(claim) / (2 * F.col("__step") + 1))
@@ -93,8 +101,9 @@ def mix(
 
     A source's words are dealt by document to shards of about ``shard_tokens``
     words.  In a shard the documents lie in seeded order, ``limit`` times over;
-    that line is cut into blocks of ``block`` words.  Blocks are apportioned to
-    sources by their targets, and a source's blocks to its shards by their words.
+    that line is cut into blocks of ``block`` words, the last one short.  Words are
+    apportioned to sources by their targets, and a source's words, in blocks, to its
+    shards by theirs.  Sources whose quota is under ``FEW`` blocks have shorter blocks.
     A shard's blocks are taken in seeded order, all of one pass before the next,
     so no word is taken more than ``limit`` times.
 
@@ -119,45 +128,46 @@ def mix(
         "placed",
     )
     shard = placed.groupBy("source", "shard").agg(F.max("end").alias("words"), F.first("target").alias("target"))
-    shard = shard.withColumn("blocks", F.floor(limit * F.col("words") / block))
-    source = shard.groupBy("source").agg(F.first("target").alias("target"), F.sum("blocks").alias("blocks"))
-    all_blocks = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
-    by_source = apportion(source, [], "target", all_blocks, "blocks", [F.col("source").asc_nulls_last()])
-    by_source = by_source.select(F.col("source").alias("__source"), F.col("quota").alias("source_blocks"))
+    source = shard.groupBy("source").agg(F.first("target").alias("target"), (limit * F.sum("words")).alias("most"))
+    all_words = F.round(F.sum("target").over(Window.partitionBy())).cast("long")
+    by_source = apportion(source, [], "target", all_words, "most", [F.col("source").asc_nulls_last()])
+    unit = F.greatest(F.least(F.floor(F.col("quota") / FEW), F.lit(block)), F.lit(1)).cast("long")
+    by_source = by_source.select(F.col("source").alias("__source"), unit.alias("unit"), F.round(F.col("quota") / unit).cast("long").alias("source_blocks"))
     shard = shard.join(by_source, shard["source"].eqNullSafe(by_source["__source"])).drop("__source", "target")
+    shard = shard.withColumn("blocks", F.ceil(limit * F.col("words") / F.col("unit")))
     by_shard = apportion(shard, ["source"], "words", F.col("source_blocks"), "blocks", [F.col("shard").asc()])
-    by_shard = table(by_shard.select("source", "shard", "words", "blocks", F.col("quota")), "quotas")
+    by_shard = table(by_shard.select("source", "shard", "words", "unit", "blocks", F.col("quota")), "quotas")
     chosen = by_shard.where("quota > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    turn = F.floor(F.col("block") * block / F.col("words"))
+    turn = F.floor(F.col("block") * F.col("unit") / F.col("words"))
     pick = Window.partitionBy("source", "shard").orderBy(turn, F.xxhash64(F.lit(seed), "source", "shard", "block"), "block")
-    chosen = chosen.where(F.col("quota") > 0).withColumn("at", F.row_number().over(pick)).where("at <= quota").select("source", "shard", "block")
-    covered = _covered(placed, by_shard, chosen, limit, block)
+    chosen = chosen.withColumn("at", F.row_number().over(pick)).where("at <= quota").select("source", "shard", "unit", "block")
+    covered = _covered(placed, by_shard, chosen, limit)
     return covered.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _covered(placed: DataFrame, by_shard: DataFrame, chosen: DataFrame, limit: int, block: int) -> DataFrame:
+def _covered(placed: DataFrame, by_shard: DataFrame, chosen: DataFrame, limit: int) -> DataFrame:
     """Words of each document under the chosen blocks, all passes: running counts of chosen blocks, looked up at its two ends."""
     key = ["source", "shard"]
-    words = by_shard.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "words")
+    words = by_shard.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "words", "unit")
     spans = placed.join(words, placed["source"].eqNullSafe(words["__source"]) & (placed["shard"] == words["__shard"])).drop("__source", "__shard")
     spans = spans.withColumn("row", F.monotonically_increasing_id())
     spans = table(spans, "spans")
     turns = F.explode(F.array(*[F.lit(i).cast("long") for i in range(limit)]))
     ends = spans.where("size > 0").withColumn("turn", turns)
     points = ends.select(
-        *key, "row", F.explode(F.array(
+        *key, "unit", "row", F.explode(F.array(
             F.struct((F.col("turn") * F.col("words") + F.col("start")).alias("at"), F.lit(-1).alias("sign")),
             F.struct((F.col("turn") * F.col("words") + F.col("end")).alias("at"), F.lit(1).alias("sign")),
         )).alias("p"),
-    ).select(*key, "row", F.col("p.at").alias("at"), F.col("p.sign").alias("sign"), F.lit(None).cast("long").alias("block"))
-    marks = chosen.select(*key, F.lit(None).cast("long").alias("row"), (F.col("block") * block).alias("at"), F.lit(0).alias("sign"), "block")
+    ).select(*key, "unit", "row", F.col("p.at").alias("at"), F.col("p.sign").alias("sign"), F.lit(None).cast("long").alias("block"))
+    marks = chosen.select(*key, "unit", F.lit(None).cast("long").alias("row"), (F.col("block") * F.col("unit")).alias("at"), F.lit(0).alias("sign"), "block")
     # A block counts for every later point; the last one begun may be cut short by the point.
     upto = Window.partitionBy(*key).orderBy("at", F.col("sign") != 0).rowsBetween(Window.unboundedPreceding, 0)
     both = points.unionByName(marks).select(
-        "row", "sign", "at", F.count("block").over(upto).alias("begun"), F.last("block", ignorenulls=True).over(upto).alias("latest"),
+        "row", "sign", "at", "unit", F.count("block").over(upto).alias("begun"), F.last("block", ignorenulls=True).over(upto).alias("latest"),
     ).where("sign <> 0")
     inside = F.when(F.col("begun") == 0, F.lit(0)).otherwise(
-        (F.col("begun") - 1) * block + F.least(F.col("at") - F.col("latest") * block, F.lit(block))
+        (F.col("begun") - 1) * F.col("unit") + F.least(F.col("at") - F.col("latest") * F.col("unit"), F.col("unit"))
     )
     per_row = both.groupBy(F.col("row").alias("__row")).agg(F.sum(F.col("sign") * inside).alias("taken"))
     return spans.join(per_row, spans["row"] == per_row["__row"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
