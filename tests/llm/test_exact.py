@@ -100,6 +100,23 @@ def test_jaccard_counts_every_link(spark, odd, sets_a_block, monkeypatch):
     assert max(degree.values()) > 20
 
 
+def test_one_row_of_each_component(spark):
+    """Rows are told apart by doc_id and text: linked and unlinked rows without doc_id, a repeated doc_id, repeated rows."""
+    a, b, c, d = ([f"{x}{i}" for i in range(60)] for x in "abcd")
+    near = lambda x, k: " ".join(x[: 60 - k])
+    rows = [
+        (1, near(a, 0)), (None, near(a, 1)), (None, "alone without an id here"), (None, near(b, 0)), (None, near(b, 1)), (None, near(b, 2)),
+        (2, near(c, 0)), (9, near(c, 1)), (9, near(d, 0)), (20, near(d, 1)), (30, "the same row more than once"), (30, "the same row more than once"),
+        (None, "one two three four five six"), (None, "one two three four five six"), (40, ""), (40, None), (None, None), (None, " "),
+    ]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    kept = partenum.one_of_each(docs)
+    got = sorted(r["place"] for r in kept.collect())
+    assert kept.columns == docs.columns and len(got) == len(set(got))
+    groups = [{0}, {2}, {3, 4, 5}, {6}, {8}, {10, 11}, {12, 13}]
+    assert set(got) - set().union(*groups) == {14, 15, 16, 17} and all(len(g & set(got)) == 1 for g in groups)
+
+
 def test_shared_sizes(monkeypatch):
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, n, n // 2 + 1)).astype(np.uint64) for n in rng.integers(1, 9_000, 40)]

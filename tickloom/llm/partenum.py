@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import table, texts
@@ -513,10 +513,48 @@ def _report(nodes: DataFrame, degree: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, all columns kept; empty texts stay.
+    """Of each component exactly one row of ``docs``, all columns kept: the one with the smallest doc_id (null last).
 
-    Rows without a doc_id stay if their whole component has none.
+    Rows that agree in doc_id are ordered by a hash of their text, and of rows that agree in both
+    one stays.  Rows without words stay.
     """
-    fate = jaccard_components(docs, words, percent)
-    gone = fate.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    plain = texts(docs)
+    _, _, found = _joined(plain, words, percent, RECORDS_PER_BUCKET)
+    # The set of a text is known by its hash: rows are told apart by (doc_id, text hash), not by doc_id alone.
+    named = table(plain.select("doc_id", "text", _mark(F.col("text")).alias("mark")).mapInArrow(_marker(words), "doc_id long, mark string, node long"), "marks")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("mark").alias("mark"))
+    labelled = named.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("first", first)
+    keep = labelled.groupBy("label").agg(F.min("first").alias("keep"))
+    fate = labelled.join(keep, "label").groupBy("doc_id", "mark").agg(
+        F.max(F.col("first") == F.col("keep")).alias("__kept"), F.count("*").alias("__rows")
+    )
+    fate = table(fate.select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), "__kept", "__rows"), "fate")
+    mark = _mark(F.coalesce(docs["text"], F.lit("")))
+    gone = fate.where("NOT __kept")
+    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]) & (mark == gone["__m"]), "left_anti")
+    # Rows that agree in doc_id and text: only where there are any.
+    repeated = fate.where("__kept AND __rows > 1").select("__d", "__m")
+    if repeated.isEmpty():
+        return stay
+    packed = stay.select(F.struct("*").alias("r"))
+    packed = packed.withColumns({"__a": F.col("r.doc_id"), "__b": _mark(F.coalesce(F.col("r.text"), F.lit("")))})
+    match = F.col("__a").eqNullSafe(F.col("__d")) & (F.col("__b") == F.col("__m"))
+    one = packed.join(repeated, match, "left_semi").groupBy("__a", "__b").agg(F.first("r").alias("r"))
+    return packed.join(repeated, match, "left_anti").select("r.*").unionByName(one.select("r.*"))
+
+
+def _mark(text: Column) -> Column:
+    return F.md5(F.encode(text, "UTF-8"))
+
+
+def _marker(words: int):
+    """The set of each row that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column("text"), words)
+            full = np.array([len(s) > 0 for s in sets], dtype=bool)
+            nodes = pa.array([node_of(s)[0] for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), nodes], names=["doc_id", "mark", "node"]).filter(pa.array(full))
+
+    return run
