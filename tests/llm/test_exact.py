@@ -117,6 +117,12 @@ def test_one_row_of_each_component(spark):
     assert set(got) - set().union(*groups) == {14, 15, 16, 17} and all(len(g & set(got)) == 1 for g in groups)
 
 
+def test_exact_dedup_repeated_null_text(spark):
+    """Rows that agree in doc_id and null text: one stays, with all its columns."""
+    docs = spark.createDataFrame([(3, None, "a"), (3, None, "a"), (4, "", "b")], "doc_id long, text string, source string")
+    assert [tuple(r) for r in exact_dedup.kept_documents(docs).collect()] == [(3, None, "a")]
+
+
 def test_shared_sizes(monkeypatch):
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, n, n // 2 + 1)).astype(np.uint64) for n in rng.integers(1, 9_000, 40)]

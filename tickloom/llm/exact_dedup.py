@@ -87,5 +87,5 @@ def kept_documents(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     text = F.coalesce(F.col("r.text"), F.lit(""))
     packed = packed.withColumns({"__a": F.col("r.doc_id"), "__b": F.length(text), "__c": F.sha2(F.translate(text, BLANKS, ""), 256)})
     match = F.col("__a").eqNullSafe(F.col("__d")) & (F.col("__b") == F.col("__n")) & (F.col("__c") == F.col("__t"))
-    one = packed.join(repeated, match, "left_semi").groupBy("__a", "__b", "__c").agg(F.min_by("r", F.col("r.text")).alias("r"))
+    one = packed.join(repeated, match, "left_semi").groupBy("__a", "__b", "__c").agg(F.min_by("r", F.struct(F.col("r.text").isNull(), F.coalesce("r.text", F.lit("")))).alias("r"))
     return packed.join(repeated, match, "left_anti").select("r.*").unionByName(one.select("r.*"))
