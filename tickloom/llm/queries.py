@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over the test tables, with SQL where it can say the same."""
+"""The operators and the pipeline as queries over the test tables, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import backoff, byte_bpe, exact_dedup, kneser_ney, licenses, merkle, mixing, partenum, toxicity, wavelet
+from tickloom.llm import backoff, byte_bpe, exact_dedup, kneser_ney, licenses, merkle, mixing, partenum, piece_counts, toxicity, wavelet
 from tickloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,10 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scores(documents(spark, sf_dir), cutoff=1)
 
 
+def op11_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 SQL["op8_exact_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -69,5 +73,5 @@ g AS (
   FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g"""
 
-for _fn in (op1_wavelet_token_ids, op2_merkle_fingerprints, op3_partenum_jaccard, op4_license_scan, op5_sainte_lague_mix, op6_kneser_ney_quality, op7_toxicity_chain, op8_exact_dedup, op9_byte_bpe, op10_stupid_backoff):
+for _fn in (op1_wavelet_token_ids, op2_merkle_fingerprints, op3_partenum_jaccard, op4_license_scan, op5_sainte_lague_mix, op6_kneser_ney_quality, op7_toxicity_chain, op8_exact_dedup, op9_byte_bpe, op10_stupid_backoff, op11_piece_counts):
     QUERIES[_fn.__name__] = _fn

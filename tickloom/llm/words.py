@@ -104,13 +104,13 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, owner
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``SLICE_BYTES`` of text (one text at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text (one text at least) and at most ``rows`` rows."""
     for batch in batches:
         lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         a = 0
         while a < batch.num_rows:
             before = lengths[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(lengths, before + SLICE_BYTES)))
+            b = min(a + rows, max(a + 1, int(np.searchsorted(lengths, before + size))))
             yield batch.slice(a, b - a)
             a = b
