@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import backoff, byte_bpe, exact_dedup, kneser_ney, licenses, merkle, mixing, partenum, piece_counts, toxicity, wavelet
+from tickloom.llm import backoff, byte_bpe, exact_dedup, kneser_ney, licenses, max_sketch, merkle, mixing, partenum, piece_counts, toxicity, wavelet, whitening
 from tickloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,17 @@ def op11_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+SQL["op12_max_sketch_search"] = max_sketch.RANKED_SQL
+
+
+def op13_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 SQL["op8_exact_dedup"] = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -73,5 +84,5 @@ g AS (
   FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g"""
 
-for _fn in (op1_wavelet_token_ids, op2_merkle_fingerprints, op3_partenum_jaccard, op4_license_scan, op5_sainte_lague_mix, op6_kneser_ney_quality, op7_toxicity_chain, op8_exact_dedup, op9_byte_bpe, op10_stupid_backoff, op11_piece_counts):
+for _fn in (op1_wavelet_token_ids, op2_merkle_fingerprints, op3_partenum_jaccard, op4_license_scan, op5_sainte_lague_mix, op6_kneser_ney_quality, op7_toxicity_chain, op8_exact_dedup, op9_byte_bpe, op10_stupid_backoff, op11_piece_counts, op12_max_sketch_search, op13_jacobi_davidson_whitening):
     QUERIES[_fn.__name__] = _fn
