@@ -1,8 +1,12 @@
 """Token counts of documents from the pieces of each distinct pre-token.
 
-Texts are cut as the tokenizer cuts them, the pieces of a distinct pre-token are
-counted once, and the counts joined to the frequencies of pre-tokens in documents
-and summed.  No ids are made for a document.
+Texts are cut as the tokenizer cuts them, and the frequencies of pre-tokens in
+documents go to a bucket of the pre-token.  There the pieces of each distinct
+pre-token are counted once, joined to its frequencies, and summed by document.
+No ids are made for a document.
+
+Buckets are of one era, the slices of ``ERA_TASKS`` tasks, so that the commonest
+pre-token is split, and a document has at most ``ERA_TASKS`` sums to add.
 """
 
 from __future__ import annotations
@@ -15,13 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import texts
-from tickloom.llm.postings import Split, postings, with_words, words_of
+from tickloom.llm.postings import by_word
+from tickloom.llm.words import slices
 
 LIMIT = 2048
+SLICE_TEXT = 24 << 20
+SLICE_DOCS = 1 << 16
+ERA_TASKS = 32
 # Stretches of text that are handed to the library at once.
 TOGETHER = 1000
 # Pre-tokens of these patterns never hold ASCII white space, and no match looks beyond it.
@@ -128,16 +137,52 @@ def cut_at_space(spec: dict) -> bool:
     )
 
 
-def piece_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``words`` (word, eras) with ``pieces``, each distinct pre-token read once by the tokenizer."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = PreTokens.load(tokenizer_path)
-        for batch in batches:
-            counts = [tokens.pieces(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "eras": batch.column("eras"), "pieces": pa.array(counts, pa.int64())})
-
-    return words.select("word", "eras").mapInArrow(run, "word string, eras array<int>, pieces long")
+def _frequencies(batches: Iterator[pa.RecordBatch], tokens: PreTokens) -> Iterator[pa.RecordBatch]:
+    """Rows (word, tf, places of documents as 16-bit numbers) of each slice, and a row without word for each document."""
+    part, seq = TaskContext.get().partitionId(), 0
+    for batch in slices(batches, size=SLICE_TEXT, rows=SLICE_DOCS):
+        distinct, words, owners, sizes = tokens.split(batch.column("text"))
+        word, tf, ends, listed = by_word(words, owners, batch.num_rows)
+        n, bytes_ = len(word), pa.py_buffer(listed.astype("<u2").tobytes())
+        docs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * ends).astype("<i4").tobytes()), bytes_])
+        yield _rows(n, part, seq, word=distinct.take(pa.array(word)), tf=pa.array(tf, pa.int32()), docs=docs)
+        places = np.arange(batch.num_rows, dtype="<u2").tobytes()
+        own = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * np.arange(batch.num_rows + 1)).astype("<i4").tobytes()), pa.py_buffer(places)])
+        yield _rows(batch.num_rows, part, seq, docs=own, doc_id=batch.column("doc_id"), size=pa.array(sizes, pa.int64()))
+        seq += 1
+
+
+def _rows(n: int, part: int, seq: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"word": pa.string(), "tf": pa.int32(), "docs": pa.binary(), "doc_id": pa.int64(), "size": pa.int64()}
+    placed = {"slice": pa.array(np.full(n, part << 32 | seq)), "era": pa.array(np.full(n, part // ERA_TASKS, np.int32))}
+    return pa.RecordBatch.from_pydict(placed | {c: columns.get(c, pa.nulls(n, k)) for c, k in kinds.items()})
+
+
+def _summed(group: pa.Table, tokens: PreTokens) -> pa.Table:
+    """Pieces of the documents of a group, from its words: (slice, place, n), and what it holds of the documents themselves."""
+    is_doc = pc.is_null(group.column("word"))
+    own, rows = group.filter(is_doc), group.filter(pc.invert(is_doc)).combine_chunks()
+    parts = []
+    if rows.num_rows:
+        words = rows.column("word").combine_chunks().dictionary_encode()
+        # Each distinct pre-token once.
+        pieces = np.array([tokens.pieces(w) for w in words.dictionary.to_pylist()], dtype=np.int64)
+        n = pieces[words.indices.to_numpy()] * rows.column("tf").to_numpy()
+        lists = rows.column("docs").combine_chunks()
+        sizes = pc.binary_length(lists).to_numpy() // 2
+        offsets = np.frombuffer(lists.buffers()[1], dtype="<i4")[lists.offset : lists.offset + len(lists) + 1]
+        places = np.frombuffer(lists.buffers()[2], dtype="<u2")[offsets[0] // 2 : offsets[-1] // 2].astype(np.int64)
+        names, code = np.unique(rows.column("slice").to_numpy(), return_inverse=True)
+        at = np.repeat(code << 16, sizes) + places
+        # Whole numbers below 2^53 stay exact as weights.
+        total = np.bincount(at, weights=np.repeat(n, sizes), minlength=len(names) << 16)
+        held = np.flatnonzero(total)
+        parts.append(pa.table({"slice": names[held >> 16], "place": (held & 0xFFFF).astype(np.int32), "n": total[held].astype(np.int64),
+                               "doc_id": pa.nulls(len(held), pa.int64()), "size": pa.nulls(len(held), pa.int64())}))
+    if own.num_rows:
+        places = np.frombuffer(b"".join(own.column("docs").to_pylist()), dtype="<u2").astype(np.int32)
+        parts.append(pa.table({"slice": own.column("slice"), "place": places, "n": np.zeros(own.num_rows, np.int64), "doc_id": own.column("doc_id"), "size": own.column("size")}))
+    return pa.concat_tables(parts)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
@@ -149,22 +194,22 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
     cutting at white space, a text is read whole.  Null text is empty text: no
     tokens.  Texts of any length are read whole.  Rows that repeat each get their
     row; a null doc_id stays null; an empty table gives an empty result; columns
-    other than doc_id and text are not read.
+    other than doc_id and text are not read.  A document is known by its place in
+    its task, so ``docs`` must come in the same order if a task runs again, as
+    from files.
     """
     if not tokenizer_path.endswith(".json"):
         raise ValueError(f"{tokenizer_path} is no file of the tokenizers library")
 
-    def split() -> Split:
-        return PreTokens.load(tokenizer_path).split
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _frequencies(batches, PreTokens.load(tokenizer_path))
 
-    held = postings(docs, split, "frequencies")
-    priced = with_words(held, piece_table(words_of(held), tokenizer_path), "pieces")
-    none = F.lit(None).cast("long")
-    parts = priced.select("slice", "docs", (F.col("tf") * F.col("pieces")).alias("n"), none.alias("doc_id"), none.alias("size")).unionByName(
-        held.where("word IS NULL").select("slice", "docs", F.lit(0).cast("long").alias("n"), "doc_id", "size")
-    )
-    # A slice's rows come together as lists and are written out by document there.
-    rows = parts.repartition("slice").select("slice", F.explode("docs").alias("place"), "n", "doc_id", "size")
-    return rows.groupBy("slice", "place").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("n_bytes"), F.sum("n").alias("n_tokens")).select(
+    def summed(group: pa.Table) -> pa.Table:
+        return _summed(group, PreTokens.load(tokenizer_path))
+
+    held = texts(docs).mapInArrow(cut, "slice long, era int, word string, tf int, docs binary, doc_id long, size long")
+    bucket = F.pmod(F.xxhash64(F.coalesce("word", F.col("slice").cast("string"))), F.lit(ERA_TASKS)).cast("int")
+    parts = held.withColumn("bucket", bucket).groupBy("era", "bucket").applyInArrow(summed, "slice long, place int, n long, doc_id long, size long")
+    return parts.groupBy("slice", "place").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("n_bytes"), F.sum("n").alias("n_tokens")).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
