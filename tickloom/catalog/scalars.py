@@ -18,7 +18,7 @@ def _(spark, sf_dir):
         F.col("ts").alias("DateTime"), F.col("symbol").alias("Instrument"), F.col("seq").alias("ID"),
         F.col("price").alias("reading"), F.col("volume").alias("Qty"),
     )
-    return files.resolve_columns(odd).select(
+    return files.resolve_columns(odd, infer=True).select(
         F.col("timestamp").alias("ts"), "symbol", "order_id", "price", "volume"
     )
 
@@ -350,8 +350,13 @@ def _(spark, sf_dir):
 
 @query(
     "signature_dedup",
-    """SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type, round(value, 0) ORDER BY ts, event_id) AS since FROM events)
-    WHERE since IS NULL OR since > INTERVAL 1 HOUR""",
+    """WITH RECURSIVE n AS (
+      SELECT user_id, event_type, w, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type, w ORDER BY ts, event_id) AS i FROM (SELECT *, round(value, 0) AS w FROM events)),
+    k AS (
+      SELECT user_id, event_type, w, i, event_id, ts AS kept, TRUE AS keep FROM n WHERE i = 1 UNION ALL
+      SELECT n.user_id, n.event_type, n.w, n.i, n.event_id, CASE WHEN n.ts - k.kept > INTERVAL 1 HOUR THEN n.ts ELSE k.kept END, n.ts - k.kept > INTERVAL 1 HOUR
+      FROM k JOIN n ON n.user_id = k.user_id AND n.event_type = k.event_type AND n.w = k.w AND n.i = k.i + 1)
+    SELECT event_id FROM k WHERE keep""",
 )
 def _(spark, sf_dir):
     src = table(spark, sf_dir, "events").withColumn("whole", F.round("value"))

@@ -8,14 +8,21 @@ from tickloom.catalog.sources import event_rows
 from tickloom.sources import files
 from tickloom.sources.standins import table, ticks
 from tickloom.streaming import carry as C
+from tickloom.streaming import counters as K
 from tickloom.streaming import enrich as N
 from tickloom.streaming import monitor as Q
+from tickloom.streaming import ordered as O
 
+# Values a day up to which the percentiles of a day are exact.
+_DAY_SKETCH = 4000
 
-def event_stream(spark, sf_dir):
-    """The events file as a stream, in the shape of ``ticks``."""
+
+def event_stream(spark, sf_dir, closing=None):
+    """The events file as a stream, in the shape of ``ticks``, with the rows of a folder ``closing`` if given."""
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if closing:
+        raw = raw.unionByName(spark.readStream.schema(schema).parquet(closing))
     k = F.get_json_object("props", "$.k").cast("double")
     return raw.select(
         F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
@@ -39,13 +46,24 @@ def _updates(spark, stream, keys):
     return C.latest(spark.read.parquet(out), keys)
 
 
+def _closed(spark, sf_dir, begin):
+    """Run ``begin(stream)`` over all events, then once more from its checkpoint with a row that closes them."""
+    end = _paths(spark, "end")[0]
+    events = table(spark, sf_dir, "events")
+    events.limit(0).write.parquet(end)
+    for last in (False, True):
+        if last:
+            O.closing(events, "ts", end)
+        O.start(spark, lambda: begin(event_stream(spark, sf_dir, end))).awaitTermination()
+
+
 def _kinds(events):
     return events.withColumn("kind", F.when(F.col("event_type").isin("purchase", "click"), "trade").otherwise("tick"))
 
 
 def _enriched(spark, sf_dir):
-    out, state, cp = _paths(spark, "out", "state", "cp")
-    C.run_with_carry(_kinds(event_stream(spark, sf_dir)), N.enrich_batch, out, state, cp).awaitTermination()
+    out, cp = _paths(spark, "out", "cp")
+    _closed(spark, sf_dir, lambda s: C.run_append(O.enriched(_kinds(s)), out, cp))
     return spark.read.parquet(out)
 
 
@@ -87,24 +105,27 @@ def _(spark, sf_dir):
 
 @query("st_route_by_type", "SELECT CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type ELSE 'unknown' END AS branch, count(*) AS n FROM events GROUP BY 1")
 def _(spark, sf_dir):
-    branches = N.route_by_type(event_stream(spark, sf_dir), ["view", "click", "purchase"])
-    out = None
-    for name, stream in branches.items():
-        got = _append(spark, stream).agg(F.lit(name).alias("branch"), F.count("*").alias("n"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    out, cp = _paths(spark, "out", "cp")
+    C.run_append(N.with_branch(event_stream(spark, sf_dir), ["view", "click", "purchase"]), out, cp, ["branch"]).awaitTermination()
+    return spark.read.parquet(out).groupBy("branch").agg(F.count("*").alias("n"))
 
 
 @query(
     "st_book_state",
-    f"""WITH {TICKS}, dl AS (SELECT symbol, seq, coalesce(side, 'bid') AS side, floor(price / 5) AS price, CASE WHEN volume < 30 THEN 0 ELSE volume END AS qty FROM ticks),
-    l AS (SELECT symbol, side, price, arg_max(qty, seq) AS qty FROM dl GROUP BY symbol, side, price) SELECT * FROM l WHERE qty > 0""",
+    f"""WITH {TICKS}, dl AS (SELECT symbol, ts, seq, coalesce(side, 'bid') AS side, floor(price / 5) AS price, CASE WHEN volume < 30 THEN 0 ELSE volume END AS qty FROM ticks),
+    l AS (SELECT symbol, side, price, arg_max(qty, (ts, seq)) AS qty FROM dl GROUP BY symbol, side, price) SELECT * FROM l WHERE qty > 0""",
 )
 def _(spark, sf_dir):
-    path = _paths(spark, "deltas")[0]
-    depth_deltas(spark, sf_dir).write.parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return _updates(spark, N.book_levels(stream), ["symbol", "side", "price"]).filter("qty > 0").drop("seq")
+    path, out, cp = _paths(spark, "deltas", "out", "cp")
+    deltas = depth_deltas(spark, sf_dir)
+    deltas.write.parquet(path)
+    for last in (False, True):
+        if last:
+            O.closing(deltas.withColumn("price", F.lit(0.0)), "ts", path)
+        stream = spark.readStream.schema(deltas.schema).parquet(path).fillna(0.0, ["price"])
+        O.start(spark, lambda: C.run_append(O.book_levels(stream), out, cp)).awaitTermination()  # noqa: B023
+    newest = F.max_by("qty", F.struct("ts", "seq")).alias("qty")
+    return spark.read.parquet(out).groupBy("symbol", "side", "price").agg(newest).filter("qty > 0")
 
 
 @query("st_dead_letter", "SELECT CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS sink, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1", digits=3)
@@ -143,10 +164,21 @@ def _(spark, sf_dir):
     return C.latest(spark.read.parquet(out), ["symbol"])
 
 
-@query("st_dedup", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS symbol, event_type, CAST(floor(value / 10) AS BIGINT) AS bucket FROM events")
+@query(
+    "st_dedup",
+    """WITH RECURSIVE n AS (
+      SELECT user_id, event_type, w, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type, w ORDER BY ts, event_id) AS i FROM (SELECT *, floor(value / 100) AS w FROM events)),
+    k AS (
+      SELECT user_id, event_type, w, i, event_id, ts AS kept, TRUE AS keep FROM n WHERE i = 1 UNION ALL
+      SELECT n.user_id, n.event_type, n.w, n.i, n.event_id, CASE WHEN n.ts - k.kept > INTERVAL 3 DAY THEN n.ts ELSE k.kept END, n.ts - k.kept > INTERVAL 3 DAY
+      FROM k JOIN n ON n.user_id = k.user_id AND n.event_type = k.event_type AND n.w = k.w AND n.i = k.i + 1)
+    SELECT event_id AS seq FROM k WHERE keep""",
+)
 def _(spark, sf_dir):
-    s = event_stream(spark, sf_dir).withColumn("bucket", F.floor(F.col("price") / 10))
-    return _append(spark, Q.dedup(s, ["symbol", "event_type", "bucket"], horizon="40 days")).select("symbol", "event_type", "bucket")
+    out, cp = _paths(spark, "out", "cp")
+    signature = ["symbol", "event_type", "bucket"]
+    _closed(spark, sf_dir, lambda s: C.run_append(Q.dedup(s.withColumn("bucket", F.floor(F.col("price") / 100)), signature, horizon="3 days"), out, cp))
+    return spark.read.parquet(out).select("seq")
 
 
 @query(
@@ -155,11 +187,15 @@ def _(spark, sf_dir):
     SELECT symbol, count(*) FILTER (fault IS NULL) AS passed, count(*) FILTER (fault = 'price') AS bad_price, count(*) FILTER (fault = 'quantity') AS bad_quantity FROM v GROUP BY symbol""",
 )
 def _(spark, sf_dir):
-    s = event_stream(spark, sf_dir).select(
-        F.concat(F.lit("u/"), "symbol").alias("symbol"), "ts", "seq", (F.col("price") - 10).alias("price"), (F.col("volume") - 5).alias("quantity")
-    )
     good, bad, cp = _paths(spark, "good", "bad", "cp")
-    C.run_split(Q.dedup(Q.validity(Q.normalised(s)), ["seq"]), "fault", good, bad, cp).awaitTermination()
+
+    def begin(events):
+        s = events.select(
+            F.concat(F.lit("u/"), "symbol").alias("symbol"), "ts", "seq", (F.col("price") - 10).alias("price"), (F.col("volume") - 5).alias("quantity")
+        )
+        return C.run_split(Q.dedup(Q.validity(Q.normalised(s)), ["seq"], order=["symbol"]), "fault", good, bad, cp)
+
+    _closed(spark, sf_dir, begin)
     both = spark.read.parquet(good).select("symbol", F.lit(None).cast("string").alias("fault")).unionByName(spark.read.parquet(bad).select("symbol", "fault"))
     return both.groupBy("symbol").agg(
         F.count_if(F.col("fault").isNull()).alias("passed"), F.count_if(F.col("fault") == "price").alias("bad_price"),
@@ -178,11 +214,70 @@ def _(spark, sf_dir):
     return _updates(spark, s, ["start", "end"])
 
 
-@query("st_latency", f"WITH {TICKS} SELECT time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(avg(price), 6) AS avg, round(max(price), 6) AS max FROM ticks GROUP BY 1")
+@query(
+    "st_counts",
+    f"""WITH {TICKS}, m AS (SELECT make_timestamp(CAST((epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS BIGINT)) AS mid FROM ticks),
+    w AS (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 AS mark FROM ticks, m WHERE ts < mid)
+    SELECT count(*) + count(*) FILTER (ts < mid AND event_type = 'error') + count(*) FILTER (ts >= mid AND event_type = 'view') + 1 AS input_rows,
+           count(*) FILTER (ts < mid AND event_type = 'error' AND epoch_us(ts) <= mark) AS late_rows,
+           count(*) FILTER (ts >= mid AND event_type = 'view') + count(*) FILTER (ts < mid AND event_type = 'error' AND epoch_us(ts) > mark) AS repeated,
+           count(*) FILTER (price < 5) AS dropped, count(*) FILTER (price >= 5) AS passed
+    FROM ticks, m, w""",
+)
 def _(spark, sf_dir):
-    """The sketch percentiles are checked in tests/test_streaming.py."""
-    out = _updates(spark, Q.latency_windows(event_stream(spark, sf_dir), "price", span="1 day"), ["start"])
-    return out.select("start", "n", "avg", "max")
+    """The first half of the events, then the rest with its views twice and errors of the first half again, counted on the way."""
+    t = ticks(spark, sf_dir).select("symbol", "ts", "seq", "event_type", "price")
+    mid = t.agg(F.timestamp_micros(F.floor((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2)).alias("m")).first()["m"]
+    late, view = (F.col("ts") < F.lit(mid)) & (F.col("event_type") == "error"), (F.col("ts") >= F.lit(mid)) & (F.col("event_type") == "view")
+    src, out, cp = _paths(spark, "src", "out", "cp")
+
+    def begin():
+        stream = K.seen(spark.readStream.schema(t.schema).parquet(src), "read")
+        once = K.seen(Q.dedup(stream, ["seq"], horizon="60 days", order=["symbol"], lateness="1 hour"), "kept", dropped=F.col("price") < 5)
+        return C.run_append(once.filter("price >= 5"), out, cp)
+
+    with K.Counts(spark) as counts:
+        for part in (t.filter(F.col("ts") < F.lit(mid)), t.filter(F.col("ts") >= F.lit(mid)).unionByName(t.filter(late)).unionByName(t.filter(view)), None):
+            if part is None:
+                O.closing(t, "ts", src)
+            else:
+                part.write.mode("append").parquet(src)
+            counts.finished(O.start(spark, begin))
+        told = counts.table()
+    sums = told.agg(
+        F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"),
+        *[F.sum(F.coalesce(F.col("counts")[n], F.lit(0))).alias(n.replace(".", "_")) for n in ("kept.rows", "kept.dropped")],
+    )
+    # All rows but the closing one are late, kept or repeated.
+    repeated = F.col("input_rows") - 1 - F.col("late_rows") - F.col("kept_rows")
+    return sums.select("input_rows", "late_rows", repeated.alias("repeated"), F.col("kept_dropped").alias("dropped"), (F.col("kept_rows") - F.col("kept_dropped")).alias("passed"))
+
+
+@query(
+    "st_latency",
+    f"""WITH {TICKS} SELECT time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(avg(price), 6) AS avg, round(max(price), 6) AS max,
+    round(quantile_disc(price, 0.5), 6) AS p50, round(quantile_disc(price, 0.95), 6) AS p95, round(quantile_disc(price, 0.99), 6) AS p99 FROM ticks GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """Percentiles from a sketch for each day, which is exact as long as it holds all values of the day."""
+    windows = Q.latency_windows(event_stream(spark, sf_dir), "price", span="1 day", k=_DAY_SKETCH)
+    return Q.with_percentiles(_updates(spark, windows, ["start"])).drop("sketch")
+
+
+@query(
+    "st_latency_merged",
+    f"WITH {TICKS} SELECT count(*) AS n, round(avg(price), 6) AS avg, round(max(price), 6) AS max, TRUE AS p50_near, TRUE AS p95_near, TRUE AS p99_near FROM ticks",
+)
+def _(spark, sf_dir):
+    """Latency of the whole feed from the sketches of its days, and whether the percentiles' ranks are inside the stated bound."""
+    windows = _updates(spark, Q.latency_windows(event_stream(spark, sf_dir), "price", span="1 day"), ["start"])
+    merged = Q.with_percentiles(Q.merged_latency(windows)).drop("sketch")
+    ranks = ticks(spark, sf_dir).select("price").crossJoin(F.broadcast(merged.select(*Q.PERCENTILES))).agg(
+        *[F.avg((F.col("price") <= F.col(n)).cast("int")).alias(f"_{n}") for n in Q.PERCENTILES]
+    )
+    # Merging adds a little to the bound of one sketch.
+    near = [(F.abs(F.col(f"_{n}") - F.lit(p)) <= 2 * Q.rank_bound()).alias(f"{n}_near") for n, p in Q.PERCENTILES.items()]
+    return merged.crossJoin(ranks).select("n", "avg", "max", *near)
 
 
 @query(
@@ -262,8 +357,10 @@ def _(spark, sf_dir):
     + rounded('symbol start "end" trades', "open high low close volume", f"""(SELECT symbol, min(ts) AS start, max(ts) + INTERVAL '2 hours' AS "end", {_BAR} FROM s GROUP BY symbol, sid)"""),
 )
 def _(spark, sf_dir):
-    """Session windows; the append sink emits a session once the watermark has passed it, so a batch frame is used for the rest."""
-    return Q.event_bars(ticks(spark, sf_dir), "6 hours", session_gap="2 hours")
+    """Session windows of a stream: a session comes out once the watermark has passed it, the last ones after a closing row."""
+    out, cp = _paths(spark, "out", "cp")
+    _closed(spark, sf_dir, lambda s: C.run_append(Q.event_bars(s, "6 hours", session_gap="2 hours"), out, cp))
+    return spark.read.parquet(out)
 
 
 @query("handlers", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase') GROUP BY event_type")

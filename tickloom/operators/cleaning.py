@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.plans.series import broadcast_if_small, quantiles, running, windowed
+from tickloom.plans.thinning import thinned
 
 def keep_last(df: DataFrame, keys: Sequence[str] = ("symbol", "ts"), tie: Sequence[str] = ("seq",)) -> DataFrame:
     """One row per key, the last in ``tie`` order.
@@ -20,15 +21,14 @@ def keep_last(df: DataFrame, keys: Sequence[str] = ("symbol", "ts"), tie: Sequen
 
 
 def signature_dedup(
-    df: DataFrame, signature: Sequence[str], horizon_seconds: int, order: Sequence[str] = ("ts", "seq"), ts: str = "ts"
+    df: DataFrame, signature: Sequence[str], horizon_seconds: float, order: Sequence[str] = ("ts", "seq"), ts: str = "ts",
+    rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Drop a row if the same signature was seen at most ``horizon_seconds`` earlier."""
-    def add(d: DataFrame, w) -> DataFrame:
-        now = F.unix_micros(F.col(ts).cast("timestamp"))
-        return d.withColumn("_since", now - F.lag(now).over(w))
+    """Drop a row if the last kept row of its signature is at most ``horizon_seconds`` earlier.
 
-    seen = windowed(df, add, keys=list(signature), order=list(order), back=1)
-    return seen.filter(F.col("_since").isNull() | (F.col("_since") > horizon_seconds * 1_000_000)).drop("_since")
+    ``order`` decides which of several rows of one time comes first.
+    """
+    return thinned(df, list(signature), horizon_seconds, order=list(order), ts=ts, rows_per_task=rows_per_task)
 
 
 def price_level(df: DataFrame, tick: float, price: str = "price", keys: Sequence[str] = ("symbol",)) -> DataFrame:

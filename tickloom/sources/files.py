@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +74,22 @@ def csv_scan(spark: SparkSession, path: str | Sequence[str], columns: Sequence[s
     return raw.select(*[S.null_tokens(f"`{c}`").alias(c) for c in columns])
 
 
-def resolve_names(df: DataFrame, mapping: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Standard field -> column of ``df``: the given mapping, known aliases, then inference.
+def _read_by(df: DataFrame, column: Column) -> set[str]:
+    """Columns of ``df`` that an expression reads."""
+    found = df.select(column.alias("_c"))._jdf.queryExecution().analyzed().references().iterator()
+    names = set()
+    while found.hasNext():
+        names.add(found.next().name())
+    return names
 
-    A price column without a telling name is the first numeric one whose first
-    value is plausible; only that step reads data (one row).
+
+def resolve_names(df: DataFrame, mapping: Mapping[str, str] | None = None, infer: bool = False, taken: Collection[str] = ()) -> dict[str, str]:
+    """Standard field -> column of ``df``: the given mapping, known aliases, telling parts of names.
+
+    With ``infer`` a price that no name tells is the one numeric column that holds
+    plausible prices; if several do, that is an error, as a guess could take an
+    account number.  Only this step reads data.  Columns ``taken`` for something
+    else are left out.
     """
     found = {field: col for field, col in (mapping or {}).items() if col in df.columns}
     by_lower = {}
@@ -92,18 +103,19 @@ def resolve_names(df: DataFrame, mapping: Mapping[str, str] | None = None) -> di
                 found[field] = by_lower[n]
                 break
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    free = [c for c in numeric if c not in found.values()]
+    free = [c for c in numeric if c not in found.values() and c not in taken]
     if "price" not in found:
         named = [c for c in free if any(w in c.lower() for w in PRICE_WORDS)]
         if named:
             found["price"] = named[0]
-        elif free:
-            # One pass over the data: the column with the most plausible values, the first of equals.
+        elif free and infer:
+            # One pass over the data for all columns.
             plausible = [F.count_if(F.col(c).between(*PLAUSIBLE_PRICE)).alias(c) for c in free]
             row = df.agg(*plausible).first()
-            best = max(free, key=lambda c: row[c])
-            if row[best]:
-                found["price"] = best
+            fit = [c for c in free if row[c]]
+            if len(fit) > 1:
+                raise ValueError(f"more than one column could be the price: {fit}; pass a mapping")
+            found |= {"price": c for c in fit}
     free = [c for c in free if c not in found.values()]
     if "volume" not in found:
         named = [c for c in free if any(w in c.lower() for w in VOLUME_WORDS)]
@@ -113,13 +125,14 @@ def resolve_names(df: DataFrame, mapping: Mapping[str, str] | None = None) -> di
 
 
 def resolve_columns(
-    df: DataFrame, mapping: Mapping[str, str] | None = None, row_index: Column | None = None
+    df: DataFrame, mapping: Mapping[str, str] | None = None, row_index: Column | None = None, infer: bool = False
 ) -> DataFrame:
     """Rename to the standard fields, coerce types, fill in defaults: one projection.
 
-    A missing time is start + ``row_index`` seconds, so it needs that column.
+    A missing time is start + ``row_index`` seconds, so it needs that column; what
+    it reads is no other field.  See ``resolve_names`` for ``infer``.
     """
-    found = resolve_names(df, mapping)
+    found = resolve_names(df, mapping, infer, () if row_index is None else _read_by(df, row_index))
     out = []
     if "timestamp" in found:
         c = F.col(f"`{found['timestamp']}`")

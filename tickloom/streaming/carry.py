@@ -63,11 +63,10 @@ def latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, "_v.*")
 
 
-def run_append(stream: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    return (
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
-    )
+def run_append(stream: DataFrame, out: str, checkpoint: str, by: Sequence[str] = (), **trigger) -> StreamingQuery:
+    """Append the rows to ``out``, a folder for each value of the columns ``by``."""
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.partitionBy(*by).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def run_split(stream: DataFrame, fault: str, good: str, bad: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -59,11 +59,17 @@ def route_by_type(events: DataFrame, kinds: Sequence[str], column: str = "event_
     return out
 
 
+def with_branch(events: DataFrame, kinds: Sequence[str], column: str = "event_type") -> DataFrame:
+    """Add ``branch``: the type if it is known, else ``unknown``; one stream and one write partitioned by it serve all branches."""
+    return events.withColumn("branch", F.when(F.col(column).isin(*kinds), F.col(column)).otherwise("unknown"))
+
+
 def book_levels(deltas: DataFrame) -> DataFrame:
     """Current quantity per (symbol, side, price) from depth changes; a streaming aggregate.
 
     State is keyed by price level, so one busy symbol spreads over its prices.
-    A quantity of 0 says the level is gone.
+    A quantity of 0 says the level is gone; its state stays, which bounds this to
+    a known set of prices.  ``ordered.book_levels`` lets empty levels go.
     """
     return deltas.groupBy("symbol", "side", "price").agg(F.max_by("qty", "seq").alias("qty"), F.max("seq").alias("seq"))
 

@@ -6,7 +6,7 @@ the latter.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,24 +14,29 @@ from pyspark.sql import functions as F
 from tickloom.functions.checks import all_of
 from tickloom.functions.scalars import symbol_code
 from tickloom.operators.cleaning import signature_dedup
+from tickloom.streaming.ordered import LATENESS, interval_micros, thinned
 
-LATENESS = "10 minutes"
 # Weights of the quality score, its grades, and the advice thresholds.
 SCORE_WEIGHTS = {"latency": 0.25, "error": 0.20, "validation": 0.20, "uptime": 0.20, "staleness": 0.15}
 GRADES = ((90, "EXCELLENT"), (80, "GOOD"), (70, "FAIR"))
 ALERT_LIMITS = {"drawdown": 0.10, "volatility": 0.30, "risk_events": 5}
 MUTE = "5 minutes"
+SKETCH_K = 800
+PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
-def dedup(events: DataFrame, signature: Sequence[str], ts: str = "ts", horizon: str = LATENESS) -> DataFrame:
-    """Drop a row if its signature was seen at most ``horizon`` earlier.
+def dedup(
+    events: DataFrame, signature: Sequence[str], ts: str = "ts", horizon: str = LATENESS, order: Sequence[str] = ("seq",), lateness: str = LATENESS
+) -> DataFrame:
+    """Drop a row if the last kept row of its signature is at most ``horizon`` earlier.
 
-    On a stream the horizon runs from the row that was kept, as its state holds no other.
+    A batch and a stream keep the same rows, as the stream takes them in the order
+    of time, then ``order``; rows later than ``lateness`` are dropped and counted.
+    Start a stream with ``ordered.start``.
     """
-    if not events.isStreaming:
-        seconds = events.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval '{horizon}') / 1000000")).first()[0]
-        return signature_dedup(events, signature, int(seconds), order=(ts,), ts=ts)
-    return events.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(list(signature))
+    if events.isStreaming:
+        return thinned(events, signature, horizon, order, ts, lateness)
+    return signature_dedup(events, signature, interval_micros(horizon) / 1_000_000, order=(ts, *order), ts=ts)
 
 
 def normalised(events: DataFrame) -> DataFrame:
@@ -60,13 +65,37 @@ def throughput(events: DataFrame, ts: str = "ts", span: str = "60 seconds", slid
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "messages", "failed", "avg_latency", (F.col("messages") / seconds).alias("per_second"))
 
 
-def latency_windows(events: DataFrame, latency: str, ts: str = "ts", span: str = "1 minute", lateness: str = LATENESS) -> DataFrame:
-    """Count, mean, maximum and approximate percentiles of latency per tumbling window (a sketch of bounded size)."""
-    probs = F.percentile_approx(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+def latency_windows(
+    events: DataFrame, latency: str, ts: str = "ts", span: str = "1 minute", lateness: str = LATENESS, k: int = SKETCH_K
+) -> DataFrame:
+    """Count, mean, maximum and a mergeable quantile sketch of latency per tumbling window; see ``with_percentiles``, ``merged_latency``."""
     out = events.withWatermark(ts, lateness).groupBy(F.window(ts, span).alias("w")).agg(
-        F.count("*").alias("n"), F.avg(latency).alias("avg"), F.max(latency).alias("max"), probs.alias("q")
+        F.count("*").alias("n"), F.avg(latency).alias("avg"), F.max(latency).alias("max"),
+        F.kll_sketch_agg_double(F.col(latency).cast("double"), F.lit(k)).alias("sketch"),
+    )
+    return out.select(F.col("w.start").alias("start"), "n", "avg", "max", "sketch")
+
+
+def rank_bound(k: int = SKETCH_K) -> float:
+    """Share of the values by which the rank of a sketch's quantile may be off, in 99 of 100 cases (published fit for one rank)."""
+    return 2.296 / k**0.9723
+
+
+def with_percentiles(windows: DataFrame, probs: Mapping[str, float] = PERCENTILES) -> DataFrame:
+    """Percentiles from the column ``sketch``: the least value whose share of values up to it reaches the probability.
+
+    Windows of at most ``k`` values are exact; larger ones are off by ``rank_bound`` of their rows at most.
+    """
+    found = {n: F.kll_sketch_get_quantile_double("sketch", F.lit(p)) for n, p in probs.items()}
+    return windows.withColumns(found)
+
+
+def merged_latency(windows: DataFrame, keys: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """Latency over several windows, from their counts, means and sketches alone."""
+    return windows.groupBy(*keys).agg(
+        (F.sum(F.col("avg") * F.col("n")) / F.sum("n")).alias("avg"), F.max("max").alias("max"), F.sum("n").alias("n"),
+        F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"),
     )
-    return out.select(F.col("w.start").alias("start"), "n", "avg", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50_approx", "p95_approx", "p99_approx"))])
 
 
 def last_updates(events: DataFrame, ts: str = "ts") -> DataFrame:
