@@ -17,11 +17,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import lower_ascii, table
-from tickloom.llm.postings import postings, with_words, words_of
+from tickloom.llm.postings import listed, postings, with_words, words_of
 from tickloom.llm.words import split_buffers
 
 TOP = 10
@@ -35,7 +36,10 @@ _TERM_BYTES = np.full(256, ord(" "), dtype=np.uint8)
 _TERM_BYTES[128:] = np.arange(128, 256)
 for _first, _last, _to in (("0", "9", "0"), ("a", "z", "a"), ("A", "Z", "a")):
     _TERM_BYTES[ord(_first) : ord(_last) + 1] = np.arange(ord(_last) - ord(_first) + 1) + ord(_to)
-INDEX = "slice long, doc_ids array<long>, terms array<string>, starts binary, codes binary, impacts binary, unit long, sketch binary"
+INDEX = "slice long, doc_ids array<long>, terms array<string>, weights binary, m binary, starts binary, codes binary, tf binary, sketch binary"
+# Impacts that the 8-bit levels of a sketch stand for: none, then each 7 % above the one before.  A weight is below
+# 1000 * ln(2^63) and an impact below a million weights, which the highest level is above.
+LEVELS = np.concatenate([[0], np.ceil(4096 * 1.07 ** np.arange(255))]).astype(np.int64)
 
 
 def split_terms(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,39 +64,43 @@ def _expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def _impact(weight: np.ndarray, tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return weight * ((1_000_000_000 * tf) // (1000 * tf + 8 * m))
+
+
 def _index_slice(group: pa.Table, n_docs: int, n_terms: int, width: int) -> pa.RecordBatch:
     """Impacts by document and sketches of one slice."""
     is_doc = pc.is_null(group.column("word"))
     own, rows = group.filter(is_doc), group.filter(pc.invert(is_doc))
-    place = pc.list_flatten(own.column("docs")).to_numpy()
+    _, place = listed(own.column("docs"))
     ids, sizes = np.empty(len(place), dtype=object), np.zeros(len(place), dtype=np.int64)
     ids[place], sizes[place] = own.column("doc_id").to_pylist(), own.column("size").to_numpy()
     m = 10 + (90 * sizes * n_docs) // max(1, n_terms)
     terms = rows.column("word").combine_chunks().dictionary_encode()
-    lists = rows.column("docs").combine_chunks()
-    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    doc = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, doc = listed(rows.column("docs"))
     weight, tf, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("weight", "tf", "at"))
-    impact = weight[row] * ((1_000_000_000 * tf[row]) // (1000 * tf[row] + 8 * m[doc]))
     order = np.argsort(doc, kind="stable")
-    doc, impact, row = doc[order], impact[order], row[order]
-    unit = max(1, -(-int(impact.max(initial=0)) // 65_535))
-    sketch = np.zeros(len(ids) * width, dtype=np.uint16)
-    # Rounded up, so that a bound stays one.
-    np.maximum.at(sketch, doc * width + at[row], -(-impact // unit).astype(np.uint16))
-    codes = terms.indices.to_numpy(zero_copy_only=False).astype("<i4")[row]
-    starts = np.searchsorted(doc, np.arange(len(ids) + 1)).astype("<i8")
-    shown = np.ascontiguousarray(sketch.reshape(-1, width).T)
+    doc, row = doc[order], row[order]
+    # Levels are rounded up, so that a bound stays one.
+    level = np.searchsorted(LEVELS, _impact(weight[row], tf[row], m[doc])).astype(np.uint8)
+    sketch = np.zeros(width * len(ids), dtype=np.uint8)
+    np.maximum.at(sketch, at[row] * len(ids) + doc, level)
+    codes = terms.indices.to_numpy(zero_copy_only=False)
+    weights = np.zeros(len(terms.dictionary), dtype=np.int64)
+    weights[codes] = weight
+    packed = {
+        "weights": weights, "m": m, "starts": np.searchsorted(doc, np.arange(len(ids) + 1)), "codes": codes.astype("<i4")[row],
+        "tf": tf.astype("<i4")[row], "sketch": sketch,
+    }
     return pa.RecordBatch.from_pydict({
         "slice": group.column("slice").slice(0, 1).combine_chunks(), "doc_ids": pa.array([ids.tolist()], pa.list_(pa.int64())),
-        "terms": pa.array([terms.dictionary.to_pylist()], pa.list_(pa.string())), "starts": pa.array([starts.tobytes()], pa.binary()),
-        "codes": pa.array([codes.tobytes()], pa.binary()), "impacts": pa.array([impact.astype("<i8").tobytes()], pa.binary()),
-        "unit": pa.array([unit], pa.int64()), "sketch": pa.array([pa.compress(shown.tobytes(), codec="zstd", asbytes=True)], pa.binary()),
+        "terms": pa.array([terms.dictionary.to_pylist()], pa.list_(pa.string())),
+        **{c: pa.array([zstandard.compress(np.ascontiguousarray(v).tobytes(), 1)], pa.binary()) for c, v in packed.items()},
     })
 
 
 def index(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row for a slice of documents (8 MB of text, 4,096 documents at most): impacts by document, and sketches.
+    """One row for a slice of documents (16 MB of text, 4,096 documents at most): frequencies by document, and sketches.
 
     Weights come from counts over all documents.  Null text has no terms; rows
     that repeat are documents of their own; a null doc_id stays null; an empty
@@ -131,16 +139,16 @@ def _best(scores: np.ndarray, ids: list[int | None], docs: np.ndarray, top: int)
 
 def _search_slice(row: dict, queries: list[Query], width: int, top: int, first: bool) -> Iterator[tuple[int, int | None, int, int]]:
     """(query, doc_id, score, documents scored exactly) of the slice's best documents of each query; ``first``: of the highest bounds only."""
-    ids, unit, terms = row["doc_ids"].values.to_pylist(), row["unit"].as_py(), row["terms"].values
+    ids, terms = row["doc_ids"].values.to_pylist(), row["terms"].values
     n = len(ids)
-    starts, codes, impacts = (np.frombuffer(row[c].as_buffer(), dtype=k) for c, k in (("starts", "<i8"), ("codes", "<i4"), ("impacts", "<i8")))
-    sketch = np.frombuffer(pa.decompress(row["sketch"].as_buffer(), 2 * n * width, codec="zstd"), dtype=np.uint16).reshape(width, n)
+    kinds = {"weights": "<i8", "m": "<i8", "starts": "<i8", "codes": "<i4", "tf": "<i4", "sketch": "u1"}
+    weights, m, starts, codes, tf, sketch = (np.frombuffer(zstandard.decompress(row[c].as_buffer()), dtype=k) for c, k in kinds.items())
+    sketch = sketch.reshape(width, n)
     asked = np.zeros(len(terms), dtype=bool)
     for query, words, places, least in queries:
         bound = np.zeros(n, dtype=np.int64)
         for at in places:
-            bound += sketch[at]
-        bound *= unit
+            bound += LEVELS[sketch[at]]
         order = np.flatnonzero(bound >= max(1, least))
         order = order[np.argsort(-bound[order], kind="stable")]
         if first:
@@ -156,7 +164,11 @@ def _search_slice(row: dict, queries: list[Query], width: int, top: int, first:
             some = order[done : done + step]
             sizes = starts[some + 1] - starts[some]
             entries = _expand(starts[some], sizes)
-            exact = np.add.reduceat(np.where(asked[codes[entries]], impacts[entries], 0), np.cumsum(sizes) - sizes)
+            owner = np.repeat(np.arange(len(some)), sizes)
+            hit = np.flatnonzero(asked[codes[entries]])
+            entries, owner = entries[hit], owner[hit]
+            exact = np.zeros(len(some), dtype=np.int64)
+            np.add.at(exact, owner, _impact(weights[codes[entries]], tf[entries].astype(np.int64), m[some[owner]]))
             docs, scores = np.concatenate([docs, some[exact > 0]]), np.concatenate([scores, exact[exact > 0]])
             best = _best(scores, ids, docs, top)
             docs, scores = docs[best], scores[best]
@@ -188,7 +200,7 @@ def search(index_: DataFrame, items: DataFrame, top: int = TOP, width: int = WID
     if size is None:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long, rescored long")
     blocks = int(size // block_text) + 1
-    index_ = table(index_, "index")
+    index_ = table(index_, "index", "uncompressed")
     numbered = asked.select("item_id", "terms", F.transform("terms", lambda t: coordinate(t, width)).alias("places"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
 

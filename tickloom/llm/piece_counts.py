@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import texts
-from tickloom.llm.postings import by_word
+from tickloom.llm.postings import by_word, listed, places
 from tickloom.llm.words import slices
 
 LIMIT = 2048
@@ -99,7 +99,8 @@ class PreTokens:
             return len(self.tokenizer.encode(key[1:], add_special_tokens=False).ids)
         return len(self.tokenizer.model.tokenize(key[1:]))
 
-    def split(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    def split(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys, key, document and frequency of each pair of a document and a key in one stretch, bytes of each document)."""
         column = column.fill_null("")
         sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
         lists = pc.ascii_split_whitespace(column) if self.spaced else pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1), pa.int32()), column)
@@ -112,10 +113,9 @@ class PreTokens:
         distinct = pa.array(keys, pa.string()).dictionary_encode()
         codes, first = distinct.indices.to_numpy(zero_copy_only=False), np.cumsum(sizes_of) - sizes_of
         chunk, owner = pairs // n, pairs % n
-        some = sizes_of[chunk] * times
-        within = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
-        words = codes[np.repeat(first[chunk], some) + within % np.repeat(np.maximum(1, sizes_of[chunk]), some)]
-        return distinct.dictionary, words, np.repeat(owner, some), sizes
+        some = sizes_of[chunk]
+        words = codes[np.repeat(first[chunk] - (np.cumsum(some) - some), some) + np.arange(int(some.sum()))]
+        return distinct.dictionary, words, np.repeat(owner, some), np.repeat(times, some), sizes
 
 
 def cut_at_space(spec: dict) -> bool:
@@ -141,13 +141,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch], tokens: PreTokens) -> Iterat
     """Rows (word, tf, places of documents as 16-bit numbers) of each slice, and a row without word for each document."""
     part, seq = TaskContext.get().partitionId(), 0
     for batch in slices(batches, size=SLICE_TEXT, rows=SLICE_DOCS):
-        distinct, words, owners, sizes = tokens.split(batch.column("text"))
-        word, tf, ends, listed = by_word(words, owners, batch.num_rows)
-        n, bytes_ = len(word), pa.py_buffer(listed.astype("<u2").tobytes())
-        docs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * ends).astype("<i4").tobytes()), bytes_])
-        yield _rows(n, part, seq, word=distinct.take(pa.array(word)), tf=pa.array(tf, pa.int32()), docs=docs)
-        places = np.arange(batch.num_rows, dtype="<u2").tobytes()
-        own = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * np.arange(batch.num_rows + 1)).astype("<i4").tobytes()), pa.py_buffer(places)])
+        distinct, words, owners, times, sizes = tokens.split(batch.column("text"))
+        word, tf, ends, found = by_word(words, owners, batch.num_rows, times)
+        yield _rows(len(word), part, seq, word=distinct.take(pa.array(word)), tf=pa.array(tf, pa.int32()), docs=places(ends, found))
+        own = places(np.arange(batch.num_rows + 1), np.arange(batch.num_rows))
         yield _rows(batch.num_rows, part, seq, docs=own, doc_id=batch.column("doc_id"), size=pa.array(sizes, pa.int64()))
         seq += 1
 
@@ -168,20 +165,15 @@ def _summed(group: pa.Table, tokens: PreTokens) -> pa.Table:
         # Each distinct pre-token once.
         pieces = np.array([tokens.pieces(w) for w in words.dictionary.to_pylist()], dtype=np.int64)
         n = pieces[words.indices.to_numpy()] * rows.column("tf").to_numpy()
-        lists = rows.column("docs").combine_chunks()
-        sizes = pc.binary_length(lists).to_numpy() // 2
-        offsets = np.frombuffer(lists.buffers()[1], dtype="<i4")[lists.offset : lists.offset + len(lists) + 1]
-        places = np.frombuffer(lists.buffers()[2], dtype="<u2")[offsets[0] // 2 : offsets[-1] // 2].astype(np.int64)
+        row, place = listed(rows.column("docs"))
         names, code = np.unique(rows.column("slice").to_numpy(), return_inverse=True)
-        at = np.repeat(code << 16, sizes) + places
         # Whole numbers below 2^53 stay exact as weights.
-        total = np.bincount(at, weights=np.repeat(n, sizes), minlength=len(names) << 16)
+        total = np.bincount((code << 16)[row] + place, weights=n[row], minlength=len(names) << 16)
         held = np.flatnonzero(total)
         parts.append(pa.table({"slice": names[held >> 16], "place": (held & 0xFFFF).astype(np.int32), "n": total[held].astype(np.int64),
                                "doc_id": pa.nulls(len(held), pa.int64()), "size": pa.nulls(len(held), pa.int64())}))
     if own.num_rows:
-        places = np.frombuffer(b"".join(own.column("docs").to_pylist()), dtype="<u2").astype(np.int32)
-        parts.append(pa.table({"slice": own.column("slice"), "place": places, "n": np.zeros(own.num_rows, np.int64), "doc_id": own.column("doc_id"), "size": own.column("size")}))
+        parts.append(pa.table({"slice": own.column("slice"), "place": listed(own.column("docs"))[1].astype(np.int32), "n": np.zeros(own.num_rows, np.int64), "doc_id": own.column("doc_id"), "size": own.column("size")}))
     return pa.concat_tables(parts)
 
 

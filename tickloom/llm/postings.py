@@ -1,8 +1,9 @@
 """Frequencies of words in documents, held by word: one row for a slice of documents, a word and a frequency.
 
 A slice is some megabytes of text of one task.  Its row for a word lists the
-slice's documents that hold the word so many times, so a frequency costs four
-bytes and a common word one row, not one row for each document.
+slice's documents that hold the word so many times, as 16-bit places in the
+slice, so a frequency costs two bytes and a common word one row, not one row for
+each document.
 """
 
 from __future__ import annotations
@@ -18,18 +19,26 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import table, texts
 from tickloom.llm.words import slices
 
-SLICE_TEXT = 8 << 20
+SLICE_TEXT = 16 << 20
 SLICE_DOCS = 4096
 # Tasks whose slices share one copy of a word's row in a join.
 ERA_TASKS = 64
-SCHEMA = "slice long, era int, word string, tf int, docs array<int>, doc_id long, size long"
+SCHEMA = "slice long, era int, word string, tf int, docs binary, doc_id long, size long"
 # (distinct words, word of each occurrence, document of each occurrence, a size of each document)
 Split = Callable[[pa.Array], tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def by_word(words: np.ndarray, owners: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, frequency, first entry) of each row and the end, and the documents they list."""
-    pairs, tf = np.unique(words.astype(np.int64) * max(1, n_docs) + owners, return_counts=True)
+def by_word(words: np.ndarray, owners: np.ndarray, n_docs: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, frequency, first entry) of each row and the end, and the documents they list; an entry counts once, or ``times``."""
+    pairs = words.astype(np.int64) * max(1, n_docs) + owners
+    if times is None:
+        pairs, tf = np.unique(pairs, return_counts=True)
+    else:
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+        tf = np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
+        pairs = pairs[first]
     word, doc = pairs // max(1, n_docs), pairs % max(1, n_docs)
     order = np.lexsort((tf, word))  # stable: documents stay ascending
     word, doc, tf = word[order], doc[order], tf[order]
@@ -37,6 +46,23 @@ def by_word(words: np.ndarray, owners: np.ndarray, n_docs: int) -> tuple[np.ndar
     return word[first], tf[first], np.append(first, len(word)), doc.astype(np.int32)
 
 
+def places(ends: np.ndarray, listed: np.ndarray) -> pa.Array:
+    """Lists of 16-bit places, one from each entry of ``ends`` to the next."""
+    packed = pa.py_buffer(listed.astype("<u2").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((2 * ends).astype("<i4").tobytes()), packed])
+
+
+def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(list of each place, place) of ``places``."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    offsets = np.frombuffer(column.buffers()[1], dtype="<i4")[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], dtype="<u2")[offsets[0] // 2 : offsets[-1] // 2].astype(np.int64)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // 2), flat
+
+
 def postings(docs: DataFrame, split: Callable[[], Split], name: str) -> DataFrame:
     """Written table of the frequencies of all documents.
 
@@ -51,12 +77,11 @@ def postings(docs: DataFrame, split: Callable[[], Split], name: str) -> DataFram
         for batch in slices(batches, size=SLICE_TEXT, rows=SLICE_DOCS):
             n = batch.num_rows
             distinct, words, owners, sizes = cut(batch.column("text"))
-            word, tf, ends, listed = by_word(words, owners, n)
+            word, tf, ends, found = by_word(words, owners, n)
             for rows, columns in (
                 (len(word), {"word": distinct.take(pa.array(word)), "tf": pa.array(tf, pa.int32()),
-                             "docs": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(listed))}),
-                (n, {"docs": pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(np.arange(n), pa.int32())),
-                     "doc_id": batch.column("doc_id"), "size": pa.array(sizes, pa.int64())}),
+                             "docs": places(ends, found)}),
+                (n, {"docs": places(np.arange(n + 1), np.arange(n)), "doc_id": batch.column("doc_id"), "size": pa.array(sizes, pa.int64())}),
             ):
                 kinds = {"word": pa.string(), "tf": pa.int32(), "doc_id": pa.int64(), "size": pa.int64()}
                 full = {c: columns.get(c, pa.nulls(rows, k)) for c, k in kinds.items()} | {"docs": columns["docs"]}
@@ -64,12 +89,12 @@ def postings(docs: DataFrame, split: Callable[[], Split], name: str) -> DataFram
                 yield pa.RecordBatch.from_pydict({c: full[c] for c in ("slice", "era", "word", "tf", "docs", "doc_id", "size")})
             seq += 1
 
-    return table(texts(docs).mapInArrow(run, SCHEMA), name)
+    return table(texts(docs).mapInArrow(run, SCHEMA), name, "zstd")
 
 
 def words_of(held: DataFrame) -> DataFrame:
     """(word, df, eras): distinct words, how many documents hold each, and where a join needs a copy of it."""
-    return held.where("word IS NOT NULL").groupBy("word").agg(F.sum(F.size("docs")).alias("df"), F.collect_set("era").alias("eras"))
+    return held.where("word IS NOT NULL").groupBy("word").agg(F.sum(F.octet_length("docs") / 2).cast("long").alias("df"), F.collect_set("era").alias("eras"))
 
 
 def with_words(held: DataFrame, words: DataFrame, *columns: str) -> DataFrame:
