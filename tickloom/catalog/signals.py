@@ -65,11 +65,7 @@ def _(spark, sf_dir):
 
 
 def all_signals(spark, sf_dir):
-    t = ticks(spark, sf_dir)
-    out = G.order_flow(t)
-    for more in (G.momentum(t), G.mean_reversion(t), G.microstructure(t), G.technical(t)):
-        out = out.unionByName(more, allowMissingColumns=True)
-    return out.select("symbol", "ts", "seq", "kind", "strength", "confidence")
+    return G.all_kinds(ticks(spark, sf_dir)).select("symbol", "ts", "seq", "kind", "strength", "confidence")
 
 
 _ALL = f"""{BASE}, {_MOM}, {_REV}, {_FLOW}, {_MICRO}, {_TECH}, sg AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3 UNION ALL SELECT * FROM m4 UNION ALL SELECT * FROM m5)"""
@@ -89,6 +85,17 @@ def _(spark, sf_dir):
     return G.combine(all_signals(spark, sf_dir), seconds=36_000, decay=0.99995, cell_seconds=86_400)
 
 
+@query(
+    "sig_performance",
+    f"""WITH {_ALL} SELECT kind, count(*) AS signals, round(avg(strength), 6) AS mean_strength, round(avg(abs(strength)), 6) AS mean_size, round(avg(confidence), 6) AS mean_confidence,
+      round(avg(CAST(abs(strength) > 0.1 AND confidence > 0.1 AS INT)), 6) AS acted_share FROM sg GROUP BY kind""",
+)
+def _(spark, sf_dir):
+    """A signal counts as acted on if it is strong and sure enough to enter the combined signal."""
+    acted = (F.abs("strength") > G.KEEP_ABOVE) & (F.col("confidence") > G.KEEP_ABOVE)
+    return G.performance(all_signals(spark, sf_dir), acted)
+
+
 @query(
     "sig_combine_methods",
     f"""WITH {_ALL} SELECT symbol, round(sum(strength * confidence) / sum(confidence), 6) AS weighted, round(median(strength), 6) AS median, round(arg_max(strength, (abs(strength), strength)), 6) AS strongest FROM sg GROUP BY symbol""",

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import clip, ratio, round_to_tick
-from tickloom.operators.features import Feature, compute, full, trailing
+from tickloom.operators.features import full, trailing
 from tickloom.plans.pairs import centred_moments, deviations, pair_stats
-from tickloom.plans.series import broadcast_if_small, time_windowed, windowed
+from tickloom.plans.series import broadcast_if_small, time_cells, windowed
+from tickloom.plans.sweep import by_groups, live_sums
 
 # Weights of the signal kinds in the combined signal.
 KIND_WEIGHTS = {"momentum": 0.25, "mean_reversion": 0.20, "order_flow": 0.30, "microstructure": 0.15, "technical": 0.10}
@@ -21,16 +27,30 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
-def _signal(df: DataFrame, kind: str, keep: Column, strength: Column, confidence: Column, horizon_ms: int, extra: Sequence[str] = ()) -> DataFrame:
-    return df.filter(F.coalesce(keep, F.lit(False))).select(
-        "symbol", "ts", "seq", F.lit(kind).alias("kind"), strength.alias("strength"), confidence.alias("confidence"),
-        F.lit(horizon_ms).alias("horizon_ms"), *extra,
-    )
+@dataclass(frozen=True)
+class Kind:
+    """One kind of signal: columns added over the window of a symbol, and what makes a row a signal."""
 
+    name: str
+    add: Callable[[DataFrame, WindowSpec], DataFrame]
+    keep: Column
+    strength: Column
+    confidence: Column
+    horizon_ms: int
+    back: int = 0
+    extra: tuple[str, ...] = ()
+
+
+def _of_kind(df: DataFrame, kind: Kind, **series) -> DataFrame:
+    """Rows that are a signal of the kind: symbol, ts, seq, kind, strength, confidence, horizon_ms and the kind's extra columns."""
+    d = windowed(df, kind.add, back=kind.back, **series) if kind.back else kind.add(df, None)
+    return d.filter(F.coalesce(kind.keep, F.lit(False))).select(
+        "symbol", "ts", "seq", F.lit(kind.name).alias("kind"), kind.strength.alias("strength"), kind.confidence.alias("confidence"),
+        F.lit(kind.horizon_ms).alias("horizon_ms"), *kind.extra,
+    )
 
-def momentum(df: DataFrame, n: int = 10, **series) -> DataFrame:
-    """0.7 short + 0.3 long momentum; confidence is the share of price steps of the same sign."""
 
+def _momentum(n: int) -> Kind:
     def add(d: DataFrame, w: WindowSpec) -> DataFrame:
         d = d.withColumns(
             {
@@ -40,100 +60,152 @@ def momentum(df: DataFrame, n: int = 10, **series) -> DataFrame:
                 "_seen": F.count("*").over(trailing(w, n)),
             }
         )
-        return d.withColumns(
-            {f"_n{s}": F.count_if(c("_step") == s).over(trailing(w, n - 1)) for s in (1,)}
-            | {"_n_down": F.count_if(c("_step") == -1).over(trailing(w, n - 1))}
-        )
+        steps = trailing(w, n - 1)
+        return d.withColumns({"_up": F.count_if(c("_step") == 1).over(steps), "_down": F.count_if(c("_step") == -1).over(steps)})
 
-    d = windowed(df, add, back=n + 1, **series)
     m = c("short") * 0.7 + c("long") * 0.3
-    same = F.when(m > 0, c("_n1")).otherwise(c("_n_down")) / (n - 1)
-    return _signal(d, "momentum", (c("_seen") >= n) & (F.abs(m) > 0.001), clip(m * 10, -1.0, 1.0), same, n * 100, ("short", "long"))
+    same = F.when(m > 0, c("_up")).otherwise(c("_down")) / (n - 1)
+    return Kind("momentum", add, (c("_seen") >= n) & (F.abs(m) > 0.001), clip(m * 10, -1.0, 1.0), same, n * 100, n + 1, ("short", "long"))
 
 
-def mean_reversion(df: DataFrame, n: int = 20, **series) -> DataFrame:
-    out = compute(
-        df,
-        [Feature("_mean", lambda w: full(F.avg, "price", n, w), back=n), Feature("_sd", lambda w: full(F.stddev_pop, "price", n, w), back=n)],
-        **series,
-    )
+def _mean_reversion(n: int) -> Kind:
+    def add(d: DataFrame, w: WindowSpec) -> DataFrame:
+        return d.withColumns({"_mean": full(F.avg, "price", n, w), "_sd": full(F.stddev_pop, "price", n, w)})
+
     m = ratio(c("_mean") - c("price"), "_mean")
     confidence = F.least(F.lit(1.0), ratio("_sd", "_mean") * 20)
-    return _signal(out, "mean_reversion", F.abs(m) > 0.005, clip(m * 5, -1.0, 1.0), confidence, n * 50)
+    return Kind("mean_reversion", add, F.abs(m) > 0.005, clip(m * 5, -1.0, 1.0), confidence, n * 50, n)
 
 
-def order_flow(quotes: DataFrame) -> DataFrame:
+def _order_flow() -> Kind:
     total = c("bid_volume") + c("ask_volume")
     imbalance = ratio(c("bid_volume") - c("ask_volume"), total)
-    return _signal(quotes, "order_flow", F.abs(imbalance) > 0.2, imbalance * 0.8, F.least(F.lit(1.0), total / 10000), 1000)
-
+    return Kind("order_flow", lambda d, w: d, F.abs(imbalance) > 0.2, imbalance * 0.8, F.least(F.lit(1.0), total / 10000), 1000)
 
-def microstructure(quotes: DataFrame, n: int = 10, **series) -> DataFrame:
-    """Relative spread against its mean over the last ``n`` quotes."""
-    pct = ratio(c("ask") - c("bid"), (c("ask") + c("bid")) / 2)
-    # The mean needs n snapshots; the current one is among them.
-    out = compute(quotes.withColumn("spread_pct", pct), [Feature("_mean", lambda w: full(F.avg, "spread_pct", n, w), back=n)], **series)
-    dev = ratio(c("spread_pct") - c("_mean"), "_mean")
-    return _signal(out, "microstructure", F.abs(dev) > 0.3, clip(dev * -0.5, -1.0, 1.0), F.least(F.lit(1.0), F.abs(dev)), 2000, ("spread_pct",))
 
+def _microstructure(n: int) -> Kind:
+    def add(d: DataFrame, w: WindowSpec) -> DataFrame:
+        # The mean needs n snapshots; the current one is among them.
+        d = d.withColumn("spread_pct", ratio(c("ask") - c("bid"), (c("ask") + c("bid")) / 2))
+        return d.withColumn("_spread_mean", full(F.avg, "spread_pct", n, w))
 
-def technical(df: DataFrame, least: int = 50, **series) -> DataFrame:
-    out = compute(
-        df,
-        [
-            Feature("_s", lambda w: F.avg("price").over(trailing(w, 10)), back=10),
-            Feature("_l", lambda w: F.avg("price").over(trailing(w, 20)), back=20),
-            Feature("_n", lambda w: F.count("*").over(trailing(w, least)), back=least),
-        ],
-        **series,
+    dev = ratio(c("spread_pct") - c("_spread_mean"), "_spread_mean")
+    return Kind(
+        "microstructure", add, F.abs(dev) > 0.3, clip(dev * -0.5, -1.0, 1.0), F.least(F.lit(1.0), F.abs(dev)), 2000, n, ("spread_pct",)
     )
+
+
+def _technical(least: int) -> Kind:
+    def add(d: DataFrame, w: WindowSpec) -> DataFrame:
+        return d.withColumns(
+            {
+                "_s": F.avg("price").over(trailing(w, 10)), "_l": F.avg("price").over(trailing(w, 20)),
+                "_n": F.count("*").over(trailing(w, least)),
+            }
+        )
+
     a, b, m = ratio(c("price") - c("_s"), "_s"), ratio(c("price") - c("_l"), "_l"), ratio(c("_s") - c("_l"), "_l")
     strength = a * 0.4 + b * 0.3 + m * 0.3
     aligned = (F.signum(a) == F.signum(b)) & (F.signum(b) == F.signum(m))
-    return _signal(
-        out, "technical", (c("_n") >= least) & (F.abs(strength) > 0.01), clip(strength * 5, -1.0, 1.0),
-        F.when(aligned, 0.8).otherwise(0.4), 3000,
+    confidence = F.when(aligned, 0.8).otherwise(0.4)
+    return Kind("technical", add, (c("_n") >= least) & (F.abs(strength) > 0.01), clip(strength * 5, -1.0, 1.0), confidence, 3000, least)
+
+
+def momentum(df: DataFrame, n: int = 10, **series) -> DataFrame:
+    """0.7 short + 0.3 long momentum; confidence is the share of price steps of the same sign."""
+    return _of_kind(df, _momentum(n), **series)
+
+
+def mean_reversion(df: DataFrame, n: int = 20, **series) -> DataFrame:
+    return _of_kind(df, _mean_reversion(n), **series)
+
+
+def order_flow(quotes: DataFrame) -> DataFrame:
+    return _of_kind(quotes, _order_flow())
+
+
+def microstructure(quotes: DataFrame, n: int = 10, **series) -> DataFrame:
+    """Relative spread against its mean over the last ``n`` quotes."""
+    return _of_kind(quotes, _microstructure(n), **series)
+
+
+def technical(df: DataFrame, least: int = 50, **series) -> DataFrame:
+    return _of_kind(df, _technical(least), **series)
+
+
+def all_kinds(quotes: DataFrame, **series) -> DataFrame:
+    """Signals of all five kinds from one pass over the rows: symbol, ts, seq, kind, strength, confidence, horizon_ms."""
+    kinds = (_momentum(10), _mean_reversion(20), _order_flow(), _microstructure(10), _technical(50))
+
+    def add(d: DataFrame, w: WindowSpec) -> DataFrame:
+        return reduce(lambda done, kind: kind.add(done, w), kinds, d)
+
+    d = windowed(quotes, add, back=max(k.back for k in kinds), **series)
+    rows = [
+        F.when(
+            F.coalesce(k.keep, F.lit(False)),
+            F.struct(
+                F.lit(k.name).alias("kind"), k.strength.cast("double").alias("strength"), k.confidence.cast("double").alias("confidence"),
+                F.lit(k.horizon_ms).alias("horizon_ms"),
+            ),
+        )
+        for k in kinds
+    ]
+    return d.select("symbol", "ts", "seq", F.explode(F.array_compact(F.array(*rows))).alias("s")).select("symbol", "ts", "seq", "s.*")
+
+
+def performance(signals: DataFrame, acted: Column, keys: Sequence[str] = ("kind",)) -> DataFrame:
+    """Per kind: signals, mean strength, mean size of the strength, mean confidence, and the share of signals acted on."""
+    return signals.groupBy(*keys).agg(
+        F.count("*").alias("signals"), F.avg("strength").alias("mean_strength"), F.avg(F.abs("strength")).alias("mean_size"),
+        F.avg("confidence").alias("mean_confidence"), F.avg(F.coalesce(acted, F.lit(False)).cast("int")).alias("acted_share"),
     )
 
 
 def combine(
     signals: DataFrame, seconds: float = MAX_AGE_SECONDS, decay: float = DECAY_PER_SECOND, cell_seconds: float = 3600.0,
-    weights: Mapping[str, float] = KIND_WEIGHTS,
+    weights: Mapping[str, float] = KIND_WEIGHTS, rows_per_task: int | None = None,
 ) -> DataFrame:
     """Combined signal at each signal time from those of the last seconds.
 
     Strength and confidence decay once, by age; what has decayed too far is left
-    out.  A frame holds the signals of a few seconds, in cells of the time axis.
+    out.  Cells of the time axis are swept, so that a burst of signals costs no
+    more a signal than a quiet hour.
     """
     kind_weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), c("kind")), F.lit(0.1))
-
-    def add(d: DataFrame, w: WindowSpec) -> DataFrame:
-        d = d.withColumn(
-            "_live", F.collect_list(F.struct(c("_us").alias("us"), c("strength").alias("s"), c("confidence").alias("k"), kind_weight.alias("w"))).over(
-                w.rangeBetween(-int(seconds * 1e6) + 1, 0)
-            )
-        )
-
-        def aged(x: Column) -> Column:
-            f = F.pow(F.lit(decay), (c("_us") - x["us"]) / F.lit(1e6))
-            return F.struct((x["s"] * f).alias("s"), (x["k"] * f).alias("k"), x["w"].alias("w"))
-
-        live = F.filter(F.transform("_live", aged), lambda x: (F.abs(x["s"]) > KEEP_ABOVE) & (x["k"] > KEEP_ABOVE))
-        d = d.withColumn("_kept", live).drop("_live")
-        total = F.aggregate("_kept", F.lit(0.0), lambda acc, x: acc + x["w"] * x["k"])
-        sums = F.aggregate("_kept", F.lit(0.0), lambda acc, x: acc + x["s"] * x["w"] * x["k"])
-        best = F.array_max(F.transform("_kept", lambda x: x["k"]))
-        return d.withColumns(
-            {
-                "components": F.size("_kept"), "total_weight": total, "combined": ratio(sums, total),
-                "combined_confidence": best * F.least(F.lit(1.0), total / 0.5),
-            }
-        ).drop("_kept")
-
-    out = time_windowed(signals, add, seconds_back=seconds, cell_seconds=cell_seconds)
-    return out.filter("components > 0").select(
-        "symbol", "ts", "components", "total_weight", "combined", "combined_confidence"
-    ).dropDuplicates(["symbol", "ts"])
+    rate = math.log(decay) / 1e6  # a microsecond
+    if rate < 0:
+        # Values grow by the age of the cell inside it; they stay far from the largest double.
+        cell_seconds = min(cell_seconds, 300 / (-2e6 * rate))
+    rows = signals.where("strength IS NOT NULL AND confidence IS NOT NULL AND ts IS NOT NULL").select(
+        "symbol", c("ts").cast("timestamp").alias("ts"), c("strength").cast("double").alias("s"), c("confidence").cast("double").alias("k"), kind_weight.alias("w")
+    )
+    cells = time_cells(rows, seconds_back=seconds, cell_seconds=cell_seconds, rows_per_task=rows_per_task).drop("ts")
+    horizon = int(seconds * 1e6)
+
+    def lasts(value: np.ndarray) -> np.ndarray:
+        """Microseconds for which a value stays above the least one that counts."""
+        with np.errstate(divide="ignore"):
+            room = np.log(np.maximum(value, 0.0) / KEEP_ABOVE)
+        if rate == 0:
+            return np.where(room > 0, horizon, 0)
+        return np.clip(np.ceil(room / -rate), 0, horizon).astype(np.int64)
+
+    def run(table: pa.Table, group: np.ndarray) -> pa.Table:
+        us, home, cell = (table.column(x).to_numpy() for x in ("_us", "__home", "__at"))
+        s, k, w = (table.column(x).to_numpy() for x in "skw")
+        leave = us + np.minimum(np.minimum(lasts(np.abs(s)), lasts(k)), horizon)
+        at, live, (total, sums), best = live_sums(group, us, leave, [w * k, w * k * s], [rate, 2 * rate], k, rate)
+        shown = (home[at] == cell[at]) & (live > 0)
+        at, live, total, sums, best = at[shown], live[shown], total[shown], sums[shown], best[shown]
+        combined = np.divide(sums, total, out=np.full(len(at), np.nan), where=total != 0)
+        return pa.table({
+            "symbol": table.column("symbol").take(pa.array(at)), "us": us[at], "components": live.astype(np.int32), "total_weight": total,
+            "combined": pa.array(combined, from_pandas=True), "combined_confidence": best * np.minimum(1.0, total / 0.5),
+        })
+
+    out = by_groups(cells, ["symbol", "__at"], ["_us"], run, "symbol string, us long, components int, total_weight double, combined double, combined_confidence double")
+    return out.select("symbol", F.timestamp_micros("us").alias("ts"), "components", "total_weight", "combined", "combined_confidence")
 
 
 def combine_values(df: DataFrame, keys: Sequence[str], method: str = "weighted_average") -> DataFrame:

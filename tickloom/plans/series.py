@@ -347,16 +347,27 @@ def time_windowed(
     seconds_back: float,
     keys: Sequence[str] = ("symbol",),
     ts: str = "ts",
-    tie: Sequence[str] = ("seq",),
     cell_seconds: float = 3600.0,
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Frames over a span of time, one task per (key, time cell) in place of one per key.
 
     The window handed to ``add`` is ordered by epoch microseconds (``_us``), so
-    ``rangeBetween`` takes microseconds.  Rows in the last ``seconds_back`` of a
-    cell are also seen, not kept, by the next cell.  Where the table is large
-    the fullest cell is measured and cells shrink to fit, down to the span.
+    ``rangeBetween`` takes microseconds.  See ``time_cells``.
+    """
+    spread = time_cells(df, seconds_back=seconds_back, keys=keys, ts=ts, cell_seconds=cell_seconds, rows_per_task=rows_per_task)
+    done = add(spread, Window.partitionBy(*keys, "__at").orderBy("_us"))
+    return done.filter(F.col("__at") == F.col("__home")).drop("__home", "__at", "_us")
+
+
+def time_cells(
+    df: DataFrame, *, seconds_back: float, keys: Sequence[str] = ("symbol",), ts: str = "ts", cell_seconds: float = 3600.0, rows_per_task: int | None = None
+) -> DataFrame:
+    """Rows with their epoch microseconds (``_us``), the cell of the time axis they are in (``__home``) and one that sees them (``__at``).
+
+    Rows in the last ``seconds_back`` of a cell are also seen by the next cell.
+    Where the table is large the fullest cell is measured and cells shrink to fit,
+    down to the span.
     """
     span, cell = int(seconds_back * 1e6), int(max(cell_seconds, seconds_back) * 1e6)
     us = F.unix_micros(F.col(ts))
@@ -366,7 +377,7 @@ def time_windowed(
         if fullest > most:
             cell = max(span, cell * most // fullest)
     home = F.floor(us / cell)
-    spread = (
+    return (
         df.withColumn("_us", us)
         .withColumn("__home", home)
         .withColumn(
@@ -374,5 +385,3 @@ def time_windowed(
             F.explode(F.array_compact(F.array(home, F.when(us - home * cell >= cell - span, home + 1)))),
         )
     )
-    done = add(spread, Window.partitionBy(*keys, "__at").orderBy("_us"))
-    return done.filter(F.col("__at") == F.col("__home")).drop("__home", "__at", "_us")
