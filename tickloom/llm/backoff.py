@@ -56,7 +56,17 @@ def pack(values: np.ndarray, counts: np.ndarray) -> bytes:
     raw = np.ascontiguousarray(steps[1:]).astype("<u8").view(np.uint8).reshape(-1, 8)
     high = _squeeze(np.ascontiguousarray(raw[:, 4:width]).tobytes())
     head = np.array([len(values), width, int(values[0]), len(high)], dtype="<u8").tobytes()
-    return head + raw[:, :4].tobytes() + high + _squeeze(counts.astype("<u4").tobytes())
+    return head + raw[:, :4].tobytes() + high + _pack_counts(counts)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as 32-bit numbers, or as 64-bit ones if one needs it."""
+    kind = "<u4" if not len(counts) or int(counts.max()) < 1 << 32 else "<u8"
+    return kind[2:].encode() + _squeeze(counts.astype(kind).tobytes())
+
+
+def _unpack_counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(_spread(blob[1:]), dtype="<u" + blob[:1].decode())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +77,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     steps[1:, 4:width] = np.frombuffer(_spread(blob[end : end + high]), dtype=np.uint8).reshape(n - 1, width - 4)
     values = steps.view("<u8").ravel().astype(np.uint64)
     values[0] = first
-    return np.cumsum(values, dtype=np.uint64), np.frombuffer(_spread(blob[end + high :]), dtype="<u4")
+    return np.cumsum(values, dtype=np.uint64), _unpack_counts(blob[end + high :])
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -99,7 +109,7 @@ class _Batch:
         """Counts of each word's n-gram from the answers; 0 where it was not asked for."""
         for n in orders:
             own = answers.filter(pc.equal(answers.column("n"), n)).sort_by("bucket").column("packed").to_pylist()
-            total = [np.frombuffer(_spread(x), dtype="<u4") for x in own]
+            total = [_unpack_counts(x) for x in own]
             asked = self.asked(n, cutoff)
             _, at = np.unique(self.grams[n - 1][asked], return_inverse=True)
             self.counts[n] = np.zeros(len(asked), dtype=np.int64)
@@ -123,9 +133,11 @@ def _answer(rows: pa.Table) -> pa.Table:
     """One part of the count table: add up the requests, answer each."""
     read = [unpack(x) for x in rows.column("packed").to_pylist()]
     _, at = np.unique(np.concatenate([v for v, _ in read]), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([c for _, c in read]))[at].astype("<u4")
+    sums = np.zeros(int(at.max()) + 1, dtype=np.int64)
+    np.add.at(sums, at, np.concatenate([c for _, c in read]).astype(np.int64))
+    total = sums[at]
     ends = np.cumsum([len(v) for v, _ in read])
-    answers = [_squeeze(total[e - len(v) : e].tobytes()) for e, (v, _) in zip(ends, read)]
+    answers = [_pack_counts(total[e - len(v) : e]) for e, (v, _) in zip(ends, read)]
     return pa.table({"batch": rows.column("batch"), "n": rows.column("n"), "bucket": rows.column("bucket"), "packed": pa.array(answers, pa.binary())})
 
 

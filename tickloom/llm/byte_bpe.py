@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding on padded numpy matrices.
 
 A text is cut at white space into chunks, and chunks by the tokenizer's pattern
-into pieces; both cuts depend on nothing outside a chunk, so ids of chunks seen
-before are looked up.  The new pieces of a batch are bucketed by length and
+into pieces; both cuts depend on nothing outside a chunk, so a batch's distinct
+chunks are cut and its distinct pieces merged once.  Pieces are bucketed by length and
 padded to matrices of token ids.  Each round finds, in every row, the leftmost
 pair of minimum rank (hashed pair table), merges it, and closes the gap; rows
 without a mergeable pair leave the matrix.  Very long pieces, for which a round
@@ -14,8 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import texts
-from tickloom.llm.words import slices
+from tickloom.llm.words import slices, split_buffers
 
 # White space of Unicode, which is what \s means to the tokenizer.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_IS_BLANK = np.zeros(256, dtype=bool)
+_IS_BLANK[list(b"\t\n\x0b\x0c\r ")] = True
+# White space of more than one byte: the last three bytes of what stands before a chunk, if they are such a character.
+_WIDE = {c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))}
 MATRIX_PIECE = 512
 MATRIX_CELLS = 1 << 20
-CACHE_CHUNKS = 800_000
+SLICE_TEXT = 6 << 20
 _MARKS = frozenset(".,;:!?")
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
@@ -78,6 +82,30 @@ class PairRanks:
         return out.reshape(keys.shape)
 
 
+def _chunk_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First byte of each chunk: of each text, and of each run of white space that begins with an ASCII one."""
+    blank = _IS_BLANK[raw]
+    starts = np.zeros(len(raw), dtype=bool)
+    starts[1:] = blank[1:] & ~blank[:-1]
+    # A wide white space before makes it the same run.
+    for i in np.flatnonzero(starts[1:] & (raw[:-1] >= 0x80)) + 1:
+        if raw[max(0, i - 2) : i].tobytes() in _WIDE or raw[max(0, i - 3) : i].tobytes() in _WIDE:
+            starts[i] = False
+    starts[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(starts)
+
+
+def _bounds(sizes: Iterable[int], count: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.fromiter(sizes, dtype=np.int64, count=count))])
+
+
+def _strung(flat: np.ndarray, bounds: np.ndarray, codes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``codes`` of ``flat`` one after the other, and where each of the ``groups`` of codes begins."""
+    sizes = (bounds[1:] - bounds[:-1])[codes]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(bounds[:-1][codes] - ends[:-1], sizes) + np.arange(int(ends[-1]))], ends[groups]
+
+
 class ByteBpe:
     """Encoder and decoder for a rank file; ids are ranks."""
 
@@ -97,9 +125,6 @@ class ByteBpe:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), joined.append(rank)
         self.pairs = PairRanks(np.array(left), np.array(right), np.array(joined, dtype=np.int32))
-        self.pair_of = dict(zip(zip(left, right), joined))
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -109,6 +134,14 @@ class ByteBpe:
                 _LOADED[path, pattern] = cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
         return _LOADED[path, pattern]
 
+    @cached_property
+    def pair_of(self) -> dict[tuple[int, int], int]:
+        """The pair table as a dictionary, for the heap."""
+        held = self.pairs.values >= 0
+        keys = self.pairs.keys[held]
+        left, right = (keys >> np.uint64(32)).tolist(), (keys & np.uint64(0xFFFFFFFF)).tolist()
+        return dict(zip(zip(left, right), self.pairs.values[held].tolist()))
+
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(pieces)
@@ -192,20 +225,28 @@ class ByteBpe:
                     heapq.heappush(heap, (r, p, ids[p], ids[q]))
         return [x for x in ids if x >= 0]
 
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, first id of each text and the end); null is empty."""
+        raw, offsets = split_buffers(column)
+        starts = _chunk_starts(raw, offsets)
+        if not len(starts):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(offsets), dtype=np.int64)
+        ends = np.append(starts, len(raw)).astype("<i8")
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
+        parts = list(map(self._pieces, chunks.dictionary.to_pylist()))
+        pieces = pa.array(chain.from_iterable(parts), pa.large_string()).dictionary_encode()
+        ids = self.encode_pieces([p.encode() for p in pieces.dictionary.to_pylist()])
+        # Ids of pieces, of the pieces of chunks, of the chunks of texts.
+        flat, bounds = np.concatenate(ids).astype("<u4"), _bounds(map(len, ids), len(ids))
+        flat, bounds = _strung(flat, bounds, pieces.indices.to_numpy(), _bounds(map(len, parts), len(parts)))
+        code = chunks.indices.to_numpy()
+        flat, bounds = _strung(flat, bounds, code, np.arange(len(code) + 1))
+        return flat, bounds[np.searchsorted(starts, offsets)]
+
     def encode_batch(self, batch: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [_CHUNKS.findall(text) for text in batch]
-        for cache in (self.chunks, self.pieces):
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-        known, ids = self.chunks, self.pieces
-        new = list(set().union(*cut) - known.keys()) if cut else []
-        if new:
-            parts = list(map(self._pieces, new))
-            unseen = list(set().union(*parts) - ids.keys())
-            ids.update(zip(unseen, (x.astype("<u4").tobytes() for x in self.encode_pieces([p.encode() for p in unseen]))))
-            known.update((c, b"".join([ids[p] for p in own])) for c, own in zip(new, parts))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        ids, bounds = self.encode(pa.array(list(batch), pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
 
     def _pieces(self, chunk: str) -> list[str]:
         """The pattern's matches; the two commonest forms, letters and letters with one mark, without it."""
@@ -216,7 +257,7 @@ class ByteBpe:
             return [chunk[:-1], chunk[-1]]
         return self.pattern.findall(chunk)
 
-    def decode(self, ids: bytes) -> bytes:
+    def decode(self, ids: bytes | np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
@@ -231,16 +272,17 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.load(ranks_path, pattern)
-        for batch in slices(batches):
-            ids = bpe.encode_batch(batch.column("text").to_pylist())
+        for batch in slices(batches, size=SLICE_TEXT):
+            flat, bounds = bpe.encode(batch.column("text"))
+            ids = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
             columns = {
                 "doc_id": batch.column("doc_id"),
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "n_tokens": pa.array(np.diff(bounds), pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                 "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
             }
             if with_ids:
-                columns["ids"] = pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
+                columns["ids"] = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")

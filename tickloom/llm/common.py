@@ -36,10 +36,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def table(df: DataFrame, name: str, codec: str = "snappy", **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -78,18 +78,17 @@ def levels(size: int, percent: int = PERCENT) -> list[int]:
     return out
 
 
-def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    hashes, owner = windows(*word_hashes(column), words)
+def shingle_sets(column: pa.Array, words: int = WORDS, second: bool = False) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, from the word hash or a second one."""
+    hashes, owner = windows(*word_hashes(column, second), words)
     cuts = np.searchsorted(owner, np.arange(len(column) + 1))
     return [np.unique(hashes[cuts[i] : cuts[i + 1]]) for i in range(len(column))]
 
 
-def node_of(shingles: np.ndarray) -> tuple[int, int]:
-    """(node, witness) of a set: two 64-bit sums of its mixed elements."""
-    one = np.add.reduce(mix(shingles)) if len(shingles) else np.uint64(0)
-    two = np.add.reduce(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(shingles) else np.uint64(0)
-    return int(np.array(one, dtype=np.uint64).view(np.int64)), int(np.array(two, dtype=np.uint64).view(np.int64))
+def node_of(shingles: np.ndarray) -> int:
+    """A 64-bit sum of the mixed elements of a set."""
+    total = np.add.reduce(mix(shingles)) if len(shingles) else np.uint64(0)
+    return int(np.array(total, dtype=np.uint64).view(np.int64))
 
 
 def level_index(parts: int) -> int:
@@ -169,7 +168,7 @@ def _signer(buckets: int, words: int, percent: int):
 
         for batch in slices(batches):
             for s in shingle_sets(batch.column("text"), words):
-                node = node_of(s)[0]
+                node = node_of(s)
                 if len(s) and node not in seen:
                     seen.add(node)
                     own = records(s, node, percent)
@@ -189,9 +188,10 @@ def _namer(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), words)
-            named = [node_of(s) for s in sets]
+            # Nothing of the first word hash is in the witness, so words that share it are seen.
+            witness = [node_of(s) for s in shingle_sets(batch.column("text"), words, second=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([n for n, _ in named], [w for _, w in named], [len(s) for s in sets]))],
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([node_of(s) for s in sets], witness, [len(s) for s in sets]))],
                 names=["doc_id", "node", "witness", "n_shingles"],
             )
 
@@ -258,7 +258,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, per
         for batch in slices(batches):
             found = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s)[0] for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
+                [pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
                 names=["node", "shingles"],
             )
 
@@ -351,7 +351,7 @@ def _across(docs: DataFrame, nodes: DataFrame, groups: DataFrame, found: DataFra
         for batch in slices(batches):
             rows = []
             for s in shingle_sets(batch.column("text"), words):
-                node = node_of(s)[0]
+                node = node_of(s)
                 rows += [(node, level_index(g), len(s), piece_marks(s, g)[1].tobytes()) for g in levels(len(s), percent)]
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
@@ -460,7 +460,7 @@ def _degrees(docs: DataFrame, nodes: DataFrame, links: DataFrame, found: DataFra
         for batch in slices(batches):
             all_sets = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s)[0] for s in all_sets], pa.int64()), pa.array([s.tobytes() for s in all_sets], pa.binary())], names=["node", "shingles"],
+                [pa.array([node_of(s) for s in all_sets], pa.int64()), pa.array([s.tobytes() for s in all_sets], pa.binary())], names=["node", "shingles"],
             )
 
     known = _of_nodes(docs, nodes, member.select("node")).mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
@@ -554,7 +554,7 @@ def _marker(words: int):
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), words)
             full = np.array([len(s) > 0 for s in sets], dtype=bool)
-            nodes = pa.array([node_of(s)[0] for s in sets], pa.int64())
+            nodes = pa.array([node_of(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), nodes], names=["doc_id", "mark", "node"]).filter(pa.array(full))
 
     return run

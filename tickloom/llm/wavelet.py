@@ -11,10 +11,12 @@ the order the higher bits have left them, zeros before ones.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import scratch, table, texts
+from tickloom.llm.piece_counts import cut_at_space
 from tickloom.llm.words import run_hashes, slices, split_buffers, word_starts
 
 SHARD_TOKENS = 4_000_000
 END_ID = 1
 BLOCK = 512
 CACHE_WORDS = 2_000_000
-ENCODE_WORDS = 2_000
+ENCODE_WORDS = 1_000
 _IS_MARK, _IS_PLAIN, _IN_WORD = (np.zeros(256, dtype=bool) for _ in range(3))
 _IS_MARK[list(b".,;:!?")] = True
 _IS_PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
@@ -174,11 +177,16 @@ def load(content: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 
 
 class WordTokenizer:
-    """A tokenizer file of the tokenizers library whose pieces never cross white space; words seen before are looked up.
-
-    Lower case is the tokenizer's own first step, so words are looked up by a hash
-    without case of A-Z, but for words that may be a special token.  A mark after
-    an ASCII letter or digit is a piece of its own and looked up by itself.
+    """A tokenizer file of the tokenizers library; words seen before are looked up.
+
+    This rests on rules that ``piece_counts.cut_at_space`` reads from the file:
+    pieces never cross white space, and lower case comes first, so words are
+    looked up by a hash without case of A-Z, but for words that may be a special
+    token; a mark after an ASCII letter or digit is a piece of its own and looked
+    up by itself; a word of ASCII letters is one pre-token.  With other rules,
+    whole texts go to the library.  Of n distinct words in one worker's table
+    about n^2 / 2^65 pairs share a hash and would get one word's ids: one in ten
+    million for two million words.
     """
 
     def __init__(self, path: str):
@@ -187,6 +195,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            self.by_word = cut_at_space(json.load(file))
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
@@ -201,18 +214,35 @@ class WordTokenizer:
         return _LOADED[path]
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids: list[list[int]] = []
-        for a in range(0, len(words), ENCODE_WORDS):
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + ENCODE_WORDS], add_special_tokens=False)]
+        ids: list[list[int]] = [[]] * len(words)
+        others = []
+        for i, word in enumerate(words):
+            if word.isascii() and word.isalpha():
+                ids[i] = [t.id for t in self.model.tokenize(word.lower())]
+            else:
+                others.append(i)
+        for a in range(0, len(others), ENCODE_WORDS):
+            some = others[a : a + ENCODE_WORDS]
+            # One line for the library; a piece belongs to the word in which it begins.
+            starts = np.cumsum([0, *(len(words[i]) + 1 for i in some)])
+            found = self.tokenizer.encode(" ".join(words[i] for i in some), add_special_tokens=False)
+            cuts = np.searchsorted([begin for begin, _ in found.offsets], starts)
+            flat = found.ids
+            for i, b, e in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()):
+                ids[i] = flat[b:e]
         slots = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(words))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], dtype=np.uint32)])
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))])
         keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
         order = np.argsort(keys, kind="stable")
         self.keys, self.slots = keys[order], slots[order]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
+        if not self.by_word:
+            whole = [e.ids for e in self.tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(whole), dtype=np.uint32), np.cumsum([0, *map(len, whole)])
         raw, offsets = split_buffers(column)
         starts = word_starts(raw, offsets)
         if not len(starts):
@@ -228,19 +258,33 @@ class WordTokenizer:
         angled = np.unique(np.searchsorted(starts, np.flatnonzero(raw == ord("<")), side="right") - 1)
         for i in angled:
             keys[i] = np.uint64(hash_bytes(self._bytes(raw, starts, i)))
-        distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        coded = pa.array(keys).dictionary_encode()
+        distinct, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[at[::-1]] = np.arange(len(at))[::-1]
         if len(self.keys) > CACHE_WORDS:
             self.clear()
         place = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
         new = self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), dtype=bool)
         if new.any():
-            self._learn(distinct[new], [self._bytes(raw, starts, i).decode() for i in first[new]])
+            self._learn(distinct[new], self._words(raw, starts, first[new]))
         slot = self.slots[np.searchsorted(self.keys, distinct)][at]
         begin, sizes = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
         before = np.cumsum(sizes) - sizes
         ids = self.flat[np.repeat(begin - before, sizes) + np.arange(int(sizes.sum()))]
         return ids, np.append(before, len(ids))[np.searchsorted(starts, offsets)]
 
+    @staticmethod
+    def _words(raw: np.ndarray, starts: np.ndarray, some: np.ndarray) -> list[str]:
+        """The runs ``some`` without their separators."""
+        begin, end = starts[some], np.append(starts, len(raw))[some + 1]
+        sizes = end - begin
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        real = _IN_WORD[raw[at]]
+        kept = np.add.reduceat(real, np.cumsum(sizes) - sizes, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(kept)])
+        return pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(raw[at[real]].tobytes())).to_pylist()
+
     @staticmethod
     def _bytes(raw: np.ndarray, starts: np.ndarray, i: int) -> bytes:
         return raw[starts[i] : starts[i + 1] if i + 1 < len(starts) else len(raw)].tobytes().rstrip(b" \t\n\x0b\x0c\r")

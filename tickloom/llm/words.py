@@ -1,7 +1,14 @@
-"""Words of Arrow text columns as arrays of 64-bit hashes, without a Python object per word."""
+"""Words of Arrow text columns as arrays of 64-bit hashes, without a Python object per word.
+
+Words of up to ``SHORT`` bytes have a sum of byte values times powers, mixed;
+longer ones, for which texts of two letters with one such sum can be written
+down, have a cryptographic hash.  Of n distinct words about n^2 / 2^65 pairs
+share a hash: some 3 of ten thousand million words.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +17,8 @@ import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
 SLICE_BYTES = 2 << 20
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+SHORT = 64
+_MULTIPLIER, _SECOND = 0x9E3779B97F4A7C15 | 1, 0xE7037ED1A0B428DB | 1
 _SEPARATORS = (9, 10, 11, 12, 13, 32)
 
 
@@ -21,27 +29,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values() -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def _byte_values(factor: int) -> np.ndarray:
+    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(factor))
     values[65:91] = values[97:123]  # A-Z count as a-z
     values[list(_SEPARATORS)] = 0
     return values
 
 
-_VALUES = _byte_values()
+# Of the word hash, and of a second one that shares nothing with it.
+_VALUES = _byte_values(0xD1342543DE82EF95), _byte_values(0xA0761D6478BD642F)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(_SEPARATORS)] = False
-_POWERS = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
+_POWERS = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        size = max(n, SEGMENT)
-        for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
-            factors = np.full(size, base, dtype=np.uint64)
+def _powers(n: int, second: bool) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get(second, [()])[0]) < n:
+        size, base = max(n, SEGMENT), _SECOND if second else _MULTIPLIER
+        found = []
+        for step in (base, pow(base, -1, 1 << 64)):
+            factors = np.full(size, step, dtype=np.uint64)
             factors[0] = 1
-            _POWERS[name] = np.multiply.accumulate(factors)
-    return _POWERS["up"], _POWERS["down"]
+            found.append(np.multiply.accumulate(factors))
+        _POWERS[second] = tuple(found)
+    return _POWERS[second]
 
 
 def split_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +78,8 @@ def word_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-def run_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of the bytes from each start to the next one, separators left out, A-Z as a-z.
+def run_hashes(raw: np.ndarray, starts: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hash of the bytes from each start to the next one, separators left out, A-Z as a-z; ``second``: another one.
 
     Bytes are handled in segments that end before a start, so memory beyond the
     result is bounded by the longest run.
@@ -76,18 +89,24 @@ def run_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(starts, starts[a] + SEGMENT)))
         lo, hi = int(starts[a]), int(starts[b]) if b < len(starts) else len(raw)
-        up, down = _powers(hi - lo)
+        up, down = _powers(hi - lo, second)
         rel = starts[a:b] - lo
-        out[a:b] = np.add.reduceat(_VALUES[raw[lo:hi]] * up[: hi - lo], rel) * down[rel]
+        out[a:b] = np.add.reduceat(_VALUES[second][raw[lo:hi]] * up[: hi - lo], rel) * down[rel]
         a = b
-    return mix(out)
+    out = mix(out)
+    for i in np.flatnonzero(np.diff(starts, append=len(raw)) > SHORT):
+        run = raw[starts[i] : starts[i + 1] if i + 1 < len(starts) else len(raw)]
+        word = _LOWER[run[_IS_WORD[run]]]
+        if len(word) > SHORT:
+            out[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, person=b"second" if second else b"").digest(), "little")
+    return out
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text and the end) for words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased."""
     raw, offsets = split_buffers(column)
     starts = word_starts(raw, offsets)
-    return run_hashes(raw, starts), np.searchsorted(starts, offsets)
+    return run_hashes(raw, starts, second), np.searchsorted(starts, offsets)
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
