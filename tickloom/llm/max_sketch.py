@@ -76,6 +76,7 @@ def _index_slice(group: pa.Table, n_docs: int, n_terms: int, width: int) -> pa.R
     ids, sizes = np.empty(len(place), dtype=object), np.zeros(len(place), dtype=np.int64)
     ids[place], sizes[place] = own.column("doc_id").to_pylist(), own.column("size").to_numpy()
     m = 10 + (90 * sizes * n_docs) // max(1, n_terms)
+    rows = rows.sort_by("word")
     terms = rows.column("word").combine_chunks().dictionary_encode()
     row, doc = listed(rows.column("docs"))
     weight, tf, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("weight", "tf", "at"))
@@ -126,8 +127,8 @@ def index(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return parts.groupBy("slice").applyInArrow(run, INDEX)
 
 
-# (number, terms, coordinates, score that a document must reach)
-Query = tuple[int, pa.Array, np.ndarray, int]
+# (number, places of its terms among those of the block, their coordinates, score that a document must reach)
+Query = tuple[int, np.ndarray, np.ndarray, int]
 
 
 def _best(scores: np.ndarray, ids: list[int | None], docs: np.ndarray, top: int) -> np.ndarray:
@@ -137,7 +138,7 @@ def _best(scores: np.ndarray, ids: list[int | None], docs: np.ndarray, top: int)
     return np.lexsort((named, null, -scores))[:top]
 
 
-def _search_slice(row: dict, queries: list[Query], width: int, top: int, first: bool) -> Iterator[tuple[int, int | None, int, int]]:
+def _search_slice(row: dict, words: pa.Array, queries: list[Query], width: int, top: int, first: bool) -> Iterator[tuple[int, int | None, int, int]]:
     """(query, doc_id, score, documents scored exactly) of the slice's best documents of each query; ``first``: of the highest bounds only."""
     ids, terms = row["doc_ids"].values.to_pylist(), row["terms"].values
     n = len(ids)
@@ -145,7 +146,9 @@ def _search_slice(row: dict, queries: list[Query], width: int, top: int, first:
     weights, m, starts, codes, tf, sketch = (np.frombuffer(zstandard.decompress(row[c].as_buffer()), dtype=k) for c, k in kinds.items())
     sketch = sketch.reshape(width, n)
     asked = np.zeros(len(terms), dtype=bool)
-    for query, words, places, least in queries:
+    # The slice's codes of all terms of the block at once; -1 where it lacks a term.
+    codes_of = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy(zero_copy_only=False)
+    for query, own, places, least in queries:
         bound = np.zeros(n, dtype=np.int64)
         for at in places:
             bound += LEVELS[sketch[at]]
@@ -153,8 +156,8 @@ def _search_slice(row: dict, queries: list[Query], width: int, top: int, first:
         order = order[np.argsort(-bound[order], kind="stable")]
         if first:
             order = order[:FIRST_ROUND]
-        known = pc.drop_null(pc.index_in(words, value_set=terms)).to_numpy(zero_copy_only=False)
-        asked[known] = True
+        known = codes_of[own]
+        asked[known[known >= 0]] = True
         docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         done, step = 0, FIRST_ROUND
         while done < len(order):
@@ -173,7 +176,7 @@ def _search_slice(row: dict, queries: list[Query], width: int, top: int, first:
             best = _best(scores, ids, docs, top)
             docs, scores = docs[best], scores[best]
             done, step = done + len(some), min(2 * step, 512)
-        asked[known] = False
+        asked[known[known >= 0]] = False
         for doc, score in zip(docs, scores):
             yield query, ids[doc], int(score), done
 
@@ -200,7 +203,7 @@ def search(index_: DataFrame, items: DataFrame, top: int = TOP, width: int = WID
     if size is None:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long, rescored long")
     blocks = int(size // block_text) + 1
-    index_ = table(index_, "index", "uncompressed")
+    index_ = table(index_, "index", "zstd")
     numbered = asked.select("item_id", "terms", F.transform("terms", lambda t: coordinate(t, width)).alias("places"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
 
@@ -222,11 +225,14 @@ def search(index_: DataFrame, items: DataFrame, top: int = TOP, width: int = WID
 
 def _finder(asked: list[tuple], width: int, top: int, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = [(k, pa.array(terms, pa.string()), np.array(places, dtype=np.int64), least) for k, terms, places, least in asked]
+        words = pa.array([t for _, terms, *_ in asked for t in terms], pa.string()).dictionary_encode()
+        ends = np.cumsum([0, *(len(terms) for _, terms, *_ in asked)])
+        own = words.indices.to_numpy(zero_copy_only=False)
+        queries = [(k, own[a:b], np.array(places, dtype=np.int64), least) for (k, _, places, least), a, b in zip(asked, ends[:-1], ends[1:])]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                rows = list(_search_slice(row, queries, width, top, first))
+                rows = list(_search_slice(row, words.dictionary, queries, width, top, first))
                 yield pa.RecordBatch.from_pydict({
                     "query": pa.array([q for q, *_ in rows], pa.int32()), "doc_id": pa.array([d for _, d, *_ in rows], pa.int64()),
                     "score": pa.array([s for *_, s, _ in rows], pa.int64()), "rescored": pa.array([x for *_, x in rows], pa.int64()),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import texts
-from tickloom.llm.postings import by_word, listed, places
+from tickloom.llm.postings import by_name, by_word, listed, places
 from tickloom.llm.words import slices
 
 LIMIT = 2048
@@ -142,6 +142,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], tokens: PreTokens) -> Iterat
     part, seq = TaskContext.get().partitionId(), 0
     for batch in slices(batches, size=SLICE_TEXT, rows=SLICE_DOCS):
         distinct, words, owners, times, sizes = tokens.split(batch.column("text"))
+        distinct, words = by_name(distinct, words)
         word, tf, ends, found = by_word(words, owners, batch.num_rows, times)
         yield _rows(len(word), part, seq, word=distinct.take(pa.array(word)), tf=pa.array(tf, pa.int32()), docs=places(ends, found))
         own = places(np.arange(batch.num_rows + 1), np.arange(batch.num_rows))

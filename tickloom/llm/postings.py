@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,14 @@ def by_word(words: np.ndarray, owners: np.ndarray, n_docs: int, times: np.ndarra
     return word[first], tf[first], np.append(first, len(word)), doc.astype(np.int32)
 
 
+def by_name(distinct: pa.Array, words: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words in order, and the words in terms of it: neighbours share their beginnings, which files and shuffles press together."""
+    order = pc.sort_indices(distinct).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct.take(pa.array(order)), rank[words]
+
+
 def places(ends: np.ndarray, listed: np.ndarray) -> pa.Array:
     """Lists of 16-bit places, one from each entry of ``ends`` to the next."""
     packed = pa.py_buffer(listed.astype("<u2").tobytes())
@@ -77,6 +86,7 @@ def postings(docs: DataFrame, split: Callable[[], Split], name: str) -> DataFram
         for batch in slices(batches, size=SLICE_TEXT, rows=SLICE_DOCS):
             n = batch.num_rows
             distinct, words, owners, sizes = cut(batch.column("text"))
+            distinct, words = by_name(distinct, words)
             word, tf, ends, found = by_word(words, owners, n)
             for rows, columns in (
                 (len(word), {"word": distinct.take(pa.array(word)), "tf": pa.array(tf, pa.int32()),
