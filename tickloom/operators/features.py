@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Sequence
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.scalars import ratio, safe_divide
 from tickloom.plans.decay import Decay, add_decays, by_span
 from tickloom.plans.series import placed, running, windowed
+from tickloom.plans.sliding import add_sliding
 
 Build = Callable[[WindowSpec], Column]
 
@@ -41,8 +44,26 @@ def trailing(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 
 
+# Frames of at least so many rows are computed at a cost that does not grow with them.
+WIDE = 20
+_AGGREGATES = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "stddev_samp": F.stddev_samp, "stddev_pop": F.stddev_pop}
+_NAMES = {agg: name for name, agg in _AGGREGATES.items()}
+# While ``compute`` builds features: the double columns there are, and the wide frames asked for.
+_WIDE: ContextVar[tuple[set[str], dict[str, tuple[str, str, int]]] | None] = ContextVar("wide", default=None)
+
+
+def median(x: Column) -> Column:
+    return F.percentile(x, F.lit(0.5))
+
+
 def full(agg: Callable[[Column], Column], x: str, n: int, w: WindowSpec) -> Column:
     """Aggregate of the last ``n`` rows, null until ``n`` values are there."""
+    wide, kind = _WIDE.get(), "median" if agg is median else _NAMES.get(agg)
+    # A median sorts its frame, so it gains from the start.
+    if wide is not None and kind and x in wide[0] and n >= (2 if kind == "median" else WIDE):
+        name = f"__{kind}_{x}_{n}"
+        wide[1][name] = (kind, x, n)
+        return c(name)
     frame = trailing(w, n)
     return F.when(F.count(x).over(frame) >= n, agg(c(x)).over(frame))
 
@@ -126,8 +147,16 @@ def compute(df: DataFrame, features: Iterable[str | Feature], **series) -> DataF
                 d = d.withColumns({n: b(w) for n, b in stage.items()})
         if decays:
             d = add_decays(d, w, list(decays.values()))
-        d = d.withColumns({f.name: f.build(w) for f in wanted})
-        return d.drop(*first, *second, *decays)
+        doubles = {f.name for f in d.schema.fields if isinstance(f.dataType, T.DoubleType)}
+        token = _WIDE.set((doubles, {}))
+        try:
+            built = {f.name: f.build(w) for f in wanted}
+            wide = _WIDE.get()[1]
+        finally:
+            _WIDE.reset(token)
+        if wide:
+            d = add_sliding(d, w, wide)
+        return d.withColumns(built).drop(*first, *second, *decays, *wide)
 
     out = windowed(df, add, back=back, ahead=ahead, **series)
     return out.withColumns({n: F.lit(None).cast("double") for n in unknown}) if unknown else out
@@ -337,7 +366,7 @@ def forward_fill(df: DataFrame, columns: Sequence[str], default: float = 0.0, **
 def rolling_statistics(df: DataFrame, column: str, n: int, stats: Sequence[str] = ("mean", "std", "min", "max", "median"), **series) -> DataFrame:
     makers = {
         "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-        "median": lambda x: F.percentile(x, F.lit(0.5)),
+        "median": median,
     }
     return compute(df, [Feature(f"{column}_{s}_{n}", lambda w, s=s: full(makers[s], column, n, w), back=n) for s in stats], **series)
 
