@@ -9,6 +9,7 @@ from tickloom.operators import features as X
 from tickloom.operators import models as M
 from tickloom.operators import pnl as P
 from tickloom.operators import usersurface as U
+from tickloom.plans.shuffling import permuted_place_sql
 from tickloom.sources import files
 from tickloom.sources.standins import table, ticks
 
@@ -293,12 +294,17 @@ def _(spark, sf_dir):
     return M.importance_by_category(long, M.category_map(spark, {"price": "price", "volume": "size", "bid_volume": "size"}))
 
 
-@query("permutation_importance")
+@query(
+    "permutation_importance",
+    f"""WITH {_PRED}, r AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM pp), z AS (SELECT count(*) AS n FROM r),
+    p AS (SELECT m1, m2, {permuted_place_sql('i', 'n', '42')} AS p1, {permuted_place_sql('i', 'n', '43')} AS p2 FROM r, z),
+    s AS (SELECT avg(pow(r.y - (r.m1 + r.m2) / 2, 2)) AS base, avg(pow(r.y - (a.m1 + r.m2) / 2, 2)) AS s1, avg(pow(r.y - (r.m1 + b.m2) / 2, 2)) AS s2 FROM r JOIN p a ON a.p1 = r.i JOIN p b ON b.p2 = r.i)
+    SELECT 'm1' AS feature, round(s1 - base, 5) AS importance FROM s UNION ALL SELECT 'm2', round(s2 - base, 5) FROM s""",
+    digits=5,
+)
 def _(spark, sf_dir):
     """Rise of the squared error of (m1 + m2) / 2 when one of them is shuffled."""
-    def score(d):
-        return d.agg(F.avg(F.pow(F.col("y") - (F.col("m1") + F.col("m2")) / 2, 2)).alias("score"))
-
+    score = F.avg(F.pow(F.col("y") - (F.col("m1") + F.col("m2")) / 2, 2))
     return M.permutation_importance(predictions(spark, sf_dir), ["m1", "m2"], score)
 
 
@@ -313,6 +319,12 @@ def _(spark, sf_dir):
     return M.anomaly_distance(ticks(spark, sf_dir), ["price", "volume"]).select("seq", "distance", "is_anomaly")
 
 
+@query("robust_distance")
+def _(spark, sf_dir):
+    """Prices and volumes by robust distance; tests hold it against a plain program and planted outliers."""
+    return M.robust_distance(ticks(spark, sf_dir), ["price", "volume", "bid_volume"]).select("seq", "distance", "is_anomaly")
+
+
 @query(
     "regime_change",
     f"""WITH {TICKS}, x AS (SELECT symbol, seq, avg(price) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS r, avg(price) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 10 PRECEDING) AS e FROM ticks)

@@ -7,6 +7,7 @@ from tickloom.catalog.books import LIMITS, _FIFO, net_positions, scenarios
 from tickloom.catalog.registry import TICKS, TRADES, TRADE_SORT, W, query, rounded
 from tickloom.operators import pnl as P
 from tickloom.operators import risk as R
+from tickloom.plans.shuffling import mixed_sql
 from tickloom.sources.standins import TRADE_ORDER, table, ticks, trades
 
 _TW = f"PARTITION BY symbol ORDER BY {TRADE_SORT}"
@@ -222,9 +223,16 @@ def _(spark, sf_dir):
     return R.var_historical(day_returns(spark, sf_dir), held)
 
 
-@query("var_bootstrap")
+@query(
+    "var_bootstrap",
+    f"""WITH {RETURNS}, {_WEIGHTS}, dp AS (SELECT bar, sum(coalesce(ret, 0) * weight) AS pnl FROM rt JOIN wt USING (symbol) GROUP BY bar),
+    dn AS (SELECT pnl, row_number() OVER (ORDER BY bar) - 1 AS day FROM dp), dz AS (SELECT count(*) AS days FROM dn),
+    pk AS (SELECT id // 10 AS draw, {mixed_sql('id', '7')} % days AS day FROM (SELECT unnest(range(100000)) AS id), dz),
+    ts AS (SELECT draw, sum(pnl) AS total FROM pk JOIN dn USING (day) GROUP BY draw), ct AS (SELECT quantile_cont(total, 0.05) AS cut FROM ts)
+    SELECT count(*) AS draws, round(-max(cut), 4) AS var, round(coalesce(-avg(total) FILTER (total <= cut), 0), 4) AS expected_shortfall FROM ts, ct""",
+    digits=4,
+)
 def _(spark, sf_dir):
-    """Draws are hashed, so the result repeats; the test checks it against a brute-force sum."""
     day = day_returns(spark, sf_dir).join(weights(spark, sf_dir), "symbol").groupBy("bar").agg(
         F.sum(F.coalesce("ret", F.lit(0.0)) * F.col("weight")).alias("pnl")
     )

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.scalars import ratio
+from tickloom.plans.gram import column_moments, distance
 from tickloom.plans.series import broadcast_if_small, numbered, placed, quantiles, running, unplaced, windowed
+from tickloom.plans.shuffling import permuted_place
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -22,6 +24,22 @@ def _one_row(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
 
 
+def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(name, value): one row for each value of the columns."""
+    values = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
+    return df.select(F.explode(values).alias("v")).select("v.*")
+
+
+def _long_quantiles(values: DataFrame, probs: Mapping[str, float], rows_per_task: int | None) -> DataFrame:
+    """Quantiles of each name, all names in one pass; a row for each column."""
+    return quantiles(values, "value", probs, keys=("name",), rows_per_task=rows_per_task)
+
+
+def _wide(found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with ``<c>_center`` and ``<c>_scale``; nulls for a column without values."""
+    return found.agg(*[F.max(F.when(F.col("name") == c, F.col(x))).alias(f"{c}_{x}") for c in columns for x in ("center", "scale")])
+
+
 def fit_scaling(df: DataFrame, columns: Sequence[str], method: str = "zscore", rows_per_task: int | None = None) -> DataFrame:
     """Centre and scale per column as one row (``<c>_center``, ``<c>_scale``): zscore, minmax, mad or iqr."""
     if method == "zscore":
@@ -29,18 +47,13 @@ def fit_scaling(df: DataFrame, columns: Sequence[str], method: str = "zscore", r
     if method == "minmax":
         return df.agg(*[x for c in columns for x in (F.min(c).alias(f"{c}_center"), (F.max(c) - F.min(c)).alias(f"{c}_scale"))])
     if method == "iqr":
-        rows = []
-        for c in columns:
-            q = quantiles(df, c, {"m": 0.5, "lo": 0.25, "hi": 0.75}, keys=(), rows_per_task=rows_per_task)
-            rows.append(q.select(F.col("m").alias(f"{c}_center"), (F.col("hi") - F.col("lo")).alias(f"{c}_scale")))
-        return _one_row(rows)
+        q = _long_quantiles(_long(df, columns), {"m": 0.5, "lo": 0.25, "hi": 0.75}, rows_per_task)
+        return _wide(q.select("name", F.col("m").alias("center"), (F.col("hi") - F.col("lo")).alias("scale")), columns)
     if method == "mad":
-        rows = []
-        for c in columns:
-            med = quantiles(df, c, {f"{c}_center": 0.5}, keys=(), rows_per_task=rows_per_task)
-            dev = df.crossJoin(F.broadcast(med)).select(F.abs(F.col(c) - F.col(f"{c}_center")).alias("d"))
-            rows += [med, quantiles(dev, "d", {f"{c}_scale": 0.5}, keys=(), rows_per_task=rows_per_task)]
-        return _one_row(rows)
+        values = _long(df, columns)
+        middle = _long_quantiles(values, {"center": 0.5}, rows_per_task)
+        off = values.join(F.broadcast(middle), "name").select("name", F.abs(F.col("value") - F.col("center")).alias("value"))
+        return _wide(middle.join(_long_quantiles(off, {"scale": 0.5}, rows_per_task), "name"), columns)
     raise ValueError(f"unknown method {method}")
 
 
@@ -190,47 +203,94 @@ def importance_by_category(contributions: DataFrame, categories: DataFrame) -> D
     return each.join(broadcast_if_small(categories), "feature").groupBy("category").agg(F.sum("importance").alias("importance"), F.count("*").alias("features"))
 
 
-def permuted(df: DataFrame, column: str, seed: int = 42, row: str = "row_id", rows_per_task: int | None = None) -> DataFrame:
-    """``df`` with one column shuffled: row i gets the value of the i-th row in hash order."""
-    how = {"keys": (), "rows_per_task": rows_per_task}
-    mixed = df.select(F.xxhash64(F.col(row), F.lit(seed)).alias("_h"), F.col(row).alias("_r"), F.col(column).alias("_v"))
-    a = numbered(mixed, "_i", order=("_h", "_r"), **how).select("_i", "_v")
-    b = numbered(df, "_i", order=(row,), **how)
-    return b.join(a, "_i").withColumn(column, F.col("_v")).drop("_i", "_v")
+def permuted(df: DataFrame, columns: Sequence[str], seed: int = 42, row: str = "row_id", rows_per_task: int | None = None) -> DataFrame:
+    """``df`` once for each of ``columns`` (column ``feature``), with that column shuffled, and once as it is (``feature`` null).
 
+    Row numbers follow ``row``, which must tell rows apart.  A keyed one-to-one
+    map of the row numbers says which row gets whose value, so all shuffles are
+    one equi-join of the numbered rows with themselves.
+    """
+    placed_rows = numbered(df, "_i", keys=(), order=(row,), rows_per_task=rows_per_task).withColumn("_i", F.col("_i") - 1)
+    size = df.agg(F.count("*").alias("_n"))
+    sent = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), permuted_place(F.col("_i"), F.col("_n"), F.lit(seed + k)).alias("_to"), F.col(c).cast("double").alias("_v"))
+            for k, c in enumerate(columns)
+        ],
+        F.struct(F.lit(None).cast("string").alias("feature"), F.col("_i").alias("_to"), F.lit(None).cast("double").alias("_v")),
+    )
+    values = placed_rows.crossJoin(F.broadcast(size)).select(F.explode(sent).alias("s")).select("s.*")
+    both = placed_rows.join(values, F.col("_i") == F.col("_to"))
+    swapped = {c: F.when(F.col("feature") == c, F.col("_v")).otherwise(F.col(c).cast("double")) for c in columns}
+    return both.withColumns(swapped).drop("_i", "_to", "_v")
+
+
+def permutation_importance(df: DataFrame, features: Sequence[str], score: Column, **how) -> DataFrame:
+    """Change of an aggregate ``score`` when a feature is shuffled: feature, importance; one grouped score for all features."""
+    scored = permuted(df, features, **how).groupBy("feature").agg(score.alias("score"))
+    base = scored.where("feature IS NULL").select(F.col("score").alias("base"))
+    return scored.where("feature IS NOT NULL").crossJoin(F.broadcast(base)).select("feature", (F.col("score") - F.col("base")).alias("importance"))
 
-def permutation_importance(df: DataFrame, features: Sequence[str], score: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
-    """Change of a one-row ``score(df)`` (column ``score``) when a feature is shuffled."""
-    base = score(df).withColumnRenamed("score", "base")
-    out = None
-    for f in features:
-        one = score(permuted(df, f, **how)).crossJoin(F.broadcast(base)).select(
-            F.lit(f).alias("feature"), (F.col("score") - F.col("base")).alias("importance")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+
+def _flagged(scored: DataFrame, contamination: float, rows_per_task: int | None) -> DataFrame:
+    cut = quantiles(scored, "distance", {"_cut": 1 - contamination}, keys=(), rows_per_task=rows_per_task)
+    return scored.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("distance") > F.col("_cut")).drop("_cut")
 
 
 def anomaly_distance(df: DataFrame, columns: Sequence[str], contamination: float = 0.1, rows_per_task: int | None = None) -> DataFrame:
     """Squared Mahalanobis distance and a flag on its largest share.
 
-    Means and covariances come from one aggregate; the driver inverts that
-    (columns x columns) matrix only.
+    Means and covariances come from one pass of matrix products; the driver
+    inverts the (columns x columns) matrix only.  Rows with a null have no distance.
     """
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs],
-    ).first()
-    cov = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    inv = np.linalg.pinv(cov)
-    centred = [F.col(c) - F.lit(float(row[f"m{i}"])) for i, c in enumerate(columns)]
-    terms = [F.lit(float(inv[i, j]) * (1.0 if i == j else 2.0)) * centred[i] * centred[j] for i, j in pairs]
-    scored = df.withColumn("distance", reduce(lambda a, b: a + b, terms))
-    cut = quantiles(scored, "distance", {"_cut": 1 - contamination}, keys=(), rows_per_task=rows_per_task)
-    return scored.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.col("distance") > F.col("_cut")).drop("_cut")
+    _, mean, covariance = column_moments(df, columns)
+    scored = df.withColumn("distance", distance(columns, mean, np.linalg.pinv(covariance, hermitian=True)))
+    return _flagged(scored, contamination, rows_per_task)
+
+
+def robust_distance(
+    df: DataFrame, columns: Sequence[str], contamination: float = 0.1, support: float = 0.5, steps: int = 20, rows_per_task: int | None = None
+) -> DataFrame:
+    """Squared distance by a robust mean and covariance, and a flag on its largest share.
+
+    The start is the distance from the medians in units of the median deviation.
+    Each step takes the share ``support`` of the rows that are nearest, their mean
+    and covariance, and the distances by these; the determinant falls until the
+    rows no longer change.  Distances are scaled so that their median is that of
+    a normal sample.  Outliers that would widen a plain covariance and so hide in
+    it are far from this one.  Rows with a null have no distance.
+    """
+    p = len(columns)
+    whole = df.dropna(subset=list(columns))
+    centre, scale = _medians(whole, columns, rows_per_task)
+    if centre is None:
+        return df.withColumns({"distance": F.lit(None).cast("double"), "is_anomaly": F.lit(None).cast("boolean")})
+    mean, inverse, last = centre, np.diag(1 / scale**2), np.inf
+    for _ in range(steps):
+        near = whole.withColumn("_d", distance(columns, mean, inverse))
+        cut = quantiles(near, "_d", {"_cut": support}, keys=(), rows_per_task=rows_per_task).first()["_cut"]
+        _, mean, covariance = column_moments(near.where(F.col("_d") <= F.lit(cut)), columns, mean)
+        inverse = np.linalg.pinv(covariance, hermitian=True)
+        sign, size = np.linalg.slogdet(covariance)
+        now = size if sign > 0 else -np.inf
+        if not now < last - 1e-9 * max(1.0, abs(now)):
+            break
+        last = now
+    scored = df.withColumn("distance", distance(columns, mean, inverse))
+    middle = quantiles(scored, "distance", {"_m": 0.5}, keys=(), rows_per_task=rows_per_task).first()["_m"]
+    # The median of a chi-square variable (Wilson and Hilferty).
+    normal = p * (1 - 2 / (9 * p)) ** 3
+    return _flagged(scored.withColumn("distance", F.col("distance") * F.lit(normal / middle if middle else 1.0)), contamination, rows_per_task)
+
+
+def _medians(df: DataFrame, columns: Sequence[str], rows_per_task: int | None) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """(medians, median deviations, 1 where they are 0) of the columns, all in one grouped quantile each."""
+    found = fit_scaling(df, columns, "mad", rows_per_task).first()
+    centre = np.array([np.nan if found is None or found[f"{c}_center"] is None else found[f"{c}_center"] for c in columns])
+    if np.isnan(centre).any():
+        return None, None
+    scale = np.array([found[f"{c}_scale"] or 1.0 for c in columns])
+    return centre, 1.4826 * scale
 
 
 def regime_change(df: DataFrame, score: str, n: int = 10, factor: float = 2.0, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), **how) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalars import ratio
 from tickloom.operators.pnl import signed_volume
 from tickloom.plans.pairs import centred_moments, pair_stats
-from tickloom.plans.series import broadcast_if_small, placed, quantiles, running, unplaced, windowed
+from tickloom.plans.series import broadcast_if_small, numbered, placed, quantiles, running, unplaced, windowed
+from tickloom.plans.shuffling import mixed
 
 TRADING_DAYS = 252
 # Normal quantiles for the usual confidence levels, and those of the simple position figure.
@@ -146,21 +147,23 @@ def var_historical(returns: DataFrame, positions: DataFrame, confidence: float =
 
 
 def var_bootstrap(
-    portfolio: DataFrame, draws: int = 10_000, horizon: int = 10, confidence: float = 0.95, seed: int = 7, at: str = "bar", pnl: str = "pnl"
+    portfolio: DataFrame, draws: int = 10_000, horizon: int = 10, confidence: float = 0.95, seed: int = 7, at: str = "bar", pnl: str = "pnl",
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """VaR and expected shortfall from sums of ``horizon`` days drawn with replacement.
 
-    ``portfolio`` is one row per day.  The day of a draw comes from a hash of
-    (draw, step, seed), so a recomputed task draws the same days.
+    ``portfolio`` is one row per day.  The day of a draw comes from a hash of its
+    number in whole-number arithmetic, so a recomputed task, and any engine, draws
+    the same days.
     """
     spark = portfolio.sparkSession
-    days = portfolio.select(at, pnl).withColumn("_day", F.row_number().over(Window.orderBy(at)) - 1)
+    days = numbered(portfolio.select(at, pnl), "_day", keys=(), order=(at,), rows_per_task=rows_per_task).withColumn("_day", F.col("_day") - 1)
     size = days.agg(F.count("*").alias("_days"))
     picks = (
         spark.range(draws * horizon)
-        .select((F.col("id") / horizon).cast("long").alias("draw"), (F.col("id") % horizon).alias("step"))
+        .select(F.floor(F.col("id") / horizon).alias("draw"), mixed(F.col("id"), seed).alias("_hash"))
         .crossJoin(F.broadcast(size))
-        .withColumn("_day", F.pmod(F.xxhash64("draw", "step", F.lit(seed)), F.col("_days")))
+        .withColumn("_day", F.pmod("_hash", "_days"))
     )
     sums = picks.join(broadcast_if_small(days), "_day").groupBy("draw").agg(F.sum(pnl).alias("total"))
     cut = quantiles(sums, "total", {"_cut": 1 - confidence}, keys=())
