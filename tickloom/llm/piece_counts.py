@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ CUT_AT_SPACE = (
 )
 # Normalizers that change nothing across ASCII white space.
 LOCAL_NORMALIZERS = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "Replace")
+_OTHER_SPACE = re.compile(r"[^\S ]")
 # First letter of a key: a pre-token, or a stretch of text with a special string, which the tokenizer reads whole.
 PRE, WHOLE = "p", "w"
 
@@ -78,10 +80,11 @@ class PreTokens:
         for a in range(0, len(chunks), TOGETHER):
             some = chunks[a : a + TOGETHER]
             line = " ".join(some)
-            if self.spaced and not any(s in line for s in self.special):
+            # Other white space would become a separator, or be one with it; so would an empty stretch.
+            if self.spaced and all(some) and not _OTHER_SPACE.search(line) and not any(s in line for s in self.special):
                 line = self.tokenizer.normalizer.normalize_str(line)
                 lengths = np.array([len(x) for x in line.split(" ")])
-                if len(lengths) == len(some):  # none holds white space of its own
+                if len(lengths) == len(some):
                     cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(line)
                     starts = np.cumsum(lengths + 1) - (lengths + 1)
                     at = np.searchsorted(starts, [begin for _, (begin, _) in cut], side="right") - 1
@@ -105,7 +108,9 @@ class PreTokens:
         sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
         lists = pc.ascii_split_whitespace(column) if self.spaced else pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1), pa.int32()), column)
         owners = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-        chunks = pc.list_flatten(lists).dictionary_encode()
+        chunks = pc.list_flatten(lists)
+        real = pc.greater(pc.binary_length(chunks), 0)
+        owners, chunks = owners[real.to_numpy(zero_copy_only=False)], chunks.filter(real).dictionary_encode()
         # Counted by chunk first, as a pair of chunk and document occurs more than once.
         n = max(1, len(column))
         pairs, times = np.unique(chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + owners, return_counts=True)
