@@ -1,5 +1,6 @@
 """Hot keys cut into blocks give the result of the plain plan."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import same
@@ -7,11 +8,12 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tickloom.operators import aggregates, bars, books, cleaning, eventlog, features, models, pnl, quality, risk, signals
+from tickloom.plans import gram, shuffling, sliding
 from tickloom.plans.decay import Decay, by_span, decayed
 from tickloom.plans.merging import asof_join
 from tickloom.plans.pairs import pair_moments
 from tickloom.plans.recurrence import recurrence
-from tickloom.plans.series import hot_keys, numbered, quantiles, running, windowed
+from tickloom.plans.series import hot_keys, numbered, quantiles, running, spec, windowed
 
 N = 30
 
@@ -247,3 +249,130 @@ def test_long_gap_in_bars(spark):
     )
     out = bars.ohlc(df, 60)
     assert out.count() == 1_440 * 30 + 1 and out.select("bar").distinct().count() == 1_440 * 30 + 1
+
+
+def test_sliding_equals_plain_frames():
+    """Prices of 1e5 that move by 1, runs shorter and longer than the frame."""
+    rng = np.random.default_rng(0)
+    for rows in (1, 5, 63, 1000):
+        v = 1e5 + rng.standard_normal(rows)
+        for n in (1, 2, 7, 64, 200):
+            for kind in sliding.KINDS:
+                got = sliding.sliding(v, kind, n)
+                for i in range(0, rows, max(1, rows // 40)):
+                    frame = v[i - n + 1 : i + 1]
+                    if i < n - 1 or kind == "stddev_samp" and n == 1:
+                        assert np.isnan(got[i])
+                        continue
+                    want = {
+                        "avg": frame.mean, "sum": frame.sum, "min": frame.min, "max": frame.max, "median": lambda f=frame: np.median(f),
+                        "stddev_samp": lambda f=frame: (f - 1e5).std(ddof=1), "stddev_pop": lambda f=frame: (f - 1e5).std(),
+                    }[kind]()
+                    assert got[i] == pytest.approx(want, rel=1e-12, abs=1e-9)
+
+
+def test_wide_frames_equal_windows(spark, hot_ticks, monkeypatch):
+    """Nulls, several keys in a batch and one key over several batches and blocks."""
+    t = hot_ticks.withColumn("price", F.when(F.col("seq") % 97 == 0, None).otherwise(F.col("price")))
+    stats = ("mean", "std", "min", "max", "median")
+    monkeypatch.setattr(features, "WIDE", 10**9)
+    want = features.rolling_statistics(t, "price", 30, stats[:4])
+    w = spec(("symbol",), ("ts", "seq"))
+    frame = w.rowsBetween(-29, 0)
+    want = want.withColumn("price_median_30", F.when(F.count("price").over(frame) >= 30, F.percentile("price", F.lit(0.5)).over(frame)))
+    monkeypatch.setattr(features, "WIDE", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        for rows_per_task in (None, 50):
+            same(features.rolling_statistics(t, "price", 30, stats, rows_per_task=rows_per_task), want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_combined_signals_equal_brute_force(spark):
+    """Bursts, ties of time, cells that a signal reaches into, signals too weak to count, nulls."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for symbol, n, span in (("a", 300, 20.0), ("b", 60, 900.0), ("c", 1, 1.0), (None, 5, 2.0)):
+        for k in range(n):
+            rows.append((symbol, round(float(rng.uniform(0, span)), 1), rng.choice(["momentum", "order_flow", "other"]).item(), float(rng.uniform(-1, 1)), float(rng.uniform(0, 1))))
+    rows += [("a", 1.0, "momentum", None, 0.5), ("a", 1.0, "momentum", 0.5, None), ("d", 3.0, "momentum", 0.1, 0.9), ("d", 4.0, "momentum", 0.9, 0.05)]
+    df = spark.createDataFrame(rows, "symbol string, s double, kind string, strength double, confidence double").withColumn("ts", F.timestamp_micros(F.round(F.col("s") * 1e6).cast("long"))).drop("s")
+    weights = dict(signals.KIND_WEIGHTS)
+    for seconds, decay, cell in ((5.0, 0.95, 7.0), (3.0, 1.0, 3600.0), (400.0, 0.9, 50.0)):
+        want = {}
+        for symbol, s, *_ in rows:
+            live = [(st * decay ** (s - t), c * decay ** (s - t), weights.get(kind, 0.1)) for sy, t, kind, st, c in rows if sy == symbol and st is not None and c is not None and 0 <= s - t < seconds - 1e-9]
+            live = [x for x in live if abs(x[0]) > 0.1 and x[1] > 0.1]
+            if live:
+                total = sum(w * c for _, c, w in live)
+                want[symbol, round(s * 1e6)] = (len(live), total, sum(st * c * w for st, c, w in live) / total, max(c for _, c, _ in live) * min(1, total / 0.5))
+        got = signals.combine(df, seconds=seconds, decay=decay, cell_seconds=cell)
+        found = {(r["symbol"], r["us"]): (r["components"], r["total_weight"], r["combined"], r["combined_confidence"]) for r in got.withColumn("us", F.unix_micros("ts")).collect()}
+        assert found.keys() == want.keys()
+        for k, v in want.items():
+            assert found[k] == pytest.approx(v, rel=1e-9)
+
+
+def test_a_burst_of_signals(spark):
+    """Ten thousand signals of one symbol in one second."""
+    df = spark.range(10_000).select(F.lit("a").alias("symbol"), F.timestamp_micros(F.col("id") * 100).alias("ts"), F.lit("momentum").alias("kind"), F.lit(0.5).alias("strength"), F.lit(0.5).alias("confidence"))
+    last = signals.combine(df, decay=1.0).orderBy(F.desc("ts")).first()
+    assert last["components"] == 10_000 and last["combined"] == pytest.approx(0.5) and last["total_weight"] == pytest.approx(1250.0)
+
+
+def test_performance_of_signals(spark):
+    df = spark.createDataFrame([("a", 0.5, 0.4, True), ("a", -0.1, 0.2, None), ("b", 1.0, 1.0, False)], "kind string, strength double, confidence double, acted boolean")
+    got = {r["kind"]: tuple(r)[1:] for r in signals.performance(df, F.col("acted")).collect()}
+    assert got["a"] == pytest.approx((2, 0.2, 0.3, 0.3, 0.5)) and got["b"] == pytest.approx((1, 1.0, 1.0, 1.0, 0.0))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_permutations_are_one_to_one(spark, n):
+    moved = spark.range(n).select(shuffling.permuted_place(F.col("id"), F.lit(n), F.lit(5)).alias("to"), F.col("id"))
+    places = [r["to"] for r in moved.orderBy("id").collect()]
+    assert sorted(places) == list(range(n))
+    if n == 1000:
+        assert places != list(range(n)) and abs(np.corrcoef(places, np.arange(n))[0, 1]) < 0.1
+        other = [r["to"] for r in spark.range(n).orderBy("id").select(shuffling.permuted_place(F.col("id"), F.lit(n), F.lit(6)).alias("to")).collect()]
+        assert places != other
+
+
+def test_column_moments_equal_numpy(spark):
+    """High levels with small moves, a null, many columns."""
+    rng = np.random.default_rng(2)
+    x = 1e6 + rng.standard_normal((700, 30)) @ rng.standard_normal((30, 30))
+    rows = [tuple(map(float, r)) for r in x] + [(None,) * 30]
+    df = spark.createDataFrame(rows, ", ".join(f"x{i} double" for i in range(30))).repartition(6)
+    n, mean, covariance = gram.column_moments(df, df.columns)
+    assert n == 700 and mean == pytest.approx(x.mean(axis=0), rel=1e-13) and np.abs(covariance - np.cov(x.T)).max() < 1e-7
+    assert gram.column_moments(df.limit(0), df.columns)[0] == 0
+
+
+def test_robust_distance_finds_what_a_plain_one_hides(spark):
+    """A cluster of a third of the rows that pulls the plain covariance towards itself."""
+    rng = np.random.default_rng(8)
+    good = rng.standard_normal((400, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.3], [0, 0, 1]])
+    bad = rng.standard_normal((160, 3)) * 0.2 + np.array([9.0, -9.0, 9.0])
+    rows = [(i, *map(float, r)) for i, r in enumerate(np.vstack([good, bad]))] + [(9999, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    share = 160 / 560
+    flagged = lambda d: {r["id"] for r in d.where("is_anomaly").collect()}
+    robust, plain = models.robust_distance(df, ["a", "b", "c"], share), models.anomaly_distance(df, ["a", "b", "c"], share)
+    planted = set(range(400, 560))
+    assert len(flagged(robust) & planted) >= 158 and len(flagged(plain) & planted) < 100
+    # Concentration steps by hand.
+    x = np.vstack([good, bad])
+    centre = np.median(x, axis=0)
+    scale = 1.4826 * np.median(np.abs(x - centre), axis=0)
+    d = (((x - centre) / scale) ** 2).sum(axis=1)
+    for _ in range(20):
+        near = x[d <= np.quantile(d, 0.5)]
+        mean, inverse = near.mean(axis=0), np.linalg.inv(np.cov(near.T))
+        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+    d *= 3 * (1 - 2 / 27) ** 3 / np.median(d)
+    got = {r["id"]: r["distance"] for r in robust.collect()}
+    assert got.pop(9999) is None
+    assert np.array([got[i] for i in range(560)]) == pytest.approx(d, rel=1e-6)
+    none = models.robust_distance(df.limit(0), ["a", "b"])
+    assert none.count() == 0 and set(none.columns) >= {"distance", "is_anomaly"}

@@ -86,3 +86,14 @@ def test_topics(spark):
     assert len(names) == 13 == len(set(names))
     got = spark.range(1).select(topics.topic_of("market", F.lit("other")).alias("m"), topics.topic_of("risk", F.lit("x")).alias("r")).first()
     assert (got.m, got.r) == ("market-data-level1", None)
+
+
+def test_price_is_inferred_only_on_request(spark):
+    """An account number is no price; what the row index reads is no price either."""
+    df = spark.createDataFrame([(1, 70_001, 3), (2, 70_002, 4)], "row_no long, account_id long, retries int")
+    plain = files.resolve_columns(df, row_index=F.col("row_no"))
+    assert plain.select("price").distinct().collect()[0][0] == files.DEFAULT_PRICE and {"row_no", "account_id", "retries"} <= set(plain.columns)
+    with pytest.raises(ValueError, match="more than one"):
+        files.resolve_columns(df, row_index=F.col("row_no"), infer=True)
+    found = files.resolve_columns(df.drop("retries"), row_index=F.col("row_no"), infer=True)
+    assert [r[0] for r in found.select("price").collect()] == [70_001.0, 70_002.0]

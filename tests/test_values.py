@@ -192,12 +192,18 @@ def test_bootstrap_equals_brute_force(spark):
     pnls = [1.0, -2.0, 3.0, -4.0, 0.5]
     days = spark.createDataFrame([Row(bar=i, pnl=p) for i, p in enumerate(pnls)])
     got = one(risk.var_bootstrap(days, draws=200, horizon=3, seed=5))
-    picked = spark.range(600).select(
-        F.floor(F.col("id") / 3).alias("draw"), (F.col("id") % 3).alias("step")
-    ).withColumn("d", F.pmod(F.xxhash64(F.col("draw").cast("long"), F.col("step"), F.lit(5)), F.lit(5).cast("long"))).collect()
-    sums = {}
-    for r in picked:
-        sums[r.draw] = sums.get(r.draw, 0.0) + pnls[r.d]
+
+    def mixed(x, key, p=2_147_483_647):
+        z = (x % p * 48_271 + key) % p
+        for s in (16_807, 39_373, 69_621):
+            z = (z * z + z * s + key) % p
+        return z
+
+    sums, used = {}, [0] * 5
+    for i in range(600):
+        used[mixed(i, 5) % 5] += 1
+        sums[i // 3] = sums.get(i // 3, 0.0) + pnls[mixed(i, 5) % 5]
+    assert min(used) > 80
     ordered = sorted(sums.values())
     at = 0.05 * 199
     cut = ordered[int(at)] + (at - int(at)) * (ordered[int(at) + 1] - ordered[int(at)])

@@ -233,16 +233,32 @@ def _(spark, sf_dir):
     return pair_moments(day_bars(spark, sf_dir))
 
 
-_FIFO = f"""{TRADES}, s AS (SELECT *, sum(CASE WHEN side = 'bid' THEN volume ELSE 0 END) OVER w AS cb, sum(CASE WHEN side = 'ask' THEN volume ELSE 0 END) OVER w AS cs,
+_LOTS = f"""{TRADES}, s AS (SELECT *, sum(CASE WHEN side = 'bid' THEN volume ELSE 0 END) OVER w AS cb, sum(CASE WHEN side = 'ask' THEN volume ELSE 0 END) OVER w AS cs,
   sum(CASE WHEN side = 'bid' THEN volume ELSE -volume END) OVER w AS pos FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY {', '.join(TRADE_ORDER)} ROWS UNBOUNDED PRECEDING)),
   m AS (SELECT *, cs + least(0, min(pos) OVER (PARTITION BY symbol ORDER BY {', '.join(TRADE_ORDER)} ROWS UNBOUNDED PRECEDING)) AS matched FROM s),
-  sl AS (SELECT *, coalesce(lag(matched) OVER (PARTITION BY symbol ORDER BY {', '.join(TRADE_ORDER)}), 0) AS before FROM m),
+  sl AS (SELECT *, coalesce(lag(matched) OVER (PARTITION BY symbol ORDER BY {', '.join(TRADE_ORDER)}), 0) AS before FROM m)"""
+_FIFO = f"""{_LOTS},
   ov AS (SELECT k.symbol, k.ts AS sell_ts, k.order_id AS sell_order, k.line_no AS sell_line, k.volume AS sell_volume, k.price AS sell_price, b.order_id AS buy_order, b.price AS buy_price,
     least(k.matched, b.cb) - greatest(k.before, b.cb - b.volume) AS overlap FROM sl k JOIN s b ON b.symbol = k.symbol AND b.side = 'bid' AND b.cb > k.before AND b.cb - b.volume < k.matched
     WHERE k.side = 'ask' AND k.matched > k.before)"""
 
 
-@query("interval_overlap_join", f"WITH {_FIFO} SELECT symbol, sell_order, buy_order, round(overlap, 4) AS overlap, round(sell_price, 4) AS sell_price, round(buy_price, 4) AS buy_price FROM ov WHERE overlap > 0", digits=4)
+# The axis of matched quantity cut at all ends: each piece lies in one sell and one buy, so no pairs are compared.
+_OVERLAPS = f"""{_LOTS}
+  , se AS (SELECT symbol, before AS lo, matched AS hi, order_id, price FROM sl WHERE side = 'ask' AND matched > before),
+  bu AS (SELECT symbol, cb - volume AS lo, cb AS hi, order_id, price FROM s WHERE side = 'bid' AND volume > 0),
+  pt AS (SELECT symbol, lo AS p FROM se UNION SELECT symbol, hi FROM se UNION SELECT symbol, lo FROM bu UNION SELECT symbol, hi FROM bu),
+  iv AS (SELECT symbol, p, lead(p) OVER (PARTITION BY symbol ORDER BY p) AS q FROM pt),
+  i1 AS (SELECT iv.symbol, p, q, se.lo AS sell_lo, se.order_id AS sell_order, se.price AS sell_price FROM iv ASOF JOIN se ON iv.symbol = se.symbol AND iv.p >= se.lo WHERE iv.q <= se.hi),
+  i2 AS (SELECT i1.*, bu.lo AS buy_lo, bu.hi AS buy_hi, bu.order_id AS buy_order, bu.price AS buy_price FROM i1 ASOF JOIN bu ON i1.symbol = bu.symbol AND i1.p >= bu.lo)"""
+
+
+@query(
+    "interval_overlap_join",
+    f"""WITH {_OVERLAPS} SELECT symbol, sell_order, buy_order, round(sum(q - p), 4) AS overlap, round(max(sell_price), 4) AS sell_price, round(max(buy_price), 4) AS buy_price
+    FROM i2 WHERE q <= buy_hi GROUP BY symbol, sell_lo, buy_lo, sell_order, buy_order""",
+    digits=4,
+)
 def _(spark, sf_dir):
     from tickloom.operators.pnl import fifo_lots
 

@@ -62,16 +62,17 @@ def _(spark, sf_dir):
     f"WITH {TICKS} " + rounded("symbol ts", "price volume", "(SELECT upper(event_type) AS symbol, ts, price, volume FROM ticks)"),
 )
 def _(spark, sf_dir):
-    """Spark names its own files, so the type is the folder name here."""
-    path = files.derived_path(spark, "dir")
+    """A folder of files named after their type; Spark's own names are changed once they are written."""
+    path, raw = files.derived_path(spark, "dir"), files.derived_path(spark, "dir-raw")
     src = ticks(spark, sf_dir).select(
         "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
         F.col("price").cast("string").alias("price"), F.col("volume").cast("string").alias("volume"),
     )
-    kinds = ("click", "error", "purchase", "signup", "view")
-    for kind in kinds:
-        src.filter(F.col("event_type") == kind).drop("event_type").write.option("header", True).csv(f"{path}/{kind}")
-    df = files.dir_scan(spark, path, ("timestamp", "price", "volume"), name_from="folder")
+    # One scan for all types.
+    src.write.partitionBy("event_type").option("header", True).csv(raw)
+    for kind in ("click", "error", "purchase", "signup", "view"):
+        files.name_parts(spark, f"{raw}/event_type={kind}", path, kind)
+    df = files.dir_scan(spark, path, ("timestamp", "price", "volume"))
     return files.resolve_columns(df).select("symbol", F.col("timestamp").alias("ts"), "price", "volume")
 
 

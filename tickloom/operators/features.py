@@ -148,15 +148,21 @@ def compute(df: DataFrame, features: Iterable[str | Feature], **series) -> DataF
         if decays:
             d = add_decays(d, w, list(decays.values()))
         doubles = {f.name for f in d.schema.fields if isinstance(f.dataType, T.DoubleType)}
-        token = _WIDE.set((doubles, {}))
-        try:
-            built = {f.name: f.build(w) for f in wanted}
-            wide = _WIDE.get()[1]
-        finally:
-            _WIDE.reset(token)
+        narrow, built, wide = {}, {}, {}
+        for f in wanted:
+            own: dict[str, tuple[str, str, int]] = {}
+            token = _WIDE.set((doubles, own))
+            try:
+                column = f.build(w)
+            finally:
+                _WIDE.reset(token)
+            (built if own else narrow)[f.name] = column
+            wide |= own
+        # What needs the window comes first: the walk over wide frames keeps its rows, not its partitioning.
+        d = d.withColumns(narrow)
         if wide:
-            d = add_sliding(d, w, wide)
-        return d.withColumns(built).drop(*first, *second, *decays, *wide)
+            d = add_sliding(d, w, wide).withColumns(built)
+        return d.drop(*first, *second, *decays, *wide)
 
     out = windowed(df, add, back=back, ahead=ahead, **series)
     return out.withColumns({n: F.lit(None).cast("double") for n in unknown}) if unknown else out

@@ -376,18 +376,21 @@ def best_route(orders: DataFrame, venues: DataFrame, max_slippage: float = 0.01,
     orders: order_key, symbol, volume, primary_price; venues: symbol, venue, venue_price, liquidity (a
     small dimension per symbol, so the candidate rows are orders x pools of that symbol).
     """
-    v = c("volume")
-    main = orders.select(
-        "order_key", F.lit("primary").alias("venue"), c(primary_price).alias("expected_price"),
-        (F.lit(0.001) + F.least(F.lit(0.01), v / 100_000)).alias("slippage"), F.lit(0.0).alias("fee"),
-    )
-    slip = F.when(c("liquidity") > 0, F.least(F.lit(0.5), v * c(primary_price) / (2 * c("liquidity")))).otherwise(F.lit(1.0))
-    pools = orders.join(broadcast_if_small(venues), "symbol").select(
-        "order_key", "venue", c("venue_price").alias("expected_price"), slip.alias("slippage"), F.lit(gas).alias("fee")
-    ).filter(c("slippage") <= max_slippage)
-    cost = c("expected_price") * (1 + c("slippage")) + c("fee")
-    w = Window.partitionBy("order_key").orderBy("cost", "venue")
-    return main.unionByName(pools).withColumn("cost", cost).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    v, pp = c("volume"), c(primary_price)
+
+    def route(venue: Column, price: Column, slippage: Column, fee: float) -> Column:
+        cost = price * (1 + slippage) + F.lit(fee)
+        return F.struct(
+            cost.alias("cost"), venue.alias("venue"), price.alias("expected_price"), slippage.alias("slippage"), F.lit(fee).alias("fee")
+        )
+
+    main = route(F.lit("primary"), pp, F.lit(0.001) + F.least(F.lit(0.01), v / 100_000), 0.0)
+    slip = F.when(c("liquidity") > 0, F.least(F.lit(0.5), v * pp / (2 * c("liquidity")))).otherwise(F.lit(1.0))
+    pool = F.when(c("venue").isNotNull() & (slip <= max_slippage), route(c("venue"), c("venue_price"), slip, gas))
+    # One pass: the cheaper of the two for each pool, then the cheapest of the order, tasks first.
+    met = orders.join(broadcast_if_small(venues), "symbol", "left")
+    best = met.groupBy("order_key").agg(F.min(F.least(main, F.coalesce(pool, main))).alias("_r"))
+    return best.select("order_key", "_r.venue", "_r.expected_price", "_r.slippage", "_r.fee", "_r.cost")
 
 
 def venue_fair_value(venues: DataFrame, primary: DataFrame, share: float = 0.7) -> DataFrame:

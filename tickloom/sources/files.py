@@ -171,6 +171,18 @@ def dir_scan(spark: SparkSession, path: str, columns: Sequence[str], glob: str =
     return raw.select(name.alias("symbol"), *[S.null_tokens(c).alias(c) for c in columns])
 
 
+def name_parts(spark: SparkSession, folder: str, target: str, stem: str) -> None:
+    """Move the data files of ``folder`` to ``target/<stem>_<number>.<extension>``, as other tools name their exports."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    source = path(folder)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(target))
+    parts = sorted(s.getPath().getName() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
+    for k, name in enumerate(parts):
+        if not fs.rename(path(folder, name), path(target, f"{stem}_{k:05d}.{name.rpartition('.')[2]}")):
+            raise OSError(f"could not move {folder}/{name}")
+
+
 def _fitted(field: T.StructField):
     """Text that is no number becomes null; a whole number too large for its column is an error, not a null."""
     column = F.col(field.name)
