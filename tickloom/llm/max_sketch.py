@@ -74,12 +74,12 @@ def _index_slice(group: pa.Table, n_docs: int, n_terms: int, width: int) -> pa.R
     own, rows = group.filter(is_doc), group.filter(pc.invert(is_doc))
     _, place = listed(own.column("docs"))
     ids, sizes = np.empty(len(place), dtype=object), np.zeros(len(place), dtype=np.int64)
-    ids[place], sizes[place] = own.column("doc_id").to_pylist(), own.column("size").to_numpy()
+    ids[place], sizes[place] = own.column("a").to_pylist(), own.column("b").to_numpy()
     m = 10 + (90 * sizes * n_docs) // max(1, n_terms)
     rows = rows.sort_by("word")
     terms = rows.column("word").combine_chunks().dictionary_encode()
     row, doc = listed(rows.column("docs"))
-    weight, tf, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("weight", "tf", "at"))
+    weight, tf, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "at"))
     order = np.argsort(doc, kind="stable")
     doc, row = doc[order], row[order]
     # Levels are rounded up, so that a bound stays one.
@@ -114,11 +114,11 @@ def index(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     n_docs, n_terms = counts["docs"], counts["terms"]
     rarity = F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1)
     words = words_of(held).select("word", "eras", F.floor(1000 * F.log(rarity)).alias("weight"), coordinate("word", width).alias("at"))
-    none = F.lit(None)
+    # Of a term its weight, frequency and coordinate; of a document (no word) its doc_id and size in their place.
     parts = with_words(held, words, "weight", "at").select(
-        "slice", "word", "tf", "weight", "at", "docs", none.cast("long").alias("doc_id"), none.cast("long").alias("size")
+        "slice", "word", "docs", F.col("weight").alias("a"), F.col("tf").cast("long").alias("b"), "at"
     ).unionByName(held.where("word IS NULL").select(
-        "slice", "word", "tf", none.cast("long").alias("weight"), none.cast("int").alias("at"), "docs", "doc_id", "size"
+        "slice", "word", "docs", F.col("doc_id").alias("a"), F.col("size").alias("b"), F.lit(0).alias("at")
     ))
 
     def run(group: pa.Table) -> pa.Table:
