@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import texts
-from tickloom.llm.words import slices, split_buffers
+from tickloom.llm.words import release, slices, split_buffers
 
 # White space of Unicode, which is what \s means to the tokenizer.
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -34,8 +34,8 @@ _IS_BLANK[list(b"\t\n\x0b\x0c\r ")] = True
 # White space of more than one byte: the last three bytes of what stands before a chunk, if they are such a character.
 _WIDE = {c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))}
 MATRIX_PIECE = 512
-MATRIX_CELLS = 1 << 20
-SLICE_TEXT = 6 << 20
+MATRIX_CELLS = 1 << 18
+SLICE_TEXT = 3 << 20
 _MARKS = frozenset(".,;:!?")
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
@@ -271,6 +271,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fal
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bpe = ByteBpe.load(ranks_path, pattern)
         for batch in slices(batches, size=SLICE_TEXT):
             flat, bounds = bpe.encode(batch.column("text"))

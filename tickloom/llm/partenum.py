@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import table, texts
 from tickloom.llm.components import components
-from tickloom.llm.words import mix, slices, windows, word_hashes
+from tickloom.llm.words import mix, release, slices, windows, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -186,6 +186,7 @@ def _signer(buckets: int, words: int, percent: int):
 
 def _namer(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), words)
             # Nothing of the first word hash is in the witness, so words that share it are seen.
@@ -551,6 +552,7 @@ def _marker(words: int):
     """The set of each row that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), words)
             full = np.array([len(s) > 0 for s in sets], dtype=bool)

@@ -8,6 +8,8 @@ share a hash: some 3 of ten thousand million words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -123,6 +125,13 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, owner
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this Python worker have freed back to the system: workers are reused over stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of text (one text at least) and at most ``rows`` rows."""
     for batch in batches:
