@@ -166,7 +166,7 @@ def test_empty_levels_leave_the_state(spark, tmp_path):
 def test_one_meaning_of_deduplication(spark, tmp_path):
     """First row, then the first one beyond the horizon of the last row kept, in batch and stream; ties by the order columns."""
     rows = [("x", s, i) for i, s in enumerate([0, 50, 100, 100, 161, 220, 222])] + [("y", 10, 20), ("y", 10, 19), (None, 5, 30), (None, 6, 31), ("z", None, 40)]
-    df = spark.createDataFrame(rows, "k string, s long, seq long").select("k", F.timestamp_seconds("s").alias("ts"), "seq")
+    df = spark.createDataFrame(rows, "k string, s long, seq long").select("k", F.timestamp_seconds(F.col("s") + 1000).alias("ts"), "seq")
     batch = monitor.dedup(df, ["k"], horizon="60 seconds", order=["seq"])
     assert sorted(r.seq for r in batch.collect()) == [0, 2, 4, 6, 19, 30]
     for cuts in (1, 3):

@@ -6,8 +6,9 @@ row can come before a released one any more: the engine drops later ones and
 counts them.  So the output depends on the rows and the lateness alone, not on
 how files fall into batches.  A key without due rows is not touched.
 
-The state lies in RocksDB.  One key is one task's work; what is held of it is
-its rows inside the lateness.
+A stream's watermark begins at 1970, so rows up to then are late.  The state lies
+in RocksDB.  One key is one task's work; what is held of it is its rows inside
+the lateness.
 """
 
 from __future__ import annotations
