@@ -377,20 +377,18 @@ def best_route(orders: DataFrame, venues: DataFrame, max_slippage: float = 0.01,
     small dimension per symbol, so the candidate rows are orders x pools of that symbol).
     """
     v, pp = c("volume"), c(primary_price)
-
-    def route(venue: Column, price: Column, slippage: Column, fee: float) -> Column:
-        cost = price * (1 + slippage) + F.lit(fee)
-        return F.struct(
-            cost.alias("cost"), venue.alias("venue"), price.alias("expected_price"), slippage.alias("slippage"), F.lit(fee).alias("fee")
-        )
-
-    main = route(F.lit("primary"), pp, F.lit(0.001) + F.least(F.lit(0.01), v / 100_000), 0.0)
     slip = F.when(c("liquidity") > 0, F.least(F.lit(0.5), v * pp / (2 * c("liquidity")))).otherwise(F.lit(1.0))
-    pool = F.when(c("venue").isNotNull() & (slip <= max_slippage), route(c("venue"), c("venue_price"), slip, gas))
-    # One pass: the cheaper of the two for each pool, then the cheapest of the order, tasks first.
-    met = orders.join(broadcast_if_small(venues), "symbol", "left")
-    best = met.groupBy("order_key").agg(F.min(F.least(main, F.coalesce(pool, main))).alias("_r"))
-    return best.select("order_key", "_r.venue", "_r.expected_price", "_r.slippage", "_r.fee", "_r.cost")
+    met = orders.join(broadcast_if_small(venues), "symbol").withColumn("slippage", slip).filter(c("slippage") <= max_slippage)
+    cost = c("venue_price") * (1 + c("slippage")) + F.lit(gas)
+    pool = F.struct(cost.alias("cost"), "venue", c("venue_price").alias("expected_price"), "slippage", F.lit(gas).alias("fee"))
+    # The cheapest pool of an order, in each task first; the primary market is a column of the order.
+    best = met.groupBy("order_key").agg(F.min(pool).alias("_pool"))
+    off = F.lit(0.001) + F.least(F.lit(0.01), v / 100_000)
+    main = F.struct(
+        (pp * (1 + off)).alias("cost"), F.lit("primary").alias("venue"), pp.alias("expected_price"), off.alias("slippage"), F.lit(0.0).alias("fee")
+    )
+    out = orders.join(best, "order_key", "left").select("order_key", F.least(main, F.coalesce("_pool", main)).alias("_r"))
+    return out.select("order_key", "_r.venue", "_r.expected_price", "_r.slippage", "_r.fee", "_r.cost")
 
 
 def venue_fair_value(venues: DataFrame, primary: DataFrame, share: float = 0.7) -> DataFrame:
