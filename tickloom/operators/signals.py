@@ -9,12 +9,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import clip, ratio, round_to_tick
 from tickloom.operators.features import Feature, compute, full, trailing
-from tickloom.plans.pairs import centred_moments, deviations, pair_stats
+from tickloom.plans.pairs import centred_moments, deviations
 from tickloom.plans.series import broadcast_if_small, time_cells, windowed
 from tickloom.plans.sweep import by_groups, live_sums
 
