@@ -2,7 +2,10 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a frame, which is written as Parquet and read again as the next one's
-``docs``.  All but the last return the columns of documents.
+``docs``.  All but the last return the columns of documents, with nulls where
+they were and whatever further columns there are; texts of any length are read
+whole, null text counts as empty, and an empty table gives an empty result.  What
+a stage does with ties and repeated rows is said in the function it calls.
 """
 
 from __future__ import annotations

@@ -69,7 +69,13 @@ def resolve(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Of equal texts the one with the most code points stays, then the smallest
+    doc_id, null last; of rows that agree in doc_id and text one.  Null text equals
+    empty text and text of white space alone; texts of any length are compared
+    whole; an empty table gives an empty result.
+    """
     fate = table(resolve(docs, fan_in), "fate")
     plain = F.translate(F.coalesce(docs["text"], F.lit("")), BLANKS, "")
     keys = fate.groupBy(F.col("doc_id").alias("__d"), F.col("n_chars").alias("__n"), F.col("text_sha256").alias("__t")).agg(

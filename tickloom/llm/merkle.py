@@ -119,8 +119,8 @@ def edit_report(docs: DataFrame, slices: int | None = None) -> DataFrame:
     ones of the next document in descending doc_id, after the last the first.
     Null text is empty.  Rows without doc_id come after all others.  Rows that
     repeat in doc_id and text count as one document in that order, and each gets
-    its result.  One single document is its own next.  Columns other than
-    doc_id and text are not read.
+    its result.  One single document is its own next.  An empty table gives
+    an empty result.  Columns other than doc_id and text are not read.
     """
     links, repeats = neighbours(docs, slices)
     links = table(

@@ -177,8 +177,11 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, whole, all columns kept.
 
     taken / size is rounded up or down by a seeded draw, so that sums keep to the
-    targets: 0 to ``limit`` times.  Documents without words stay once, as the mix
-    has nothing to decide about them.
+    targets in the mean: 0 to ``limit`` times.  Documents without words, null text
+    too, stay once, as the mix has nothing to decide about them.  Rows that agree
+    in doc_id and size, null doc_id too, are taken as often as the luckier of
+    them.  A null source is one of its own; an empty table gives an empty result;
+    columns may have any names.
     """
     draw = F.pmod(F.xxhash64(F.lit(seed + 1), F.coalesce("doc_id", F.lit(-1)), "size"), F.lit(1_000_003)) / 1_000_003
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(1)

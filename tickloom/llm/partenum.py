@@ -517,7 +517,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """Of each component exactly one row of ``docs``, all columns kept: the one with the smallest doc_id (null last).
 
     Rows that agree in doc_id are ordered by a hash of their text, and of rows that agree in both
-    one stays.  Rows without words stay.
+    one stays.  Rows without words, null text too, stay.  Texts of any length are
+    compared whole; an empty table gives an empty result; columns may have any names.
     """
     plain = texts(docs)
     _, _, found = _joined(plain, words, percent, RECORDS_PER_BUCKET)

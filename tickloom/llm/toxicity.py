@@ -176,7 +176,13 @@ def choose_features(mine: DataFrame, n: int = FEATURES, least: int = LEAST_DOCUM
 
 
 def train(docs: DataFrame, labels: DataFrame, threshold_sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN), folds: int = FOLDS, seed: int = SEED) -> Chain:
-    """Fit the chain on a bounded sample; without both classes every probability is 0 (or 1 if all are toxic)."""
+    """Fit the chain on a bounded sample; without both classes every probability is 0 (or 1 if all are toxic).
+
+    Labels with a null doc_id or a null flag are left out, and so are documents
+    without label; null text is empty; a doc_id that repeats counts as often as it
+    occurs.  Empty tables give the chain without classes.  Of ``docs`` only doc_id
+    and text are read, of ``labels`` doc_id and toxic.
+    """
     mine, counts = sample(docs, labels, *threshold_sample, seed=seed)
     names = [name for name, _ in CATEGORIES]
     features, markers = choose_features(mine)
@@ -243,7 +249,13 @@ def scored(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataF
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that do not count as toxic, with all their columns."""
+    """The rows of ``docs`` that do not count as toxic, with all their columns, whatever their names.
+
+    Null and empty text is scored as text without words; texts of any length are
+    read whole.  Rows that repeat are judged alike; a null doc_id is judged by its
+    text; nulls in other columns stay; an empty table gives an empty result.
+    Without labelled rows of both classes all rows are judged as ``train`` says.
+    """
     chain = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

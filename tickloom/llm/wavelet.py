@@ -371,7 +371,11 @@ def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFram
 
 
 def occurrences(spark: SparkSession, folder: str, token: int) -> DataFrame:
-    """(shard, place) of every occurrence of a token, by select on each file alone."""
+    """(shard, place) of every occurrence of a token, by select on each file alone.
+
+    A token that no file holds, an empty folder, and documents without tokens but
+    the end id give no rows of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
