@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import lower_ascii, table
 from tickloom.llm.postings import listed, postings, with_words, words_of
-from tickloom.llm.words import split_buffers
+from tickloom.llm.words import release, split_buffers
 
 TOP = 10
 WIDTH = 4096
@@ -122,6 +122,7 @@ def index(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ))
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         return pa.Table.from_batches([_index_slice(group, n_docs, n_terms, width)])
 
     return parts.groupBy("slice").applyInArrow(run, INDEX)
@@ -233,6 +234,7 @@ def _finder(asked: list[tuple], width: int, top: int, first: bool) -> Callable[[
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 rows = list(_search_slice(row, words.dictionary, queries, width, top, first))
+                release()
                 yield pa.RecordBatch.from_pydict({
                     "query": pa.array([q for q, *_ in rows], pa.int32()), "doc_id": pa.array([d for _, d, *_ in rows], pa.int64()),
                     "score": pa.array([s for *_, s, _ in rows], pa.int64()), "rescored": pa.array([x for *_, x in rows], pa.int64()),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import table, texts
-from tickloom.llm.words import slices
+from tickloom.llm.words import release, slices
 
 SLICE_TEXT = 16 << 20
 SLICE_DOCS = 4096
@@ -98,6 +98,7 @@ def postings(docs: DataFrame, split: Callable[[], Split], name: str) -> DataFram
                 full["slice"], full["era"] = pa.array(np.full(rows, part << 32 | seq)), pa.array(np.full(rows, part // ERA_TASKS, np.int32))
                 yield pa.RecordBatch.from_pydict({c: full[c] for c in ("slice", "era", "word", "tf", "docs", "doc_id", "size")})
             seq += 1
+            release()
 
     return table(texts(docs).mapInArrow(run, SCHEMA), name, "zstd")
 
