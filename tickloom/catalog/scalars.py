@@ -144,7 +144,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     def add(df, w):
         prev = F.lag("price").over(w)
-        return df.withColumns({"simple": F.col("price") / prev - 1, "log_ret": F.log(F.col("price") / prev)})
+        return df.withColumns({"simple": S.quotient("price", prev) - 1, "log_ret": S.log_quotient("price", prev)})
 
     return windowed(ticks(spark, sf_dir), add, back=1).select("symbol", "seq", "simple", "log_ret")
 
