@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import quotient
 from tickloom.plans.series import broadcast_if_small, quantiles, running, windowed
 from tickloom.plans.thinning import thinned
 
+
 def keep_last(df: DataFrame, keys: Sequence[str] = ("symbol", "ts"), tie: Sequence[str] = ("seq",)) -> DataFrame:
     """One row per key, the last in ``tie`` order.
 
@@ -105,12 +107,15 @@ def median_filter(df: DataFrame, price: str = "price", sigmas: float = 2.0, **se
 def winsorise_returns(
     df: DataFrame, price: str = "price", low: float = 0.05, high: float = 0.95, keys: Sequence[str] = ("symbol",), **series
 ) -> DataFrame:
-    """Rebuild a price whose return is outside the quantiles from the previous raw price."""
+    """Rebuild a price whose return is outside the quantiles from the previous raw price.
+
+    The return after a price of zero is infinite, and so outside them.
+    """
 
     def add(d, w):
         return d.withColumn("_prev", F.lag(price).over(w))
 
-    prev = windowed(df, add, back=1, keys=keys, **series).withColumn("_ret", F.col(price) / F.col("_prev") - 1)
+    prev = windowed(df, add, back=1, keys=keys, **series).withColumn("_ret", quotient(price, "_prev") - 1)
     bounds = quantiles(prev, "_ret", {"_q_lo": low, "_q_hi": high}, keys=keys, rows_per_task=series.get("rows_per_task"))
     r = F.col("_ret")
     fixed = (
