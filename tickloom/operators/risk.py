@@ -196,12 +196,12 @@ def stress_test(positions: DataFrame, scenarios: DataFrame, on: str = "symbol")
 def position_sizing(
     signals: DataFrame, positions: DataFrame, capital: float, max_share: float = 0.1, max_value: float = 1e6
 ) -> DataFrame:
-    """Signed whole size from strength, volatility (factor 0.1..2) and portfolio heat (one row)."""
+    """Signed whole size from strength, volatility (factor 0.1..2) and portfolio heat (one row); null at a price of zero."""
     heat = positions.agg((F.sum(F.abs("market_value")) / F.lit(capital)).alias("_heat"))
     vol = F.least(F.lit(2.0), F.greatest(F.lit(0.1), 1 / F.greatest(F.lit(0.01), F.col("volatility") * 10)))
     cool = F.greatest(F.lit(0.1), 1 - F.coalesce("_heat", F.lit(0.0)))
     value = F.lit(capital) * F.lit(max_share) * F.abs("strength") * vol * cool
-    size = F.least(F.floor(value / F.col("price")), F.floor(F.lit(max_value) / F.col("price")))
+    size = F.least(F.floor(ratio(value, "price")), F.floor(ratio(F.lit(max_value), "price")))
     return signals.crossJoin(F.broadcast(heat)).withColumn("size", F.when(F.col("strength") < 0, -size).otherwise(size)).drop("_heat")
 
 
