@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.scalars import ratio, safe_divide
+from tickloom.functions.scalars import log_quotient, ratio, safe_divide
 from tickloom.plans.decay import Decay, add_decays, by_span
 from tickloom.plans.series import placed, running, windowed
 from tickloom.plans.sliding import add_sliding
@@ -418,9 +418,9 @@ def lag_features(df: DataFrame, target: str = "price", horizon: int = 5, **serie
 
 
 def forward_label(df: DataFrame, horizon: int = 5, **series) -> DataFrame:
-    """Future price, size of the log return and its 0/1 direction; the tail without a future is removed."""
+    """Future price, size of the log return (infinite from or to zero) and its 0/1 direction; the tail without a future is removed."""
     out = compute(df, [Feature("target", lambda w: F.lead("price", horizon).over(w), ahead=horizon)], **series)
-    r = F.log(ratio("target", "price"))
+    r = log_quotient("target", "price")
     return out.dropna(subset=["target"]).withColumns({"magnitude": F.abs(r), "direction": (r > 0).cast("int")})
 
 

@@ -109,6 +109,11 @@ def period_summary(tagged: DataFrame, value: str, keys: Sequence[str] = ("symbol
     )
 
 
+def _with_label(df: DataFrame, label: str) -> DataFrame:
+    """Rows whose label is a finite number; without one a row can be neither fitted nor scored."""
+    return df.filter(F.abs(F.col(label).cast("double")) < F.lit(float("inf")))
+
+
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
@@ -118,13 +123,13 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def fit_direction(train: DataFrame, features: Sequence[str], label: str = "direction", trees: int = 100, depth: int = 10, seed: int = 42):
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(_assembled(train, features))
+    return RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(_assembled(_with_label(train, label), features))
 
 
 def fit_magnitude(train: DataFrame, features: Sequence[str], label: str = "magnitude", rounds: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42):
     from pyspark.ml.regression import GBTRegressor
 
-    return GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(_assembled(train, features))
+    return GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(_assembled(_with_label(train, label), features))
 
 
 def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -135,7 +140,7 @@ def fold_scores(tagged: DataFrame, fit, features: Sequence[str], label: str, cla
     """Accuracy or mean squared error per fold; the loop is over a handful of model fits."""
     out = None
     for k in range(folds):
-        fold = tagged.filter(F.col("fold") == k)
+        fold = _with_label(tagged.filter(F.col("fold") == k), label)
         model = fit(fold.filter("part = 'train'"), features)
         seen = predict(model, fold.filter("part = 'test'"), features)
         right = (F.col("prediction") == F.col(label)).cast("double")
