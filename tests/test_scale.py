@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickloom.plans import pairs
+from tickloom.plans import pairs, series
+from tickloom.streaming import carry, monitor, ordered
 
 
 def days(spark, names, times):
@@ -37,3 +38,37 @@ def test_pairs_in_bands_and_slices(spark, monkeypatch):
         assert got.keys() == want.keys()
         for k, r in got.items():
             assert np.allclose(tuple(r)[2:], tuple(want[k])[2:])
+
+
+def test_keys_of_a_bucket_stay_apart(spark, tmp_path, monkeypatch):
+    """All signatures in one bucket of state give the rows of the batch, and idle ones leave it; null and NaN are keys."""
+    monkeypatch.setattr(ordered, "BUCKETS", 1)
+    rows = [(k, 1000 + s, i, v) for i, (k, s, v) in enumerate([("x", 0, 1.0), ("y", 1, 1.0), ("x", 30, 1.0), (None, 5, float("nan")), (None, 9, float("nan")), ("x", 61, 1.0), ("y", 40, 2.0), ("y", 500, 1.0)])]
+    df = spark.createDataFrame(rows, "k string, s long, seq long, v double").select("k", F.timestamp_seconds("s").alias("ts"), "seq", "v")
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    for part in (df.filter("seq < 5"), df.filter("seq >= 5"), None):
+        if part is None:
+            ordered.closing(df, "ts", src)
+        else:
+            part.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).parquet(src)
+        ordered.start(spark, lambda: carry.run_append(monitor.dedup(stream, ["k", "v"], horizon="60 seconds", lateness="1 hour"), out, cp)).awaitTermination()  # noqa: B023
+        timers = spark.read.format("statestore").option("stateVarName", "held").option("flattenCollectionTypes", "false").load(cp)
+        assert timers.count() <= 1
+    batch = monitor.dedup(df, ["k", "v"], horizon="60 seconds")
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == sorted(r.seq for r in batch.collect()) == [0, 1, 3, 5, 6, 7]
+    assert spark.read.format("statestore").option("stateVarName", "last").load(cp).count() == 0
+
+
+def test_quantiles_of_a_whole_table_move_few_rows(spark, monkeypatch):
+    """Of a large table without keys only values near the quantile are sorted, not all of them."""
+    def never(*_, **__):
+        raise AssertionError("all rows were placed")
+
+    monkeypatch.setattr(series, "place", never)
+    monkeypatch.setattr(series, "MIN_ROW_BYTES", 0)
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=5000), np.repeat([1.0, 2.0, 5.0], [2000, 2000, 1000]), np.arange(3001.0)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        got = series.quantiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.999, "d": 0.0, "e": 1.0}, keys=(), rows_per_task=100).first()
+        assert np.allclose(tuple(got), np.quantile(values, [0.1, 0.5, 0.999, 0.0, 1.0]))

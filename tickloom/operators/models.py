@@ -14,6 +14,7 @@ from tickloom.functions.scalars import ratio
 from tickloom.plans.gram import column_moments, distance
 from tickloom.plans.series import broadcast_if_small, numbered, placed, quantiles, running, unplaced, windowed
 from tickloom.plans.shuffling import permuted_place
+from tickloom.session import durable
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -266,7 +267,8 @@ def robust_distance(
     it are far from this one.  Rows with a null have no distance.
     """
     p = len(columns)
-    whole = df.dropna(subset=list(columns))
+    # Read several times a step: the numbers alone, once.
+    whole = durable(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna())
     centre, scale = _medians(whole, columns, rows_per_task)
     if centre is None:
         return df.withColumns({"distance": F.lit(None).cast("double"), "is_anomaly": F.lit(None).cast("boolean")})
