@@ -9,7 +9,7 @@ from tickloom.catalog.risk import weights
 from tickloom.operators import joins as J
 from tickloom.operators import options as O
 from tickloom.operators import signals as G
-from tickloom.plans.series import windowed
+from tickloom.plans.series import broadcast_if_small, windowed
 from tickloom.sources.standins import table, ticks, trades
 
 
@@ -236,12 +236,19 @@ _POOLS = """pl AS (SELECT CAST(p_partkey AS VARCHAR) AS symbol, s_name AS venue,
 
 
 def pools(spark, sf_dir):
-    """Suppliers as venues: each part trades on those with the same number modulo 20."""
-    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    return p.join(s, s["s_suppkey"] % 20 == p["p_partkey"] % 20).select(
-        F.col("p_partkey").cast("string").alias("symbol"), F.col("s_name").alias("venue"),
-        (F.col("p_retailprice") * (1 + (F.col("s_suppkey") % 7 - 3) / 100)).alias("venue_price"),
-        (F.greatest("s_acctbal", F.lit(0.0)) * 500).alias("liquidity"), "p_retailprice",
+    """Suppliers as venues: each part trades on those with the same number modulo 20.
+
+    A part meets a twentieth of all suppliers, so parts are spread over all cores
+    first, and what is of one side is computed once for each of its rows.
+    """
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("symbol"), "p_retailprice", (F.col("p_partkey") % 20).alias("_part"))
+    s = table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("venue"), (1 + (F.col("s_suppkey") % 7 - 3) / 100).alias("_off"), (F.greatest("s_acctbal", F.lit(0.0)) * 500).alias("liquidity"),
+        (F.col("s_suppkey") % 20).alias("_supplier"),
+    )
+    p = p.repartition(4 * spark.sparkContext.defaultParallelism, "symbol")
+    return p.join(broadcast_if_small(s), F.col("_part") == F.col("_supplier")).select(
+        "symbol", "venue", (F.col("p_retailprice") * F.col("_off")).alias("venue_price"), "liquidity", "p_retailprice"
     )
 
 
