@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickloom.plans import pairs, series
+from tickloom.operators import signals
+from tickloom.plans import frontier, pairs, series
 from tickloom.streaming import carry, monitor, ordered
 
 
@@ -72,3 +73,29 @@ def test_quantiles_of_a_whole_table_move_few_rows(spark, monkeypatch):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
         got = series.quantiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.999, "d": 0.0, "e": 1.0}, keys=(), rows_per_task=100).first()
         assert np.allclose(tuple(got), np.quantile(values, [0.1, 0.5, 0.999, 0.0, 1.0]))
+
+
+def test_pools_that_cannot_win_are_not_shuffled(spark):
+    """The cheapest of all pools by (cost, name) for each order, although few pools leave the task that makes them."""
+    rng = np.random.default_rng(5)
+    pools = [(f"s{i % 3}", f"v{int(rng.integers(900)):03d}", float(rng.choice([98, 99, 100, 100.5])), float(rng.integers(0, 50)) * 1000) for i in range(3000)]
+    pools += [("s0", None, 100.0, 49000.0), ("s1", "nan", float("nan"), 1e9), ("s1", "inf", 98.0, float("inf")), ("s2", "none", None, 5e8), ("s2", "low", -3.0, 2e6), ("s0", "odd", 97.0, None)]
+    venues = spark.createDataFrame(pools, "symbol string, venue string, venue_price double, liquidity double").repartition(1)
+    rows = [(f"{s}/{v}", s, v, 100.0) for s in ("s0", "s1", "s2", "s3") for v in (0.0, 1.0, 3.0, 9.5, 700.0)] + [(None, "s0", 1.0, 100.0), ("n", "s0", None, 100.0), ("twice", "s0", 2.0, 100.0), ("twice", "s1", 9.0, 100.0)]
+    schema = "order_key string, symbol string, volume double, primary_price double"
+    for more in ([], [("minus", "s0", -4.0, 100.0), ("minus", "s2", 50.0, -100.0)]):
+        orders = spark.createDataFrame(rows + more, schema)
+        v, pp, d = F.col("volume"), F.col("primary_price"), F.col("liquidity")
+        slip = F.when(d > 0, F.least(F.lit(0.5), v * pp / (2 * d))).otherwise(F.lit(1.0))
+        met = orders.join(venues, "symbol").withColumn("slippage", slip).filter("slippage <= 0.01")
+        pool = F.struct((F.col("venue_price") * (1 + F.col("slippage")) + F.lit(-10.0)).alias("cost"), "venue")
+        all_pools = met.groupBy("order_key").agg(F.min(pool).alias("p"))
+        off = 0.001 + F.least(F.lit(0.01), v / 100_000)
+        main = F.struct((pp * (1 + off)).alias("cost"), F.lit("primary").alias("venue"))
+        want = orders.join(all_pools, "order_key", "left").select("order_key", F.least(main, F.coalesce("p", main)).alias("r")).select("order_key", "r.venue", "r.cost")
+        got = signals.best_route(orders, venues, gas=-10.0).select("order_key", "venue", "cost")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        plan = signals.best_route(orders, venues)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan
+        left = frontier.only_contenders(venues.filter("liquidity > 0"), -10.0, bool(more))
+        assert left.count() < (120 if more else 60)
