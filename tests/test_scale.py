@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickloom.operators import signals
+from tickloom.operators import pnl, signals
 from tickloom.plans import frontier, pairs, series
+from tickloom.plans.merging import overlap_lots
 from tickloom.streaming import carry, monitor, ordered
 
 
@@ -99,3 +100,16 @@ def test_pools_that_cannot_win_are_not_shuffled(spark):
         assert "MapInArrow" in plan
         left = frontier.only_contenders(venues.filter("liquidity > 0"), -10.0, bool(more))
         assert left.count() < (120 if more else 60)
+
+
+def test_lots_are_computed_once(spark):
+    """Buys and sells come from one stored walk over the trades; pieces meet first-in first-out."""
+    rows = [("a", 1, "bid", 5.0, 10.0), ("a", 2, "ask", 3.0, 11.0), ("a", 3, "bid", 4.0, 12.0), ("a", 4, "ask", 5.0, 13.0), (None, 5, "bid", 1.0, 1.0), (None, 6, "ask", 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, side string, volume double, price double").withColumn("ts", F.timestamp_seconds("seq"))
+    buys, sells = pnl.fifo_lots(df)
+    for side in (buys, sells):
+        assert "Window" not in side._jdf.queryExecution().optimizedPlan().toString()
+    met = overlap_lots(sells, buys).select("symbol", "left.seq", F.col("right.seq").alias("of"), "overlap").collect()
+    assert sorted(map(tuple, met), key=str) == [("a", 2, 1, 3.0), ("a", 4, 1, 2.0), ("a", 4, 3, 3.0), (None, 6, 5, 1.0)]
+    empty = pnl.fifo_lots(df.filter("seq > 99"))
+    assert [x.count() for x in empty] == [0, 0]
