@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tickloom.operators import pnl, signals
+from tickloom.operators import joins, pnl, signals
 from tickloom.plans import frontier, pairs, series
 from tickloom.plans.merging import overlap_lots
 from tickloom.streaming import carry, monitor, ordered
@@ -113,3 +113,18 @@ def test_lots_are_computed_once(spark):
     assert sorted(map(tuple, met), key=str) == [("a", 2, 1, 3.0), ("a", 4, 1, 2.0), ("a", 4, 3, 3.0), (None, 6, 5, 1.0)]
     empty = pnl.fifo_lots(df.filter("seq > 99"))
     assert [x.count() for x in empty] == [0, 0]
+
+
+def test_own_trades_in_bounded_tasks(spark):
+    """Trades are read once, tested by two joins and lie in parts of bounded rows, in which they can be summed."""
+    rows = [(i % 7 if i % 5 else None, i % 11 if i % 3 else None, i) for i in range(200)] * 2
+    trades = spark.createDataFrame(rows, "buy_order_id long, sell_order_id long, n long")
+    own = spark.createDataFrame([(1,), (1,), (4,), (9,), (None,)], "order_id long")
+    mine, rest = joins.own_trades(trades, own)
+    ours = {1, 4, 9}
+    assert sorted(map(str, map(tuple, mine.collect()))) == sorted(str(r) for r in rows if r[0] in ours or r[1] in ours)
+    assert sorted(map(str, map(tuple, rest.collect()))) == sorted(str(r) for r in rows if not (r[0] in ours or r[1] in ours))
+    marked = joins.own_trades(trades, own, mark="own", rows_per_task=50)
+    assert marked.filter("own").count() == mine.count() and marked.count() == len(rows)
+    plan = marked.groupBy("buy_order_id", "sell_order_id", "own").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "hashpartitioning(sell_order_id" in plan and ", 8), REPARTITION_BY_NUM" in plan

@@ -57,15 +57,20 @@ def routing_join(orders: DataFrame, routes: DataFrame, default: str) -> DataFram
     )
 
 
-def own_trades(trades: DataFrame, own_orders: DataFrame, buy_id: str = "buy_order_id", sell_id: str = "sell_order_id") -> tuple[DataFrame, DataFrame]:
-    """Trades with a buy or sell order of ours, and the rest.
+def own_trades(
+    trades: DataFrame, own_orders: DataFrame, buy_id: str = "buy_order_id", sell_id: str = "sell_order_id", mark: str | None = None,
+    rows_per_task: int = 1_000_000,
+) -> tuple[DataFrame, DataFrame] | DataFrame:
+    """Trades with a buy or sell order of ours, and the rest; or, with ``mark``, one frame with that boolean column.
 
     An OR over two ids would force a nested-loop join, so each id is tested by
-    its own hash join.
+    its own hash join.  Trades lie by sell order in parts of ``rows_per_task``
+    rows, which a sum by both orders takes up as they are.
     """
-    ids = own_orders.select(F.col("order_id").alias("_own")).distinct()
-    buys = trades.join(ids, trades[buy_id] == ids["_own"], "left_semi")
-    no_buy = trades.join(ids, trades[buy_id] == ids["_own"], "left_anti")
-    sells = no_buy.join(ids, no_buy[sell_id] == ids["_own"], "left_semi")
-    rest = no_buy.join(ids, no_buy[sell_id] == ids["_own"], "left_anti")
-    return buys.unionByName(sells), rest
+    ids = own_orders.select("order_id").distinct()
+    buys, sells = ids.select(F.col("order_id").alias("_own_buy")), ids.select(F.col("order_id").alias("_own_sell"))
+    parts = max(1, -(-trades.count() // rows_per_task))
+    tested = trades.join(buys, F.col(buy_id) == F.col("_own_buy"), "left").repartition(parts, sell_id).join(sells, F.col(sell_id) == F.col("_own_sell"), "left")
+    name = mark or "_mine"
+    marked = tested.withColumn(name, F.col("_own_buy").isNotNull() | F.col("_own_sell").isNotNull()).drop("_own_buy", "_own_sell")
+    return marked if mark else (marked.filter(name).drop(name), marked.filter(~F.col(name)).drop(name))
