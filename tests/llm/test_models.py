@@ -128,6 +128,31 @@ def test_quality_rare_languages(spark):
         assert (r["threshold"] is not None) == known and (r["perplexity"] is not None) == known
 
 
+def test_quality_fits_all_trusted(spark):
+    """Without a bound given, each trusted document of the fitted half is in the model, however many a language has."""
+    docs = spark.range(11_000).selectExpr("id AS doc_id", "concat('w', id, ' w', id % 7) AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    fit = kneser_ney.roles(docs, labels).where("__fit").count()
+    assert fit > 5_000 and kneser_ney.sample(docs, labels).count() == fit
+
+
+def test_perplexity_by_batches(spark, tmp_path):
+    """Batches and shards of any size give the same perplexities."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"t{int(x)}" for x in rng.geometric(0.1, 25)), ("en", "fi", None, "zz")[i % 4]) for i in range(48)]
+    docs = spark.createDataFrame([*rows, (48, "", "en"), (49, None, None)], "doc_id long, text string, lang string")
+    found = []
+    for shards, chars in ((1, 10**6), (7, 300)):
+        folder = f"file://{tmp_path}/model{shards}"
+        kneser_ney.write_model(kneser_ney.model(docs.where("doc_id < 24 AND NOT lang <=> 'zz'")), folder, shards)
+        found.append({r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(docs, folder, shards, chars).collect()})
+    one, many = found
+    assert len(one) == len(many) == 50
+    for i, value in one.items():
+        assert (value is None) == (i % 4 == 3 or i >= 48)
+        assert many[i] == (None if value is None else pytest.approx(value, rel=1e-6))
+
+
 def test_pipeline_stages(spark):
     docs = documents(spark, "/root/testdata/sf0.001")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "mix_sources", "byte_bpe"]
