@@ -213,17 +213,17 @@ def _pack_keys(values: np.ndarray) -> bytes:
 
 
 def _squeezed(value: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(value.astype("<f4").tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(value.astype("<f8").tobytes())
 
 
 def _spread(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype="<f4")
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype="<f8")
 
 
 def _pack_found(value: np.ndarray) -> bytes:
-    """Which entries have a value, and these values as 32-bit numbers."""
+    """Which entries have a value, and these values."""
     hit = ~np.isnan(value)
-    return zstandard.ZstdCompressor(level=3).compress(np.packbits(hit).tobytes() + value[hit].astype("<f4").tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.packbits(hit).tobytes() + value[hit].astype("<f8").tobytes())
 
 
 def _unpack_found(blob: bytes, n: int) -> np.ndarray:
@@ -231,7 +231,7 @@ def _unpack_found(blob: bytes, n: int) -> np.ndarray:
     bits = -(-n // 8)
     hit = np.unpackbits(np.frombuffer(raw[:bits], dtype=np.uint8), count=n).astype(bool)
     out = np.full(n, np.nan)
-    out[hit] = np.frombuffer(raw[bits:], dtype="<f4")
+    out[hit] = np.frombuffer(raw[bits:], dtype="<f8")
     return out
 
 
@@ -246,7 +246,7 @@ def write_model(parts: DataFrame, folder: str, shards: int = SHARDS) -> None:
             own = kind == k
             out[own] = keys(cols["lang"][own], *[cols[c][own] for c in used], kind=of)
             place[own] = 2 * level + slot
-        return place, out, *(batch.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in ("value", "total"))
+        return place, out, *(batch.column(c).to_numpy(zero_copy_only=False).astype("<f8") for c in ("value", "total"))
 
     def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         place, key, value, total = (np.concatenate(x) for x in zip(*held))
@@ -299,14 +299,14 @@ class _Batch:
         return asked, pair, context, word, before, unseen[of]
 
     def read(self, found: pa.Table) -> None:
-        """What is known of words and pairs: counts, totals and weights left, NaN where unknown."""
+        """What is known of words, pairs (whole probability) and contexts (total, weight left), NaN where unknown."""
         asked, pair, context, word, before, unseen = self.first()
         value, left, total = (_read(found, asked, x) for x in ("value0", "value1", "total1"))
-        self.left, self.total = left[context], total[context]
-        self.word_left, self.share = left[before], value[pair] / total[before]
-        self.word, self.unseen = value[word], value[unseen]
+        self.left, self.total = _rounded(left[context]), total[context]
+        self.word_left, self.pair = _rounded(left[before]), _rounded(value[pair] / total[before] + left[before] * value[word])
+        self.word, self.unseen = _rounded(value[word]), _rounded(value[unseen])
         # Only a known pair in a known context can be a known trigram.
-        self.known = np.flatnonzero(~np.isnan(self.share) & ~np.isnan(self.left))
+        self.known = np.flatnonzero(~np.isnan(self.pair) & ~np.isnan(self.left))
         k = self.known
         self.tri = keys(self.by[k], self.u[k], self.v[k], self.w[k], kind=TRI)
 
@@ -319,15 +319,20 @@ class _Batch:
     def perplexity(self, found: pa.Table) -> np.ndarray:
         asked, at = np.unique(self.tri, return_inverse=True)
         share = np.zeros(len(self.owner))
-        share[self.known] = np.nan_to_num(_read(found, asked, "value0")[at] / self.total[self.known])
+        share[self.known] = np.nan_to_num(_rounded(_read(found, asked, "value0")[at] / self.total[self.known]))
         p = np.where(np.isnan(self.word), self.unseen[self.owner], self.word)
-        p = np.nan_to_num(self.share) + np.nan_to_num(self.word_left, nan=1.0) * p
+        p = np.where(np.isnan(self.pair), np.nan_to_num(self.word_left, nan=1.0) * p, self.pair)
         p = share + np.nan_to_num(self.left, nan=1.0) * p
         n = np.bincount(self.owner, minlength=len(self.lang))
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.exp(-np.bincount(self.owner, weights=np.log(p), minlength=len(self.lang)) / n)
 
 
+def _rounded(value: np.ndarray) -> np.ndarray:
+    """Shares, weights and probabilities count to 32 bits."""
+    return value.astype(np.float32).astype(np.float64)
+
+
 def _read(found: pa.Table, asked: np.ndarray, name: str) -> np.ndarray:
     """Answers to the sorted keys ``asked``."""
     rows = sorted(zip(*(found.column(c).to_pylist() for c in ("shard", "n", name))))
@@ -347,7 +352,7 @@ def _answer(asked: pa.Table, stored: pa.Table) -> pa.Table:
         order = np.argsort(key)
         for name, (of, column) in names.items():
             if of == slot:
-                values = np.concatenate([np.zeros(0, "<f4"), *(_spread(x) for x in own.column(column).to_pylist())])
+                values = np.concatenate([np.zeros(0, "<f8"), *(_spread(x) for x in own.column(column).to_pylist())])
                 held[name] = key[order], values[order]
     sizes, out = [], {name: [] for name in names}
     for blob in asked.column("packed"):
