@@ -191,6 +191,20 @@ def test_word_tokenizer_takes_whole_texts_where_pieces_join_over_spaces():
     assert not words.by_word and [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
 
 
+def test_marks_at_word_ends_are_looked_up_alone():
+    """A word with several marks costs the library one word and one run of marks, not a word for each pair; ids stay the library's."""
+    words = wavelet.WordTokenizer(WORD_FILE)
+    plain, marks = ["abc", "Éçou", "straße", "x9", "ÿ"], ["", "$$$", ".%%%", "!!", ","]
+    texts = [a + m for a in plain for m in marks] + ["can't.", "é×!", "3÷?", "a<|endoftext|>!!", "a|>$$", "İ.", "e\u0301.", "...", "a" * 99 + "!" * 99, "", None]
+    for column in (pa.array([*texts, " ".join(t or "" for t in texts)]), pa.array(texts).slice(3)):
+        ids, bounds = words.encode(column)
+        want = [e.ids for e in words.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    words.clear()
+    words.encode(pa.array([a + m for a in plain for m in marks]))
+    assert len(words.keys) == len(plain) + len(marks) - 1
+
+
 def test_chunks_end_at_ascii_space_only():
     """White space of more than one byte before an ASCII one is the same run."""
     import tiktoken

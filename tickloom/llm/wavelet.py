@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -35,10 +36,13 @@ END_ID = 1
 BLOCK = 512
 CACHE_WORDS = 2_000_000
 ENCODE_WORDS = 1_000
-_IS_MARK, _IS_PLAIN, _IN_WORD = (np.zeros(256, dtype=bool) for _ in range(3))
-_IS_MARK[list(b".,;:!?")] = True
+_IS_PLAIN, _IN_WORD = (np.zeros(256, dtype=bool) for _ in range(2))
 _IS_PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 _IN_WORD[[i for i in range(256) if i not in b" \t\n\x0b\x0c\r"]] = True
+# ASCII marks that neither begin a contraction nor bound a special token.
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+# Words of these letters stay as they are composed, and each has one lower case.
+_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 _LOADED: dict[str, WordTokenizer] = {}
 
 
@@ -56,9 +60,10 @@ class WaveletMatrix:
         seq = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         zeros, planes, before = [], [], []
         for shift in range(levels - 1, -1, -1):
-            bit = (seq >> shift) & 1 == 1
+            bit = seq & seq.dtype.type(1 << shift) != 0
             plane = np.packbits(bit)
-            low, high = seq[~bit], seq[bit]
+            # Masks are slow on bits that look random; lists of places are not.
+            low, high = seq.take(np.flatnonzero(~bit)), seq.take(np.flatnonzero(bit))
             zeros.append(len(low))
             planes.append(plane)
             before.append(cls._directory(plane))
@@ -135,8 +140,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             up = np.empty(self.n, dtype=kind)
-            up[~bit] = seq[: self.zeros[level]]
-            up[bit] = seq[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~bit)] = seq[: self.zeros[level]]
+            up[np.flatnonzero(bit)] = seq[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             seq = up
         return seq
 
@@ -182,8 +187,10 @@ class WordTokenizer:
     This rests on rules that ``piece_counts.cut_at_space`` reads from the file:
     pieces never cross white space, and lower case comes first, so words are
     looked up by a hash without case of A-Z, but for words that may be a special
-    token; a mark after an ASCII letter or digit is a piece of its own and looked
-    up by itself; a word of ASCII letters is one pre-token.  With other rules,
+    token; marks that end a word after an ASCII letter or digit, or a letter of
+    ``_LETTERS``, are a piece of their own and looked up by themselves; a word of
+    such letters is one pre-token, and where the file marks ends of words
+    (``_word_ends``) many of them go to the model in one line.  With other rules,
     whole texts go to the library.  Of n distinct words in one worker's table
     about n^2 / 2^65 pairs share a hash and would get one word's ids: one in ten
     million for two million words.
@@ -198,8 +205,15 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
-            self.by_word = cut_at_space(json.load(file))
+            spec = json.load(file)
+        self.by_word = cut_at_space(spec)
         self.model = self.tokenizer.model
+        self.is_mark = np.zeros(256, dtype=bool)
+        self.is_mark[[ord(c) for c in _MARKS if not any(c in t["content"] for t in spec["added_tokens"])]] = True
+        self.word_ends = _word_ends(spec) if self.by_word else None
+        if self.word_ends is not None:
+            self.lines = Tokenizer(self.model)
+            self.lines.pre_tokenizer = self.tokenizer.pre_tokenizer
         self.clear()
 
     def clear(self) -> None:
@@ -213,30 +227,62 @@ class WordTokenizer:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids: list[list[int]] = [[]] * len(words)
-        others = []
-        for i, word in enumerate(words):
-            if word.isascii() and word.isalpha():
-                ids[i] = [t.id for t in self.model.tokenize(word.lower())]
-            else:
-                others.append(i)
-        for a in range(0, len(others), ENCODE_WORDS):
-            some = others[a : a + ENCODE_WORDS]
-            # One line for the library; a piece belongs to the word in which it begins.
-            starts = np.cumsum([0, *(len(words[i]) + 1 for i in some)])
-            found = self.tokenizer.encode(" ".join(words[i] for i in some), add_special_tokens=False)
-            cuts = np.searchsorted([begin for begin, _ in found.offsets], starts)
-            flat = found.ids
-            for i, b, e in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()):
-                ids[i] = flat[b:e]
-        slots = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(words))
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    def _learn(self, keys: np.ndarray, words: pa.Array) -> np.ndarray:
+        """Slots of new words."""
+        one = pc.match_substring_regex(words, _LETTERS if self.word_ends is not None else "^[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(one), np.flatnonzero(~one)
+        parts = [self._plain(words.take(plain).to_pylist()), self._others(words.take(rest).to_pylist())]
+        slots = np.empty(len(keys), dtype=np.int64)
+        slots[np.concatenate([plain, rest])] = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(keys))
+        sizes = np.concatenate([n for _, n in parts])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))])
-        keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.slots = keys[order], slots[order]
+        self.flat = np.concatenate([self.flat, *(flat for flat, _ in parts)])
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order])
+        return slots
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) of words that are one pre-token."""
+        if self.word_ends is None:
+            found = [[t.id for t in self.model.tokenize(word.lower())] for word in words]
+            return np.fromiter(chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64)
+        parts = [(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))]
+        for a in range(0, len(words), ENCODE_WORDS):
+            some = words[a : a + ENCODE_WORDS]
+            ids = np.array(self.lines.encode_batch_fast([" ".join(some).lower()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            sizes = np.diff(np.flatnonzero(self.word_ends[ids]), prepend=-1)
+            # A model that lacks a letter can lose an end.
+            parts.append((ids, sizes) if len(sizes) == len(some) else self._others(some))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) by all rules of the file."""
+        parts = [(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))]
+        for a in range(0, len(words), ENCODE_WORDS):
+            some = words[a : a + ENCODE_WORDS]
+            # One line for the library; a piece belongs to the word in which it begins.
+            starts = np.cumsum([0, *(len(word) + 1 for word in some)])
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            parts.append((np.array(found.ids, dtype=np.uint32), np.diff(np.searchsorted([begin for begin, _ in found.offsets], starts))))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _mark_runs(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where marks that end a word begin."""
+        mark, first = self.is_mark[raw], offsets[:-1][offsets[:-1] < offsets[1:]]
+        begin, end = mark.copy(), mark.copy()
+        begin[1:] &= ~mark[:-1]
+        begin[first] = mark[first]
+        end[:-1] &= ~_IN_WORD[raw[1:]]
+        stop = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+        end[stop] = mark[stop]
+        # The last run that begins before an end.
+        begins = np.flatnonzero(begin)
+        at = begins[np.searchsorted(begins, np.flatnonzero(end), side="right") - 1]
+        at = at[~np.isin(at, first)]
+        before = raw[at - 1]
+        letter = (before >= 0x80) & (raw[at - 2] == 0xC3) & (before != 0x97) & (before != 0xB7)
+        return at[_IS_PLAIN[before] | letter]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end)."""
@@ -247,12 +293,7 @@ class WordTokenizer:
         starts = word_starts(raw, offsets)
         if not len(starts):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
-        last = np.ones(len(raw), dtype=bool)
-        last[:-1] = ~_IN_WORD[raw[1:]]
-        last[offsets[1:][offsets[1:] > 0] - 1] = True
-        marks = np.flatnonzero(last[1:] & _IS_MARK[raw[1:]] & _IS_PLAIN[raw[:-1]]) + 1
-        marks = marks[~np.isin(marks, offsets[:-1])]
-        starts = np.sort(np.concatenate([starts, marks]))
+        starts = np.sort(np.concatenate([starts, self._mark_runs(raw, offsets)]))
         keys = run_hashes(raw, starts)
         # Words with "<" keep their case.
         angled = np.unique(np.searchsorted(starts, np.flatnonzero(raw == ord("<")), side="right") - 1)
@@ -260,22 +301,28 @@ class WordTokenizer:
             keys[i] = np.uint64(hash_bytes(self._bytes(raw, starts, i)))
         coded = pa.array(keys).dictionary_encode()
         distinct, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        first = np.empty(len(distinct), dtype=np.int64)
-        first[at[::-1]] = np.arange(len(at))[::-1]
         if len(self.keys) > CACHE_WORDS:
             self.clear()
-        place = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        new = self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), dtype=bool)
-        if new.any():
-            self._learn(distinct[new], self._words(raw, starts, first[new]))
-        slot = self.slots[np.searchsorted(self.keys, distinct)][at]
+        # Places in ascending order are found faster.
+        order = np.argsort(distinct)
+        ranked = distinct[order]
+        place = np.minimum(np.searchsorted(self.keys, ranked), max(0, len(self.keys) - 1))
+        known = self.keys[place] == ranked if len(self.keys) else np.zeros(len(ranked), dtype=bool)
+        slot_of = np.empty(len(distinct), dtype=np.int64)
+        slot_of[order[known]] = self.slots[place[known]]
+        new = order[~known]
+        if len(new):
+            first = np.empty(len(distinct), dtype=np.int64)
+            first[at[::-1]] = np.arange(len(at))[::-1]
+            slot_of[new] = self._learn(distinct[new], self._words(raw, starts, first[new]))
+        slot = slot_of[at]
         begin, sizes = self.ends[slot], self.ends[slot + 1] - self.ends[slot]
         before = np.cumsum(sizes) - sizes
         ids = self.flat[np.repeat(begin - before, sizes) + np.arange(int(sizes.sum()))]
         return ids, np.append(before, len(ids))[np.searchsorted(starts, offsets)]
 
     @staticmethod
-    def _words(raw: np.ndarray, starts: np.ndarray, some: np.ndarray) -> list[str]:
+    def _words(raw: np.ndarray, starts: np.ndarray, some: np.ndarray) -> pa.Array:
         """The runs ``some`` without their separators."""
         begin, end = starts[some], np.append(starts, len(raw))[some + 1]
         sizes = end - begin
@@ -283,13 +330,27 @@ class WordTokenizer:
         real = _IN_WORD[raw[at]]
         kept = np.add.reduceat(real, np.cumsum(sizes) - sizes, dtype=np.int64)
         ends = np.concatenate([[0], np.cumsum(kept)])
-        return pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(raw[at[real]].tobytes())).to_pylist()
+        return pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(raw[at[real]].tobytes()))
 
     @staticmethod
     def _bytes(raw: np.ndarray, starts: np.ndarray, i: int) -> bytes:
         return raw[starts[i] : starts[i + 1] if i + 1 < len(starts) else len(raw)].tobytes().rstrip(b" \t\n\x0b\x0c\r")
 
 
+def _word_ends(spec: dict) -> np.ndarray | None:
+    """Which ids end a pre-token of letters, where a file's rules let words of ``_LETTERS`` skip its normalizer once in lower case."""
+    rules, model = spec.get("normalizer") or {}, spec["model"]
+    kinds = {r["type"] for r in rules.get("normalizers", [rules])}
+    suffix = model.get("end_of_word_suffix")
+    if not suffix or not kinds >= {"Lowercase"} or kinds - {"NFC", "NFKC", "Lowercase", "Replace"}:
+        return None
+    if any(t["content"].isalpha() for t in spec["added_tokens"]):
+        return None
+    ends = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+    ends[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+    return ends
+
+
 def hash_bytes(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
