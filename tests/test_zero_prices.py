@@ -45,3 +45,16 @@ def test_models_are_fitted_beside_zero_prices(name, spark, zero_dir):
 def test_rows_without_a_finite_label_are_not_fitted(spark):
     df = spark.createDataFrame([(float(i), y) for i, y in enumerate([1.0, None, float("inf"), 2.0, float("nan"), 1.5])], "x double, magnitude double")
     assert sorted(r.x for r in models._with_label(df, "magnitude").collect()) == [0.0, 3.0, 5.0]
+
+
+def test_direction_is_scored_after_observed_counts(spark):
+    """A session that has observed counts cannot be sent to tasks along with the model."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation("rows")
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 5}
+    rows = spark.createDataFrame([(float(i % 2), float(i)) for i in range(40)], "y double, x double")
+    model = models.fit_direction(rows, ["x"], label="y", trees=3)
+    assert len(models.predict(model, rows, ["x"]).repartition(3, "prediction").collect()) == 40

@@ -124,7 +124,9 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def fit_direction(train: DataFrame, features: Sequence[str], label: str = "direction", trees: int = 100, depth: int = 10, seed: int = 42):
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(_assembled(_with_label(train, label), features))
+    fit = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(_assembled(_with_label(train, label), features))
+    # A copy leaves out the training summary, whose session cannot be sent to tasks once it has observed counts.
+    return fit.copy()
 
 
 def fit_magnitude(train: DataFrame, features: Sequence[str], label: str = "magnitude", rounds: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42):
