@@ -203,9 +203,9 @@ def labelled(spark, sf_dir):
 
 @query("fit_direction")
 def _(spark, sf_dir):
-    """Accuracy per fold of a small forest."""
+    """Accuracy per fold of the forest."""
     tagged = M.time_series_split(labelled(spark, sf_dir))
-    return M.fold_scores(tagged, lambda d, f: M.fit_direction(d, f, trees=10, depth=4), _FEATURES, "direction", True)
+    return M.fold_scores(tagged, M.fit_direction, _FEATURES, "direction", True)
 
 
 @query("fit_magnitude")

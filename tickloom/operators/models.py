@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.scalars import ratio
+from tickloom.plans.forest import Forest, grown
 from tickloom.plans.gram import column_moments, distance
 from tickloom.plans.series import broadcast_if_small, numbered, placed, quantiles, running, unplaced, windowed
 from tickloom.plans.shuffling import permuted_place
-from tickloom.session import durable
+from tickloom.session import durable, stored
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -115,18 +116,20 @@ def _with_label(df: DataFrame, label: str) -> DataFrame:
     return df.filter(F.abs(F.col(label).cast("double")) < F.lit(float("inf")))
 
 
+def _known(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows in which no feature is null or NaN, as ``_assembled`` keeps them."""
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features]))
+
+
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df)
 
 
-def fit_direction(train: DataFrame, features: Sequence[str], label: str = "direction", trees: int = 100, depth: int = 10, seed: int = 42):
-    from pyspark.ml.classification import RandomForestClassifier
-
-    fit = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(_assembled(_with_label(train, label), features))
-    # A copy leaves out the training summary, whose session cannot be sent to tasks once it has observed counts.
-    return fit.copy()
+def fit_direction(train: DataFrame, features: Sequence[str], label: str = "direction", trees: int = 100, depth: int = 10, seed: int = 42) -> Forest:
+    """A random forest of classes 0, 1, ...; rows with a null or NaN feature are left out."""
+    return grown(_known(_with_label(train, label), features), features, label, trees, depth, seed)
 
 
 def fit_magnitude(train: DataFrame, features: Sequence[str], label: str = "magnitude", rounds: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42):
@@ -136,14 +139,20 @@ def fit_magnitude(train: DataFrame, features: Sequence[str], label: str = "magni
 
 
 def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    if isinstance(model, Forest):
+        return model.transform(_known(df, features))
     return model.transform(_assembled(df, features)).drop("_x", "rawPrediction", "probability")
 
 
 def fold_scores(tagged: DataFrame, fit, features: Sequence[str], label: str, classify: bool, folds: int = 3) -> DataFrame:
-    """Accuracy or mean squared error per fold; the loop is over a handful of model fits."""
+    """Accuracy or mean squared error per fold; the loop is over a handful of model fits.
+
+    A fit reads its rows several times: what it needs of them is written once.
+    """
+    held = stored(_with_label(tagged.select("fold", "part", *features, label), label))
     out = None
     for k in range(folds):
-        fold = _with_label(tagged.filter(F.col("fold") == k), label)
+        fold = held.filter(F.col("fold") == k)
         model = fit(fold.filter("part = 'train'"), features)
         seen = predict(model, fold.filter("part = 'test'"), features)
         right = (F.col("prediction") == F.col(label)).cast("double")
