@@ -210,9 +210,9 @@ def _(spark, sf_dir):
 
 @query("fit_magnitude")
 def _(spark, sf_dir):
-    """Squared error per fold of a few boosting rounds."""
+    """Squared error per fold of the boosted trees."""
     tagged = M.time_series_split(labelled(spark, sf_dir))
-    return M.fold_scores(tagged, lambda d, f: M.fit_magnitude(d, f, rounds=5, depth=3), _FEATURES, "magnitude", False)
+    return M.fold_scores(tagged, M.fit_magnitude, _FEATURES, "magnitude", False)
 
 
 _PRED = f"""{TICKS}, pr AS (SELECT symbol, seq, price - 50 AS y, {{lag1}} - 50 AS m1, {{avg5}} - 50 AS m2 FROM ticks), pp AS (SELECT * FROM pr WHERE m1 IS NOT NULL)""".format(

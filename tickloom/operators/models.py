@@ -17,6 +17,9 @@ from tickloom.plans.series import broadcast_if_small, numbered, placed, quantile
 from tickloom.plans.shuffling import permuted_place
 from tickloom.session import durable, stored
 
+# Rows that a task of a fit holds in memory at most, and those for which a further task is worth starting.
+ROWS_HELD, ROWS_DEALT = 1 << 18, 1 << 14
+
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
@@ -135,7 +138,11 @@ def fit_direction(train: DataFrame, features: Sequence[str], label: str = "direc
 def fit_magnitude(train: DataFrame, features: Sequence[str], label: str = "magnitude", rounds: int = 100, depth: int = 6, rate: float = 0.1, seed: int = 42):
     from pyspark.ml.regression import GBTRegressor
 
-    return GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(_assembled(_with_label(train, label), features))
+    rows = _assembled(_with_label(train, label), features).select("_x", label)
+    # A round is several short jobs: few tasks for few rows, and no more rows in a task than it can hold.
+    n, cores = rows.count(), train.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(max(-(-n // ROWS_HELD), min(cores, n // ROWS_DEALT), 1))
+    return GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(rows)
 
 
 def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
