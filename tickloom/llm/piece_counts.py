@@ -5,8 +5,9 @@ documents go to a bucket of the pre-token.  There the pieces of each distinct
 pre-token are counted once, joined to its frequencies, and summed by document.
 No ids are made for a document.
 
-Buckets are of one era, the slices of ``ERA_TASKS`` tasks, so that the commonest
-pre-token is split, and a document has at most ``ERA_TASKS`` sums to add.
+Buckets are of one era, ``ERA_SLICES`` slices of each of ``ERA_TASKS`` tasks, so that
+what comes together is bounded however large the table and its files are, and a
+document has at most ``BUCKETS`` sums to add.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import texts
 from tickloom.llm.postings import by_name, by_word, listed, places
-from tickloom.llm.words import slices
+from tickloom.llm.words import release, slices
 
 LIMIT = 2048
 SLICE_TEXT = 24 << 20
 SLICE_DOCS = 1 << 16
-ERA_TASKS = 32
+# Text that is cut at a time: temporary arrays are some ten times as large.
+CUT_TEXT = 6 << 20
+ERA_TASKS, ERA_SLICES, BUCKETS = 16, 2, 32
 # Stretches of text that are handed to the library at once.
 TOGETHER = 1000
 # Pre-tokens of these patterns never hold ASCII white space, and no match looks beyond it.
@@ -146,21 +149,45 @@ def _frequencies(batches: Iterator[pa.RecordBatch], tokens: PreTokens) -> Iterat
     """Rows (word, tf, places of documents as 16-bit numbers) of each slice, and a row without word for each document."""
     part, seq = TaskContext.get().partitionId(), 0
     for batch in slices(batches, size=SLICE_TEXT, rows=SLICE_DOCS):
-        distinct, words, owners, times, sizes = tokens.split(batch.column("text"))
+        distinct, words, owners, times, sizes = _split(batch, tokens)
         distinct, words = by_name(distinct, words)
         word, tf, ends, found = by_word(words, owners, batch.num_rows, times)
         yield _rows(len(word), part, seq, word=distinct.take(pa.array(word)), tf=pa.array(tf, pa.int32()), docs=places(ends, found))
         own = places(np.arange(batch.num_rows + 1), np.arange(batch.num_rows))
         yield _rows(batch.num_rows, part, seq, docs=own, doc_id=batch.column("doc_id"), size=pa.array(sizes, pa.int64()))
         seq += 1
+        del distinct, words, owners, times, sizes, word, tf, ends, found, own
+        release()
+
+
+def _split(batch: pa.RecordBatch, tokens: PreTokens) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``PreTokens.split`` of a slice, a part of its text at a time."""
+    keys, held, first = [], [], 0
+    for part in slices(iter([batch]), size=CUT_TEXT):
+        distinct, words, owners, times, sizes = tokens.split(part.column("text"))
+        keys.append(distinct)
+        held.append((words.astype(np.int32), (owners + first).astype(np.int32), times.astype(np.int32), sizes))
+        first += part.num_rows
+    if not keys:
+        return tokens.split(batch.column("text"))
+    every = pa.concat_arrays(keys).dictionary_encode()
+    code, at, out = every.indices.to_numpy(), 0, []
+    for distinct, (words, owners, times, sizes) in zip(keys, held):
+        out.append((code[at + words], owners, times, sizes))
+        at += len(distinct)
+    return every.dictionary, *(np.concatenate(column) for column in zip(*out))
 
 
 def _rows(n: int, part: int, seq: int, **columns: pa.Array) -> pa.RecordBatch:
     kinds = {"word": pa.string(), "tf": pa.int32(), "docs": pa.binary(), "doc_id": pa.int64(), "size": pa.int64()}
-    placed = {"slice": pa.array(np.full(n, part << 32 | seq)), "era": pa.array(np.full(n, part // ERA_TASKS, np.int32))}
+    placed = {"slice": pa.array(np.full(n, part << 32 | seq)), "era": pa.array(np.full(n, _era(part, seq), np.int64))}
     return pa.RecordBatch.from_pydict(placed | {c: columns.get(c, pa.nulls(n, k)) for c, k in kinds.items()})
 
 
+def _era(part: int, seq: int) -> int:
+    return part // ERA_TASKS << 32 | seq // ERA_SLICES
+
+
 def _summed(group: pa.Table, tokens: PreTokens) -> pa.Table:
     """Pieces of the documents of a group, from its words: (slice, place, n), and what it holds of the documents themselves."""
     is_doc = pc.is_null(group.column("word"))
@@ -171,13 +198,19 @@ def _summed(group: pa.Table, tokens: PreTokens) -> pa.Table:
         # Each distinct pre-token once.
         pieces = np.array([tokens.pieces(w) for w in words.dictionary.to_pylist()], dtype=np.int64)
         n = pieces[words.indices.to_numpy()] * rows.column("tf").to_numpy()
-        row, place = listed(rows.column("docs"))
         names, code = np.unique(rows.column("slice").to_numpy(), return_inverse=True)
-        # Whole numbers below 2^53 stay exact as weights.
-        total = np.bincount((code << 16)[row] + place, weights=n[row], minlength=len(names) << 16)
-        held = np.flatnonzero(total)
-        parts.append(pa.table({"slice": names[held >> 16], "place": (held & 0xFFFF).astype(np.int32), "n": total[held].astype(np.int64),
-                               "doc_id": pa.nulls(len(held), pa.int64()), "size": pa.nulls(len(held), pa.int64())}))
+        del words, pieces
+        # The words of a slice at a time.
+        order = np.argsort(code, kind="stable")
+        ends = np.searchsorted(code[order], np.arange(len(names) + 1))
+        for k, name in enumerate(names):
+            mine = order[ends[k] : ends[k + 1]]
+            row, place = listed(rows.column("docs").take(pa.array(mine)))
+            # Whole numbers below 2^53 stay exact as weights.
+            total = np.bincount(place, weights=n[mine][row])
+            held = np.flatnonzero(total)
+            parts.append(pa.table({"slice": np.full(len(held), name), "place": held.astype(np.int32), "n": total[held].astype(np.int64),
+                                   "doc_id": pa.nulls(len(held), pa.int64()), "size": pa.nulls(len(held), pa.int64())}))
     if own.num_rows:
         parts.append(pa.table({"slice": own.column("slice"), "place": listed(own.column("docs"))[1].astype(np.int32), "n": np.zeros(own.num_rows, np.int64), "doc_id": own.column("doc_id"), "size": own.column("size")}))
     return pa.concat_tables(parts)
@@ -203,10 +236,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
         return _frequencies(batches, PreTokens.load(tokenizer_path))
 
     def summed(group: pa.Table) -> pa.Table:
+        # What earlier groups of this worker have left.
+        release()
         return _summed(group, PreTokens.load(tokenizer_path))
 
-    held = texts(docs).mapInArrow(cut, "slice long, era int, word string, tf int, docs binary, doc_id long, size long")
-    bucket = F.pmod(F.xxhash64(F.coalesce("word", F.col("slice").cast("string"))), F.lit(ERA_TASKS)).cast("int")
+    held = texts(docs).mapInArrow(cut, "slice long, era long, word string, tf int, docs binary, doc_id long, size long")
+    bucket = F.pmod(F.xxhash64(F.coalesce("word", F.col("slice").cast("string"))), F.lit(BUCKETS)).cast("int")
     parts = held.withColumn("bucket", bucket).groupBy("era", "bucket").applyInArrow(summed, "slice long, place int, n long, doc_id long, size long")
     return parts.groupBy("slice", "place").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("n_bytes"), F.sum("n").alias("n_tokens")).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
